@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovespark.llm import docpairs, handwritten, tokens, validity
+from grovespark.llm import docpairs, handwritten, mojibake, tokens, validity
 from grovespark.sources import read
 
 _FILE = ["path", "content_hash", "language", "size", "modified_at", "indexed_at", "node_count", "errors"]
@@ -41,5 +41,14 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", tokens.encode(F.col("text")).alias("ids"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_origins, p3_found, p3_rates, p5_found, p5_pairs, p7_ids)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.detect(read(spark, d, "documents").select("doc_id", "text")).select("doc_id")
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Garbled documents with what was found and the restored text."""
+    return mojibake.detect(read(spark, d, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_origins, p3_found, p3_rates, p5_found, p5_pairs, p7_ids, p9_found, p9_restored)}
 SQL: dict[str, str] = {}

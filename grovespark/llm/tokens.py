@@ -11,7 +11,6 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -110,9 +109,13 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=4)
+_ENCODERS: dict[str, Encoder] = {}
+
+
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def encode(text: Column, vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> Column:
