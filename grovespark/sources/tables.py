@@ -48,3 +48,10 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
     rest = [c for c in edges.columns if c not in keys]
     out = edges.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")) if rest else edges.select(*keys).distinct()
     return out.select(*keys, "_r.*") if rest else out
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over at least as many partitions as there are cores, for steps that cost far more than moving a row.
+    Inputs that are already cut finely enough are left as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
