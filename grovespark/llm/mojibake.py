@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grovespark.session import cut
+from grovespark.sources.tables import spread
 
 #: The encodings that texts were written in and read with.
 SINGLE = ["cp1252", "latin-1", "mac_roman", "cp850", "cp437", "cp1250", "cp1251", "cp1254", "koi8_r", "cp866"]
@@ -240,7 +241,7 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     # Replacement characters count unless they stand alone in quotes.
     lost = F.regexp_count("text", F.lit("�")) - F.regexp_count("text", F.lit("[`\"']�+[`\"']"))
-    res = docs.withColumn("u", apply(F.col("text"))).withColumn("n_lost", lost)
+    res = spread(docs).withColumn("u", apply(F.col("text"))).withColumn("n_lost", lost)
     res = res.join(votes, "_key", "left").where((F.col("u.n") > 0) | F.col("v").isNotNull() | (F.col("n_lost") > 0))
     return res.select(
         F.col("_key").alias(key),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovespark.llm import docpairs, handwritten, mojibake, tokens, validity
-from grovespark.sources import read
+from grovespark.llm import docpairs, handwritten, leaks, mojibake, tokens, validity
+from grovespark.sources import read, spread
 
 _FILE = ["path", "content_hash", "language", "size", "modified_at", "indexed_at", "node_count", "errors"]
 
@@ -38,7 +38,16 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", tokens.encode(F.col("text")).alias("ids"))
+    return spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", tokens.encode(F.col("text")).alias("ids"))
+
+
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items per document with the cosine that led there, the share of words found and the answers given away."""
+    return leaks.leaked(read(spark, d, "documents"), read(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).select("doc_id", "item_id")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -50,5 +59,5 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.detect(read(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_origins, p3_found, p3_rates, p5_found, p5_pairs, p7_ids, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_origins, p3_found, p3_rates, p5_found, p5_pairs, p7_ids, p8_found, p8_leaks, p9_found, p9_restored)}
 SQL: dict[str, str] = {}
