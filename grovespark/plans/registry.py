@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from grovespark.plans import problems, relational
+from grovespark.plans import graph, problems, relational
 
-_MODULES = (problems, relational)
+_MODULES = (problems, relational, graph)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
