@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from grovespark.plans import graph, linking, problems, relational
+from grovespark.plans import graph, linking, problems, relational, streams
 
-_MODULES = (problems, relational, graph, linking)
+_MODULES = (problems, relational, graph, linking, streams)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
