@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovespark.llm import docpairs, handwritten, leaks, mojibake, tokens, validity
+from grovespark.llm import docpairs, handwritten, leaks, mojibake, parsing, tokens, validity
 from grovespark.sources import read, spread
 
 _FILE = ["path", "content_hash", "language", "size", "modified_at", "indexed_at", "node_count", "errors"]
@@ -28,6 +28,13 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     return validity.rates(read(spark, d, "files"))
 
 
+def p3_code_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Fenced code in documents, parsed: blocks, invalid blocks and the commonest first cause per language."""
+    b = parsing.code_blocks(spread(read(spark, d, "documents").select("doc_id", "text"))).where("language not in ('', 'sh', 'json', 'text', 'diff', 'yaml')")
+    e = b.select("language", parsing.errors_of(F.col("code"), F.col("language")).alias("e"))
+    return e.groupBy("language").agg(F.count(F.lit(1)).alias("n_blocks"), F.count_if(F.size("e") > 0).alias("n_invalid"), F.mode(F.get("e.cause", F.lit(0))).alias("top_cause"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return docpairs.pairs(read(spark, d, "nodes")).select("node_id")
 
@@ -59,5 +66,5 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.detect(read(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_origins, p3_found, p3_rates, p5_found, p5_pairs, p7_ids, p8_found, p8_leaks, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_origins, p3_found, p3_rates, p3_code_blocks, p5_found, p5_pairs, p7_ids, p8_found, p8_leaks, p9_found, p9_restored)}
 SQL: dict[str, str] = {}
