@@ -85,31 +85,41 @@ def garble(text: str, transform: tuple[str, str, str]) -> str | None:
     return g
 
 
+def _class(chars: list[str]) -> str:
+    return "[" + "".join(f"\\u{ord(c):04x}" for c in sorted(set(chars))) + "]"
+
+
+def sequences(read: str) -> str:
+    """A pattern for what UTF-8 sequences look like when read with a single-byte encoding; the same in Python and Java."""
+    t = _table(read)
+    two, three, four, rest = (_class([t[x] for x in range(a, b) if t[x] > "\x7f"]) for a, b in ((0xC2, 0xE0), (0xE0, 0xF0), (0xF0, 0xF5), (0x80, 0xC0)))
+    return f"{two}{rest}|{three}{rest}{{2}}|{four}{rest}{{3}}"
+
+
+_PATTERNS: dict[str, re.Pattern] = {}
+
+
 def spans(text: str, read: str, known: frozenset[str]) -> list[tuple[int, int, str]]:
     """(start, end, character) of the sequences that are UTF-8 bytes of one known character read with a single-byte encoding.
 
     A sequence that stands alone between quotes or backticks, with its character elsewhere in the same line, is quoted as
     an example and is left out.
     """
-    table, out, i, n = _bytes_of(read), [], 0, len(text)
-    while i < n:
-        lead = table.get(text[i])
-        if lead is None or not 0xC2 <= lead <= 0xF4:
-            i += 1
-            continue
-        end = i + (2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
-        raw = [table.get(c, 0) for c in text[i:end]]
-        if len(raw) == end - i and all(0x80 <= x < 0xC0 for x in raw[1:]):
-            try:
-                c = bytes(raw).decode("utf-8")
-            except UnicodeDecodeError:
-                c = ""
-            if c and (c in known or c >= "\U0001f000"):
-                if not _quoted(text, i, end, c):
-                    out.append((i, end, c))
-                i = end
-                continue
-        i += 1
+    if read not in _PATTERNS:
+        _PATTERNS[read] = re.compile(sequences(read))
+    table, find, out, at = _bytes_of(read), _PATTERNS[read].search, [], 0
+    while m := find(text, at):
+        i, end = m.span()
+        try:
+            c = bytes(table.get(x, 0) for x in m.group(0)).decode("utf-8")
+        except UnicodeDecodeError:
+            c = ""
+        if c and (c in known or c >= "\U0001f000"):
+            if not _quoted(text, i, end, c):
+                out.append((i, end, c))
+            at = end
+        else:
+            at = i + 1
     return out
 
 
@@ -216,7 +226,7 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     found. Null and empty texts are never garbled; texts of any length are handled whole; repeated texts give equal rows.
     An empty table gives no rows. Other columns, whatever their names, are ignored.
     """
-    docs = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).where("text is not null and text <> ''")
+    docs = spread(docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))).where(F.col("text").rlike(r"[^\x00-\x7f]"))
     made, good, known = learn(docs)
     reads = list(dict.fromkeys(TRANSFORMS[k][1] for k in good if TRANSFORMS[k][0] == "utf-8" and TRANSFORMS[k][1] in SINGLE))
 
@@ -241,8 +251,10 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     # Replacement characters count unless they stand alone in quotes.
     lost = F.regexp_count("text", F.lit("�")) - F.regexp_count("text", F.lit("[`\"']�+[`\"']"))
-    res = spread(docs).withColumn("u", apply(F.col("text"))).withColumn("n_lost", lost)
-    res = res.join(votes, "_key", "left").where((F.col("u.n") > 0) | F.col("v").isNotNull() | (F.col("n_lost") > 0))
+    # Only texts with two characters beyond ASCII in a row, a lost character or a garbled word go to Python.
+    suspect = F.col("text").rlike(r"[^\x00-\x7f][^\x00-\x7f]") if reads else F.lit(False)
+    res = docs.withColumn("n_lost", lost).withColumn("_s", suspect).join(votes, "_key", "left").where(F.col("_s") | F.col("v").isNotNull() | (F.col("n_lost") > 0))
+    res = res.withColumn("u", apply(F.col("text"))).where((F.col("u.n") > 0) | F.col("v").isNotNull() | (F.col("n_lost") > 0))
     return res.select(
         F.col("_key").alias(key),
         F.when(F.col("u.n") > 0, F.concat(F.lit("utf-8<"), F.col("u.by"))).when(F.col("v").isNotNull(), F.get(named, F.col("v.k"))).otherwise("lost").alias("encoding"),
