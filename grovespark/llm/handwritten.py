@@ -93,7 +93,7 @@ def origins(files: DataFrame, nodes: DataFrame) -> DataFrame:
     f = cur.join(lay, "_p", "left")
     p = F.col("_p")
     head = F.coalesce(bare_comment(F.col("_head.docstring")), F.lit(""))
-    mean = F.col("size") / F.greatest(F.col("_lines"), F.lit(1))
+    mean = F.when(F.col("_lines").isNotNull(), F.col("size") / F.greatest(F.col("_lines"), F.lit(1)))
     per_node = F.col("size") / F.greatest(F.coalesce(F.col("node_count"), F.lit(1)), F.lit(1))
     minified = ((mean >= by_language(MINIFIED_LINE)) & (per_node < DATA_BYTES_A_NODE * 20)) | (F.col("_column") >= by_language(MINIFIED_COLUMN))
     data = (per_node >= DATA_BYTES_A_NODE) & (mean >= by_language(DATA_LINE)) | (F.col("_lines").isNull() & (per_node >= 10 * DATA_BYTES_A_NODE))
