@@ -11,6 +11,7 @@ replaced. What cannot be undone (lost bytes, replacement characters) is still fo
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -230,9 +231,25 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     made, good, known = learn(docs)
     reads = list(dict.fromkeys(TRANSFORMS[k][1] for k in good if TRANSFORMS[k][0] == "utf-8" and TRANSFORMS[k][1] in SINGLE))
 
+    # What garbling makes of known characters is known too, so that text garbled twice can be undone step by step.
+    known |= {c for k in known for r in reads for c in garble(k, ("utf-8", r, "")) or ""}
+
     @F.pandas_udf("struct<text:string,n:int,by:string>")
-    def apply(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([undo(t, reads, known) for t in s], columns=["text", "n", "by"])
+    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        run, hot = re.compile(r"[^\x00-\x7f]{2,}"), {}
+
+        def suspicious(text: str) -> bool:
+            for r in set(run.findall(text)):
+                if r not in hot:
+                    if len(hot) > 200_000:
+                        hot.clear()
+                    hot[r] = any(spans(r, x, known) for x in reads)
+                if hot[r]:
+                    return True
+            return False
+
+        for s in batches:
+            yield pd.DataFrame([undo(t, reads, known) if suspicious(t) else (t, 0, "") for t in s], columns=["text", "n", "by"])
 
     by_word = docs.select("_key", F.explode(words(F.col("text"))).alias("word")).join(made, "word")
     votes = by_word.groupBy("_key", "k").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("clean")).alias("long"), F.map_from_entries(F.collect_list(F.struct("word", "clean"))).alias("swap"))
