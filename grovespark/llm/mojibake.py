@@ -115,7 +115,7 @@ def spans(text: str, read: str, known: frozenset[str]) -> list[tuple[int, int, s
             c = bytes(table.get(x, 0) for x in m.group(0)).decode("utf-8")
         except UnicodeDecodeError:
             c = ""
-        if c and (c in known or c >= "\U0001f000"):
+        if c and (c in known or "\U0001f000" <= c < "\U0001fb00"):
             if not _quoted(text, i, end, c):
                 out.append((i, end, c))
             at = end
@@ -272,11 +272,14 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     suspect = F.col("text").rlike(r"[^\x00-\x7f][^\x00-\x7f]") if reads else F.lit(False)
     res = docs.withColumn("n_lost", lost).withColumn("_s", suspect).join(votes, "_key", "left").where(F.col("_s") | F.col("v").isNotNull() | (F.col("n_lost") > 0))
     res = res.withColumn("u", apply(F.col("text"))).where((F.col("u.n") > 0) | F.col("v").isNotNull() | (F.col("n_lost") > 0))
+    # Where words speak for another first encoding than UTF-8, what looks like UTF-8 is chance and is not undone.
+    other = F.coalesce(F.col("v.k").isin([k for k, t in enumerate(TRANSFORMS) if t[0] != "utf-8"]), F.lit(False))
+    undone = (F.col("u.n") > 0) & ~other
     return res.select(
         F.col("_key").alias(key),
-        F.when(F.col("u.n") > 0, F.concat(F.lit("utf-8<"), F.col("u.by"))).when(F.col("v").isNotNull(), F.get(named, F.col("v.k"))).otherwise("lost").alias("encoding"),
-        F.col("u.n").alias("n_sequences"),
-        F.coalesce(F.col("v.n"), F.lit(0)).alias("n_words"),
+        F.when(undone, F.concat(F.lit("utf-8<"), F.col("u.by"))).when(F.col("v").isNotNull(), F.get(named, F.col("v.k"))).otherwise("lost").alias("encoding"),
+        F.when(undone, F.col("u.n")).otherwise(0).alias("n_sequences"),
+        F.coalesce("v.n", F.lit(0)).alias("n_words"),
         F.col("n_lost").cast("long").alias("n_lost"),
-        swap(F.when(F.col("u.n") > 0, F.col("u.text")).otherwise(F.col("text")), F.when(F.col("u.n") == 0, F.col("v.swap"))).alias("restored"),
+        swap(F.when(undone, F.col("u.text")).otherwise(F.col("text")), F.when(~undone, F.col("v.swap"))).alias("restored"),
     )
