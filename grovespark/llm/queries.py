@@ -67,4 +67,35 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_origins, p3_found, p3_rates, p3_code_blocks, p5_found, p5_pairs, p7_ids, p8_found, p8_leaks, p9_found, p9_restored)}
-SQL: dict[str, str] = {}
+
+
+def _lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_F = "f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY indexed_at DESC NULLS LAST, modified_at DESC NULLS LAST) AS rn FROM files) WHERE rn = 1)"
+_NORM = "regexp_replace(replace({0}, chr(92), '/'), '^(\\./)+', '')"
+_M = "lower(trim(e.message))"
+_BAD = (
+    f"(NOT regexp_matches({_M}, {_lit(validity.INDEXER_RE)}) AND regexp_matches({_M}, {_lit('|'.join((validity.MERGE_RE, validity.CUT_RE, validity.FOREIGN_RE)))}) AND (e.file_path IS NULL OR {_NORM.format('e.file_path')} = {_NORM.format('path')}))"
+)
+_KNOWN = "CASE lower(regexp_extract(path, '\\.([^./]+)$', 1)) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in validity.EXTENSION_LANGUAGES.items()) + " END"
+_STATE = f"{_F}, s AS (SELECT path, language, len(list_filter(coalesce(errors, []), lambda e: coalesce({_BAD}, false))) > 0 OR coalesce(language <> 'unknown' AND NOT list_contains({_KNOWN}, language), false) AS invalid FROM f)"
+
+
+def _per_language(table: dict[str, int]) -> str:
+    return "CASE language " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items() if k) + f" ELSE {table['']} END" if len(table) > 1 else str(table[""])
+
+
+_H = handwritten
+_ORIGIN = rf"""{_F}, g AS (SELECT {_NORM.format('file_path')} AS p, max(end_line) AS lines, max(end_column) AS wide, arg_max(coalesce(docstring, ''), updated_at) FILTER (WHERE kind = 'file') AS doc FROM nodes GROUP BY 1),
+x AS (SELECT path, {_NORM.format('path')} AS p, language, size / greatest(lines, 1) AS mean, wide, lines, size / greatest(coalesce(node_count, 1), 1) AS per, coalesce(trim(regexp_replace(regexp_replace(lower(doc), '(?m)^\s*(/\*+|\*+/|\*|//+!?|#+!?|--+|;+|%+|\"\"\"||<!--)|\*+/\s*$|-->\s*$', ' ', 'g'), '\s+', ' ', 'g')), '') AS head FROM f LEFT JOIN g ON g.p = {_NORM.format('path')}),
+o AS (SELECT path, language, CASE WHEN regexp_matches(p, {_lit(_H.VENDOR_RE)}) OR regexp_matches(head, {_lit(_H.HEADER_VENDOR_RE)}) THEN 'vendored' WHEN regexp_matches(p, {_lit(_H.BUNDLE_RE)}) OR coalesce(lines IS NOT NULL AND mean >= {_per_language(_H.MINIFIED_LINE)} AND per < {_H.DATA_BYTES_A_NODE * 20} OR wide >= {_per_language(_H.MINIFIED_COLUMN)}, false) THEN 'minified'
+WHEN coalesce(per >= {_H.DATA_BYTES_A_NODE} AND lines IS NOT NULL AND mean >= {_per_language(_H.DATA_LINE)} OR lines IS NULL AND per >= {_H.DATA_BYTES_A_NODE * 10}, false) THEN 'data' WHEN regexp_matches(p, {_lit(_H.GENERATED_RE)}) OR regexp_matches(head, {_lit(_H.HEADER_GENERATED_RE)}) THEN 'generated' ELSE 'source' END AS origin FROM x)"""
+
+SQL: dict[str, str] = {
+    "p2_found": f"WITH {_ORIGIN} SELECT path FROM o WHERE origin <> 'source'",
+    "p2_origins": f"WITH {_ORIGIN} SELECT language, origin, count(*) AS n_files FROM o GROUP BY 1, 2",
+    "p3_found": f"WITH {_STATE} SELECT path FROM s WHERE invalid",
+    "p3_rates": f"WITH {_STATE} SELECT split_part(path, '/', 1) AS repository, language, count(*) AS n_files, count(*) FILTER (WHERE invalid) AS n_invalid, round(1 - count(*) FILTER (WHERE invalid) / count(*), 6) AS accepted FROM s GROUP BY 1, 2",
+}
