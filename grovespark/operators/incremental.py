@@ -69,14 +69,19 @@ def available(df: DataFrame, seq: str, bucket: int = 1 << 20) -> Intervals:
     return Intervals.of((r.lo, r.hi) for r in islands.select("lo", "hi").toLocalIterator())
 
 
-def within(df: DataFrame, seq: str, spans: Intervals) -> DataFrame:
-    """The rows whose sequence number lies in the intervals."""
+def within(df: DataFrame, seq: str, spans: Intervals, few: int = 50, bucket: int = 1 << 20) -> DataFrame:
+    """The rows whose sequence number lies in the intervals. A few intervals are a filter that the scan can use; many are
+    joined by the buckets of numbers they cross, so that the plan does not grow with them."""
     if not spans.spans:
         return df.where(F.lit(False))
-    cond = F.lit(False)
-    for lo, hi in spans.spans:
-        cond = cond | F.col(seq).between(lo, hi)
-    return df.where(cond)
+    if len(spans.spans) <= few:
+        cond = F.lit(False)
+        for lo, hi in spans.spans:
+            cond = cond | F.col(seq).between(lo, hi)
+        return df.where(cond)
+    t = df.sparkSession.createDataFrame(list(spans.spans), "_lo long, _hi long")
+    t = t.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / bucket), F.floor(F.col("_hi") / bucket))))
+    return df.withColumn("_b", F.floor(F.col(seq) / bucket)).join(t, "_b").where(F.col(seq).between(F.col("_lo"), F.col("_hi"))).select(*df.columns)
 
 
 class Ledger:

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from grovespark.operators.incremental import Intervals, Ledger, available, changed_paths, plan_runs, run_once
+from grovespark.operators.incremental import Intervals, Ledger, available, changed_paths, plan_runs, run_once, within
 
 spans = st.lists(st.tuples(st.integers(0, 40), st.integers(0, 8)).map(lambda x: (x[0], x[0] + x[1])), max_size=8)
 
@@ -26,6 +26,12 @@ def test_available_islands(spark):
     assert available(df.where("s > 100"), "s").spans == ()
 
 
+def test_many_intervals_are_joined(spark):
+    df = spark.range(400).withColumnRenamed("id", "s")
+    spans = Intervals.of((x, x + 1) for x in range(0, 400, 5))
+    assert sorted(r.s for r in within(df, "s", spans, bucket=7).collect()) == [x for x in range(400) if x in spans] == sorted(r.s for r in within(df, "s", spans, few=1000).collect())
+
+
 def test_ledger_takes_late_rows_once_and_survives_failures(spark, tmp_path):
     ledger = Ledger(spark, str(tmp_path / "ledger"))
     src = lambda *n: spark.createDataFrame([(x, f"v{x}") for x in n], "s long, v string")
