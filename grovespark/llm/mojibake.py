@@ -34,7 +34,8 @@ TRANSFORMS: list[tuple[str, str, str]] = (
     + [(a, b, "") for a in ("gbk", "cp932", "euc_jp", "big5", "euc_kr", "cp1250", "iso8859_2", "cp1254", "cp1258", "cp437", "cp850", "mac_roman") for b in ("cp1252", "latin-1")]
     + [("cp1252", b, "") for b in ("cp1251", "cp1250", "cp437", "cp850", "mac_roman", "cp866", "koi8_r", "cp1254")]
 )
-#: A word is a candidate for a twin if the twin is in at least so many times as many documents, and in so many at least.
+#: A word is a candidate for a twin if the twin is in at least so many documents for each distinct text with the word, in
+#: no fewer distinct texts, and in so many documents at least. So a garbled text counts once, however often it is copied.
 RATIO, LEAST_DOCS = 5, 5
 #: Distinct words that must speak for a transformation, and for a text being garbled by one; one word of LONG characters
 #: is enough for the latter.
@@ -201,18 +202,25 @@ def learn(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[int], fr
     evidence, at most len(TRANSFORMS). characters: those in at least 3 documents and one in two thousand; there are no
     more than Unicode has. Both are small whatever the corpus and are all that reaches the driver.
     """
-    vocab = cut(docs.select(F.explode(words(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    each = docs.select(F.xxhash64(text).alias("h"), F.explode(words(F.col(text))).alias("word")).groupBy("word", "h").agg(F.count(F.lit(1)).alias("c"))
+    vocab = cut(each.groupBy("word").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("texts")))
     often = vocab.where(F.col("n") >= LEAST_DOCS)
     bare = F.regexp_replace("word", r"[^\x00-\x7f]", "")
     keyed = vocab.withColumn("bare", bare).where(F.length("bare") >= 3)
-    top = keyed.groupBy("bare").agg(F.max_by(F.struct("word", "n"), F.struct("n", (-F.length("word")).alias("l"), "word")).alias("top"))
-    twins = keyed.join(top, "bare").where((F.col("top.n") >= LEAST_DOCS) & (F.col("top.n") >= RATIO * F.col("n")))
+    top = keyed.groupBy("bare").agg(F.max_by(F.struct("word", "n", "texts"), F.struct("texts", "n", (-F.length("word")).alias("l"), "word")).alias("top"))
+    twins = keyed.join(top, "bare").where((F.col("top.n") >= LEAST_DOCS) & (F.col("top.n") >= RATIO * F.col("texts")) & (F.col("top.texts") >= F.col("texts")))
     seen = twins.select("word", F.explode(_explained(F.col("word"), F.col("top.word"))).alias("k"))
-    forms = often.select(F.col("word").alias("clean"), F.col("n").alias("n_clean"), F.explode(_garbled_forms(F.col("word"))).alias("f")).select("clean", "n_clean", "f.k", F.col("f.g").alias("word"))
-    made = cut(forms.join(vocab, "word").where(F.col("n_clean") >= RATIO * F.col("n")).groupBy("word", "k").agg(F.max_by("clean", F.struct("n_clean", "clean")).alias("clean")))
+    forms = often.select(F.col("word").alias("clean"), F.col("n").alias("n_clean"), F.col("texts").alias("t_clean"), F.explode(_garbled_forms(F.col("word"))).alias("f")).select("clean", "n_clean", "t_clean", "f.k", F.col("f.g").alias("word"))
+    clear = (F.col("n_clean") >= RATIO * F.col("texts")) & (F.col("t_clean") >= F.col("texts"))
+    pairs = forms.join(vocab, "word").withColumn("clear", clear).groupBy("word", "k")
+    made = cut(pairs.agg(F.max_by(F.struct("clean", "clear", "t_clean", "texts"), F.struct("clear", "n_clean", "clean")).alias("m")).select("word", "k", "m.*"))
     # Scripts without any ASCII leave nothing to align; for them long words that a transformation leads to are evidence.
-    seen = seen.unionByName(made.where(F.length("clean") >= LONG).select("word", "k"))
+    seen = seen.unionByName(made.where(F.col("clear") & (F.length("clean") >= LONG)).select("word", "k"))
     good = sorted(r.k for r in seen.distinct().groupBy("k").count().where(F.col("count") >= SUPPORT).collect())
+    # What a learned transformation makes of a long word is garbled however frequent it is; only where the reverse was
+    # learned too, the direction has to be clear.
+    two_way = [k for k in good for j in good if TRANSFORMS[k][:2] == TRANSFORMS[j][1::-1]]
+    made = made.where(F.col("clear") | (F.length("clean") >= LONG) & ~F.col("k").isin(two_way)).select("word", "k", "clean")
     n_docs = docs.count()
     chars = docs.select(F.explode(F.array_distinct(F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x00-\x7f]+", ""), ""))).alias("c")).where("c <> ''").groupBy("c").count()
     known = frozenset(r.c for r in chars.where(F.col("count") >= max(3, n_docs // 2000)).select("c").collect())

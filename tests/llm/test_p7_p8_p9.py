@@ -108,6 +108,14 @@ def test_garbled_texts_are_found_and_restored(spark):
     assert mojibake.detect(df.where("false")).count() == 0
 
 
+def test_copies_of_a_garbled_text_do_not_hide_it(spark):
+    rows = [(i, f"{CLEAN[2 + i % 2]} no {i}") for i in range(40)]
+    bad = [mojibake.garble(CLEAN[2 + n], ("cp1251", "koi8_r", "")) for n in (0, 1)]
+    rows += [(100 + i, bad[i % 2]) for i in range(60)] + [(200 + i, f"{bad[0]} no {i}") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in mojibake.detect(df).collect()} == {i for i, _ in rows if i >= 100}
+
+
 def test_alignment_finds_runs():
     assert mojibake.align("faÃ§ade", "façade") == [("Ã§", "ç")]
     assert mojibake.align("isnâ€™t", "isn’t") == [("â€™", "’")]
