@@ -11,7 +11,9 @@ replaced. What cannot be undone (lost bytes, replacement characters) is still fo
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
+from math import log
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -153,6 +155,88 @@ def undo(text: str, reads: list[str], known: frozenset[str]) -> tuple[str, int,
     return text, done, by
 
 
+#: Transformations with an encoding of several bytes a character on one side; they are undone in runs of characters.
+BROAD = [k for k, (a, b, loss) in enumerate(TRANSFORMS) if not loss and (b in WIDE or b in ("cp1252", "latin-1") and a in (*WIDE, "euc_jp", "euc_kr"))]
+_RUN = re.compile(r"[^\x00-\x7f]{2,}")
+#: Second bytes may be ASCII from '@' on.
+_STRETCH = re.compile(r"[^\x00-\x7f][@-~\u0080-\U0010ffff]+")
+
+
+def _script(c: str) -> str:
+    return "CJK" if "\u2e80" <= c < "\ua000" or "\uac00" <= c < "\ufb00" or "\uff00" <= c < "\uff61" or c >= "\U00020000" else unicodedata.name(c, "?").split()[0] if c.isalpha() else ""
+
+
+def reread(run: str, k: int, freq: dict[str, int]) -> tuple[str, int, float] | None:
+    """(clean run, characters in it beyond ASCII, mean log of their frequencies) if transformation k explains a whole run.
+
+    Encoded back with the reading codec, the run must decode with the writing codec to characters of the corpus; bytes
+    that a lossy reading replaced, and one cut off at the end, may stay lost. Readers of several bytes make letters of
+    anything, so for them the outcome must also be of one script and of characters more frequent than the run's own.
+    """
+    written, read, _ = TRANSFORMS[k]
+    raw = bytearray()
+    for c in run:
+        if c == "�":
+            raw.append(0xFF)
+        elif read in WIDE:
+            try:
+                raw += c.encode(read)
+            except UnicodeEncodeError:
+                return None
+        else:
+            x = ord(c) if c < "\x80" else _bytes_of(read).get(c)
+            if x is None:
+                return None
+            raw.append(x)
+    lost = 3 * run.count("�") + 2 * (read in WIDE)  # a byte gone takes the rest of its character along
+    clean = bytes(raw).decode(written, "replace" if lost else "strict") if lost or _decodes(raw, written) else ""
+    got = [c for c in clean if c > "\x7f" and c != "�"]
+    if len(got) < 2 or clean.count("�") > min(lost, len(got)) or any(c not in freq for c in got):
+        return None
+    score = sum(log(freq[c]) for c in got) / len(got)
+    scripts = {_script(c) for c in got} - {""}
+    if read in WIDE:
+        own = [c for c in run if c > "\x7f" and c != "�"]
+        if len(scripts) != 1 or score <= sum(log(freq.get(c, 1)) for c in own) / max(1, len(own)) or "CJK" not in scripts and len(got) < 2 * LONG:
+            return None
+    elif len(set(got)) < 2 or 2 * sum(_script(c) == "CJK" for c in got) <= len(got):
+        return None
+    return re.sub("�+", "�", clean), len(got), score
+
+
+def _decodes(raw: bytes, codec: str) -> bool:
+    try:
+        return bool(bytes(raw).decode(codec))
+    except UnicodeDecodeError:
+        return False
+
+
+def undo_broad(text: str, reads: list[str], known, good: frozenset[int], freq: dict[str, int], memo: dict) -> tuple[str, int, str]:
+    """(restored text, runs undone, transformation): by the one of BROAD that explains most of the text's runs, the
+    likelier characters first where several do. Fewer than LONG characters count only for a learned one. Runs that are
+    UTF-8 read with a single-byte encoding throughout are left to `undo`."""
+    cuts = {"run": sorted(set(_RUN.findall(text))), "stretch": sorted(set(_STRETCH.findall(text)))}
+    best, swap = (0, 0.0), {}
+    by = -1
+    for k in BROAD:
+        part = cuts["run" if TRANSFORMS[k][1] in WIDE or TRANSFORMS[k][0].startswith("euc") else "stretch"]
+        n, total, got = 0, 0.0, {}
+        for r in part:
+            if (r, k) not in memo:
+                if len(memo) > 400_000:
+                    memo.clear()
+                x = reread(r, k, freq)
+                memo[r, k] = None if x is None or any(sum(b - a for a, b, _ in spans(r, e, known)) == len(r) for e in reads) else x
+            if x := memo[r, k]:
+                got[r], n, total = x[0], n + x[1], total + x[1] * x[2]
+        if n >= (2 if k in good else LONG) and (total, total / n) > best:
+            best, swap, by = (total, total / n), got, k
+    if by < 0:
+        return text, 0, ""
+    pattern = _RUN if TRANSFORMS[by][1] in WIDE or TRANSFORMS[by][0].startswith("euc") else _STRETCH
+    return pattern.sub(lambda m: swap.get(m.group(0), m.group(0)), text), len(swap), "<".join(TRANSFORMS[by][:2])
+
+
 def words(text: Column) -> Column:
     """Distinct words with a non-ASCII character."""
     return F.array_distinct(F.filter(F.split(F.coalesce(text, F.lit("")), _DELIM), lambda w: w.rlike(r"[^\x00-\x7f]")))
@@ -195,12 +279,12 @@ def _garbled_forms(clean: pd.Series) -> pd.Series:
     return pd.Series([one(w) for w in clean], dtype=object)
 
 
-def learn(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[int], frozenset[str]]:
-    """(map, transformations, characters) learned from all documents.
+def learn(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[int], frozenset[str], dict[str, int]]:
+    """(map, transformations, characters, frequencies) learned from all documents.
 
     map: (word, k, clean), one row per garbled word and transformation. transformations: indices into TRANSFORMS with
-    evidence, at most len(TRANSFORMS). characters: those in at least 3 documents and one in two thousand; there are no
-    more than Unicode has. Both are small whatever the corpus and are all that reaches the driver.
+    evidence, at most len(TRANSFORMS). characters: those in at least 3 documents and one in two thousand; frequencies: documents
+    of every character. There are no more than Unicode has. All are small whatever the corpus and are all that reaches the driver.
     """
     each = docs.select(F.xxhash64(text).alias("h"), F.explode(words(F.col(text))).alias("word")).groupBy("word", "h").agg(F.count(F.lit(1)).alias("c"))
     vocab = cut(each.groupBy("word").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("texts")))
@@ -223,8 +307,9 @@ def learn(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[int], fr
     made = made.where(F.col("clear") | (F.length("clean") >= LONG) & ~F.col("k").isin(two_way)).select("word", "k", "clean")
     n_docs = docs.count()
     chars = docs.select(F.explode(F.array_distinct(F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x00-\x7f]+", ""), ""))).alias("c")).where("c <> ''").groupBy("c").count()
-    known = frozenset(r.c for r in chars.where(F.col("count") >= max(3, n_docs // 2000)).select("c").collect())
-    return made.where(F.col("k").isin(good)), good, known
+    freq = {r.c: r["count"] for r in chars.collect()}
+    known = frozenset(c for c, n in freq.items() if n >= max(3, n_docs // 2000))
+    return made.where(F.col("k").isin(good)), good, known, freq
 
 
 def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -236,15 +321,17 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     An empty table gives no rows. Other columns, whatever their names, are ignored.
     """
     docs = spread(docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))).where(F.col("text").rlike(r"[^\x00-\x7f]"))
-    made, good, known = learn(docs)
+    made, good, known, freq = learn(docs)
     reads = list(dict.fromkeys(TRANSFORMS[k][1] for k in good if TRANSFORMS[k][0] == "utf-8" and TRANSFORMS[k][1] in SINGLE))
 
     # What garbling makes of known characters is known too, so that text garbled twice can be undone step by step.
     known |= {c for k in known for r in reads for c in garble(k, ("utf-8", r, "")) or ""}
 
-    @F.pandas_udf("struct<text:string,n:int,by:string>")
+    learned = frozenset(good)
+
+    @F.pandas_udf("struct<text:string,n:int,by:string,broad:boolean>")
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        run, hot = re.compile(r"[^\x00-\x7f]{2,}"), {}
+        run, hot, memo = re.compile(r"[^\x00-\x7f]{2,}"), {}, {}
 
         def suspicious(text: str) -> bool:
             for r in set(run.findall(text)):
@@ -256,8 +343,13 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                     return True
             return False
 
+        def one(t: str) -> tuple[str, int, str, bool]:
+            b, m, how = undo_broad(t, reads, known, learned, freq, memo)
+            r, n, by = undo(b, reads, known) if suspicious(b) else (b, 0, "")
+            return r, n + m, how or f"utf-8<{by}", m > 0
+
         for s in batches:
-            yield pd.DataFrame([undo(t, reads, known) if suspicious(t) else (t, 0, "") for t in s], columns=["text", "n", "by"])
+            yield pd.DataFrame([one(t) for t in s], columns=["text", "n", "by", "broad"])
 
     by_word = docs.select("_key", F.explode(words(F.col("text"))).alias("word")).join(made, "word")
     votes = by_word.groupBy("_key", "k").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("clean")).alias("long"), F.map_from_entries(F.collect_list(F.struct("word", "clean"))).alias("swap"))
@@ -276,16 +368,16 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     # Replacement characters count unless they stand alone in quotes.
     lost = F.regexp_count("text", F.lit("�")) - F.regexp_count("text", F.lit("[`\"']�+[`\"']"))
-    # Only texts with two characters beyond ASCII in a row, a lost character or a garbled word go to Python.
-    suspect = F.col("text").rlike(r"[^\x00-\x7f][^\x00-\x7f]") if reads else F.lit(False)
+    # Only texts with two characters beyond ASCII in a row (or one between that may be a second byte), a lost character or a garbled word go to Python.
+    suspect = F.col("text").rlike(r"[^\x00-\x7f]([@-~]?[^\x00-\x7f])")
     res = docs.withColumn("n_lost", lost).withColumn("_s", suspect).join(votes, "_key", "left").where(F.col("_s") | F.col("v").isNotNull() | (F.col("n_lost") > 0))
     res = res.withColumn("u", apply(F.col("text"))).where((F.col("u.n") > 0) | F.col("v").isNotNull() | (F.col("n_lost") > 0))
     # Where words speak for another first encoding than UTF-8, what looks like UTF-8 is chance and is not undone.
     other = F.coalesce(F.col("v.k").isin([k for k, t in enumerate(TRANSFORMS) if t[0] != "utf-8"]), F.lit(False))
-    undone = (F.col("u.n") > 0) & ~other
+    undone = (F.col("u.n") > 0) & (~other | F.col("u.broad"))
     return res.select(
         F.col("_key").alias(key),
-        F.when(undone, F.concat(F.lit("utf-8<"), F.col("u.by"))).when(F.col("v").isNotNull(), F.get(named, F.col("v.k"))).otherwise("lost").alias("encoding"),
+        F.when(undone, F.col("u.by")).when(F.col("v").isNotNull(), F.get(named, F.col("v.k"))).otherwise("lost").alias("encoding"),
         F.when(undone, F.col("u.n")).otherwise(0).alias("n_sequences"),
         F.coalesce("v.n", F.lit(0)).alias("n_words"),
         F.col("n_lost").cast("long").alias("n_lost"),

@@ -116,6 +116,22 @@ def test_copies_of_a_garbled_text_do_not_hide_it(spark):
     assert {r.doc_id for r in mojibake.detect(df).collect()} == {i for i, _ in rows if i >= 100}
 
 
+UNIQUE = ["设置页面的重复计数不再读取隐藏目录", "件の画面に題名がないので設定を表示する", "從這個版本開始讀取設定檔案"]
+
+
+@pytest.mark.parametrize("n, t", [(0, ("utf-8", "gbk", "")), (0, ("gbk", "cp1252", "")), (0, ("gbk", "latin-1", "")), (1, ("euc_jp", "latin-1", "")), (1, ("cp932", "cp1252", "")), (2, ("big5", "cp1252", ""))])
+def test_unique_clauses_of_scripts_without_ascii_are_found(spark, n, t):
+    rows = [(i, "".join(random.Random(i).sample(UNIQUE[i % 3], len(UNIQUE[i % 3])))) for i in range(30)]
+    want = UNIQUE[n]
+    rows += [(100, "See: " + mojibake.garble(want, t)), (101, "Où l’été… naïveté déjà «été» ÀÉ ———— ···· °°°")]
+    got = {r.doc_id: r for r in mojibake.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {100}
+    if t[1] == "gbk":  # lost bytes stay lost
+        assert sum(c in got[100].restored for c in want) >= len(want) - 3
+    else:
+        assert got[100].restored == "See: " + want
+
+
 def test_alignment_finds_runs():
     assert mojibake.align("faÃ§ade", "façade") == [("Ã§", "ç")]
     assert mojibake.align("isnâ€™t", "isn’t") == [("â€™", "’")]
