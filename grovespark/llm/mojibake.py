@@ -103,7 +103,7 @@ def sequences(read: str) -> str:
 _PATTERNS: dict[str, re.Pattern] = {}
 
 
-def spans(text: str, read: str, known: frozenset[str]) -> list[tuple[int, int, str]]:
+def spans(text: str, read: str, known: frozenset[str] | dict[str, int]) -> list[tuple[int, int, str]]:
     """(start, end, character) of the sequences that are UTF-8 bytes of one known character read with a single-byte encoding.
 
     A sequence that stands alone between quotes or backticks, with its character elsewhere in the same line, is quoted as
@@ -118,7 +118,7 @@ def spans(text: str, read: str, known: frozenset[str]) -> list[tuple[int, int, s
             c = bytes(table.get(x, 0) for x in m.group(0)).decode("utf-8")
         except UnicodeDecodeError:
             c = ""
-        if c and (c in known or "\U0001f000" <= c < "\U0001fb00"):
+        if c and ("\U0001f000" <= c < "\U0001fb00" or _likely(c, m.group(0), text[end : end + 1], known)):
             if not _quoted(text, i, end, c):
                 out.append((i, end, c))
             at = end
@@ -127,6 +127,34 @@ def spans(text: str, read: str, known: frozenset[str]) -> list[tuple[int, int, s
     return out
 
 
+def _likely(c: str, sequence: str, after: str, known) -> bool:
+    """True if a sequence is rather the character it decodes to than text as it stands.
+
+    The character has to be one of the corpus, or a letter, punctuation or symbol of a script in it; how frequent it is
+    plays no part by itself. With frequencies at hand (`known` a dictionary), a character much rarer than all of the
+    sequence's own counts only if the sequence cannot be a part of a word: if it is no run of letters of one script and a
+    letter follows. So sound words of a script whose letters happen to be UTF-8 bytes stay as they are.
+    """
+    if not isinstance(known, dict):
+        return c in known
+    if c not in known and (unicodedata.category(c)[0] not in "LPS" or c.isalpha() and _script(c) not in _scripts(known)):
+        return False
+    if RATIO * known.get(c, 0) >= min(known.get(x, 0) for x in sequence):
+        return True
+    one_word = sequence.isalpha() and len(set(map(_script, sequence))) == 1
+    return not one_word and after.isalpha()
+
+
+_SCRIPTS: dict[int, tuple[object, frozenset[str]]] = {}
+
+
+def _scripts(known) -> frozenset[str]:
+    """Scripts of some characters, kept for the last ones asked for."""
+    if 0 not in _SCRIPTS or _SCRIPTS[0][0] is not known:
+        _SCRIPTS[0] = (known, frozenset(map(_script, known)) - {""})
+    return _SCRIPTS[0][1]
+
+
 def _quoted(text: str, start: int, end: int, clean: str) -> bool:
     if not (start and end < len(text) and text[start - 1] in "`\"'" and text[end] == text[start - 1]):
         return False
@@ -134,16 +162,18 @@ def _quoted(text: str, start: int, end: int, clean: str) -> bool:
     return clean in text[a:start] or clean in text[end : b if b >= 0 else len(text)]
 
 
-def undo(text: str, reads: list[str], known: frozenset[str]) -> tuple[str, int, str]:
-    """(restored text, sequences undone, encoding): again and again by the encoding that explains most of the text."""
+def undo(text: str, reads: list[str], known) -> tuple[str, int, str]:
+    """(restored text, sequences undone, encoding): again and again by the encoding that explains most of the text, of
+    several the one that leads to more frequent characters."""
     done, by = 0, ""
     for _ in range(4):
         best: list[tuple[int, int, str]] = []
-        how = ""
+        how, most = "", (0, 0.0)
         for r in reads:
             s = spans(text, r, known)
-            if sum(b - a for a, b, _ in s) > sum(b - a for a, b, _ in best):
-                best, how = s, r
+            much = (sum(b - a for a, b, _ in s), sum(log(max(1, known.get(c, 1))) for _, _, c in s) if isinstance(known, dict) else 0.0)
+            if much > most:
+                best, how, most = s, r, much
         if not best:
             break
         parts, at = [], 0
@@ -279,12 +309,11 @@ def _garbled_forms(clean: pd.Series) -> pd.Series:
     return pd.Series([one(w) for w in clean], dtype=object)
 
 
-def learn(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[int], frozenset[str], dict[str, int]]:
-    """(map, transformations, characters, frequencies) learned from all documents.
+def learn(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[int], dict[str, int]]:
+    """(map, transformations, characters) learned from all documents.
 
     map: (word, k, clean), one row per garbled word and transformation. transformations: indices into TRANSFORMS with
-    evidence, at most len(TRANSFORMS). characters: those in at least 3 documents and one in two thousand; frequencies: documents
-    of every character. There are no more than Unicode has. All are small whatever the corpus and are all that reaches the driver.
+    evidence, at most len(TRANSFORMS). characters: all of the corpus with the number of documents of each. There are no more than Unicode has. All are small whatever the corpus and are all that reaches the driver.
     """
     each = docs.select(F.xxhash64(text).alias("h"), F.explode(words(F.col(text))).alias("word")).groupBy("word", "h").agg(F.count(F.lit(1)).alias("c"))
     vocab = cut(each.groupBy("word").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("texts")))
@@ -305,11 +334,8 @@ def learn(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[int], fr
     # learned too, the direction has to be clear.
     two_way = [k for k in good for j in good if TRANSFORMS[k][:2] == TRANSFORMS[j][1::-1]]
     made = made.where(F.col("clear") | (F.length("clean") >= LONG) & ~F.col("k").isin(two_way)).select("word", "k", "clean")
-    n_docs = docs.count()
     chars = docs.select(F.explode(F.array_distinct(F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x00-\x7f]+", ""), ""))).alias("c")).where("c <> ''").groupBy("c").count()
-    freq = {r.c: r["count"] for r in chars.collect()}
-    known = frozenset(c for c, n in freq.items() if n >= max(3, n_docs // 2000))
-    return made.where(F.col("k").isin(good)), good, known, freq
+    return made.where(F.col("k").isin(good)), good, {r.c: r["count"] for r in chars.collect()}
 
 
 def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -321,11 +347,11 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     An empty table gives no rows. Other columns, whatever their names, are ignored.
     """
     docs = spread(docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))).where(F.col("text").rlike(r"[^\x00-\x7f]"))
-    made, good, known, freq = learn(docs)
+    made, good, freq = learn(docs)
     reads = list(dict.fromkeys(TRANSFORMS[k][1] for k in good if TRANSFORMS[k][0] == "utf-8" and TRANSFORMS[k][1] in SINGLE))
 
     # What garbling makes of known characters is known too, so that text garbled twice can be undone step by step.
-    known |= {c for k in known for r in reads for c in garble(k, ("utf-8", r, "")) or ""}
+    known = dict.fromkeys((c for k in freq for r in reads for c in garble(k, ("utf-8", r, "")) or ""), 1) | freq
 
     learned = frozenset(good)
 
@@ -338,7 +364,7 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 if r not in hot:
                     if len(hot) > 200_000:
                         hot.clear()
-                    hot[r] = any(spans(r, x, known) for x in reads)
+                    hot[r] = any(spans(r + "a", x, known) for x in reads)
                 if hot[r]:
                     return True
             return False

@@ -132,6 +132,15 @@ def test_unique_clauses_of_scripts_without_ascii_are_found(spark, n, t):
         assert got[100].restored == "See: " + want
 
 
+def test_rare_characters_are_found(spark):
+    rows = [(i, CLEAN[i % len(CLEAN)]) for i in range(90)] + [(90, "Żaba i Őr"), (91, "МГУ» и СПБГУ» в списке")]
+    rows += [(100 + i, mojibake.garble(CLEAN[i % 2], ("utf-8", "cp1252", ""))) for i in range(4)]
+    rows += [(200, "A " + mojibake.garble("Żaba", ("utf-8", "cp1252", "")) + " here"), (201, "A " + mojibake.garble("caĝo", ("utf-8", "cp1252", "")) + " here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.restored for r in mojibake.detect(df).collect()}
+    assert set(got) == {100, 101, 102, 103, 200, 201} and got[200] == "A Żaba here" and got[201] == "A caĝo here"
+
+
 def test_alignment_finds_runs():
     assert mojibake.align("faÃ§ade", "façade") == [("Ã§", "ç")]
     assert mojibake.align("isnâ€™t", "isn’t") == [("â€™", "’")]
