@@ -27,9 +27,7 @@ from grovespark.sources.tables import spread
 PASSAGE, STRIDE, SLOTS, DIMS, EXTRA = 40, 20, 8192, 48, 16
 #: Cosine from which a document is a candidate for an item; share of the item's words that must be found; characters of
 #: a shingle, the least characters of a piece, and the most between its runs.
-COSINE, SHARE, SHINGLE, PIECE, NEAR = 0.75, 1 / 3, 10, 40, 60
-#: Documents on which the latent directions are fitted, at most about so many.
-FIT_DOCS = 20_000
+COSINE, SHARE, SHINGLE, PIECE, NEAR = 0.7, 1 / 3, 10, 40, 60
 #: Items compared in one block; more items make more blocks, each with its own pass.
 BLOCK = 2000
 
@@ -132,9 +130,8 @@ def latent(words: DataFrame) -> np.ndarray:
     matrix A, from `words` (text, slots).
 
     One pass counts frequencies over all documents. One sums the sketch A'(A R) with a random R; the singular vectors
-    follow from that by the Nystroem formula, since A'A ~ Z (R'Z)^-1 Z'. The directions are fitted on at most about
-    FIT_DOCS documents, picked by a hash of their text; every document is searched. The driver gets SLOTS x (DIMS + EXTRA)
-    numbers, however large the corpus; tasks send their sums in blocks of slots that executors add up.
+    follow from that by the Nystroem formula, since A'A ~ Z (R'Z)^-1 Z'. Both passes read every document. The driver gets
+    SLOTS x (DIMS + EXTRA) numbers, however large the corpus; tasks send their sums in blocks of slots that executors add up.
     """
 
     def frequencies(lists: list[np.ndarray]) -> np.ndarray:
@@ -167,9 +164,7 @@ def latent(words: DataFrame) -> np.ndarray:
             out[cs[first]] = np.add.reduceat(y[row], first, axis=0) * idf[cs[first]][:, None]
         return out
 
-    part = FIT_DOCS / max(1.0, df[0, 1])
-    fit = words if part >= 1 else words.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(part * (1 << 20)))
-    z = _summed(fit, sketch, (SLOTS, k))
+    z = _summed(words, sketch, (SLOTS, k))
     core = r.T @ z
     s, u = np.linalg.eigh((core + core.T) / 2)
     good = s > s.max() * 1e-6

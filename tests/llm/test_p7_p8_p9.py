@@ -1,7 +1,9 @@
 import os
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from grovespark.llm import leaks, mojibake, tokens
 
@@ -87,6 +89,14 @@ def test_leaks_recall_against_brute_force(spark):
     assert leaks.leaked(d.where("false"), i).count() == 0
 
 
+def test_latent_directions_use_every_document(spark, monkeypatch):
+    _, docs = _texts()
+    words = spark.createDataFrame([(t,) for t in docs.values() if t], "text string").withColumn("slots", leaks.slots(F.col("text")))
+    whole = leaks.latent(words)
+    monkeypatch.setattr(leaks, "FIT_DOCS", 3, raising=False)
+    assert np.allclose(leaks.latent(words), whole, atol=1e-5)
+
+
 CLEAN = ["Das Ergebnis hängt nicht von der Größe ab, sagte Jürgen übermütig.", "L’étape a été oubliée à cause du délai.", "Подробности описаны в заметке о проекте.", "Порядок строк больше не имеет значения.", "That’s the façade module – “isn’t” a naïve scan.", "Należy najpierw wyczyścić pamięć podręczną między węzłami."]
 BROKEN = {
     100: (0, ("utf-8", "cp1252", "")), 101: (1, ("utf-8", "latin-1", "")), 102: (2, ("cp1251", "koi8_r", "")), 103: (4, ("utf-8", "mac_roman", "")), 104: (4, ("utf-8", "cp1252", "2")),
