@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +23,9 @@ def hops(edges: DataFrame, direction: str = "out", kinds: list[str] | None = Non
     return both.where("a <> b").distinct()
 
 
-def reach(seeds: DataFrame, steps: DataFrame, max_depth: int, absorbing: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+def reach(seeds: DataFrame, steps: DataFrame, max_depth: int | None, absorbing: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """(seed, id, depth): everything within `max_depth` steps of each seed at its least depth; the seed itself at 0.
+    Without a `max_depth`, until nothing new is reached.
 
     One join a level: the frontier meets the steps, new pairs are told from old ones by a left anti join, and the state is
     checkpointed, so the plan of a level never grows. Nodes in `absorbing` (id) are reached but not left again. `limit` is
@@ -34,7 +36,7 @@ def reach(seeds: DataFrame, steps: DataFrame, max_depth: int, absorbing: DataFra
     steps = cut(steps)
     seen = cut(seeds.where("seed is not null").select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth")).distinct())
     front, levels = seen, [seen]
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = front.join(steps, front["id"] == steps["a"]).select("seed", F.col("b").alias("id")).distinct()
         new = step.join(reduce(DataFrame.unionByName, levels).select("seed", "id"), ["seed", "id"], "left_anti")
         new = cut(new.select("seed", "id", F.lit(depth).alias("depth")))
@@ -93,14 +95,14 @@ def impact(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int
     return reduce(DataFrame.unionByName, seen)
 
 
-def shortest_paths(pairs: DataFrame, steps: DataFrame, max_depth: int = 30) -> DataFrame:
+def shortest_paths(pairs: DataFrame, steps: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(start, end, length, path): one shortest way for each pair (start, end), the one whose ids come first; pairs without
-    a way are left out. Each seed keeps one predecessor per node, so the state is a tree, not a set of paths."""
+    a way are left out. Without a `max_depth` the search goes on until no pair is open or nothing new is reached. Each seed keeps one predecessor per node, so the state is a tree, not a set of paths."""
     steps = cut(steps)
     goals = cut(pairs.select("start", "end").distinct())
     seen = cut(goals.select(F.col("start").alias("seed"), F.col("start").alias("id"), F.lit(0).alias("depth"), F.array("start").alias("way")).distinct())
     front, levels = seen, [seen]
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = front.join(steps, front["id"] == steps["a"]).groupBy("seed", F.col("b").alias("id")).agg(F.min("way").alias("way"))
         new = step.join(reduce(DataFrame.unionByName, levels).select("seed", "id"), ["seed", "id"], "left_anti")
         new = cut(new.select("seed", "id", F.lit(depth).alias("depth"), F.concat("way", F.array("id")).alias("way")))

@@ -99,12 +99,28 @@ def shortest_path_len(s, d):
     return r.join(goals, "id", "left_semi").select(F.col("seed").alias("start"), F.col("id").alias("end"), F.col("depth").alias("length"))
 
 
+def _picked(c="id"):
+    """The stated query set of a pairwise search: one id in a hundred, whatever its path and language."""
+    return F.pmod(F.xxhash64(c), F.lit(100)) == 0
+
+
+def _callables(s, d):
+    return nodes(s, d, "kind").where(F.col("kind").isin("function", "method")).where(_picked())
+
+
+@query()
+def shortest_path_len_all(s, d):
+    """Lengths of the ways from each picked function or method to every node that it reaches, without a limit of hops."""
+    r = T.reach(_callables(s, d).select(F.col("id").alias("seed")), T.hops(edges(s, d), "out", R.REFERRING), None)
+    return r.join(nodes(s, d).select("id"), "id", "left_semi").select(F.col("seed").alias("start"), F.col("id").alias("end"), F.col("depth").alias("length"))
+
+
 @query()
 def shortest_paths(s, d):
-    n = nodes(s, d, "kind", "language", "file_path")
-    goal = n.where("file_path like 'corekit/%' and kind = 'class'").select(F.col("id").alias("end"), F.lit(1).alias("_k"))
-    pairs = n.where("kind = 'function' and language = 'vue'").select(F.col("id").alias("start"), F.lit(1).alias("_k")).join(goal, "_k").select("start", "end")
-    return T.shortest_paths(pairs, T.hops(edges(s, d), "out", R.REFERRING), 6)
+    """Ways from each picked function or method to every picked class, without a limit of hops."""
+    goal = nodes(s, d, "kind").where("kind = 'class'").where(_picked()).select(F.col("id").alias("end"))
+    pairs = _callables(s, d).select(F.col("id").alias("start")).crossJoin(goal)
+    return T.shortest_paths(pairs, T.hops(edges(s, d), "out", R.REFERRING))
 
 
 _FE = "x AS (SELECT DISTINCT a.file_path AS source_file, b.file_path AS target_file FROM e JOIN n a ON a.id = e.source JOIN n b ON b.id = e.target WHERE e.kind <> 'contains' AND a.file_path <> b.file_path)"

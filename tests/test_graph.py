@@ -35,6 +35,26 @@ def test_traversal(spark, edges):
     assert T.reach(seed(), T.hops(edges), 3).count() == 0
 
 
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """A chain of 50 methods, one of 45 classes and two of 45 files, where nothing lies in 'corekit/'."""
+    rows = [(f"m{i}", "method", f"src/f{i}.py") for i in range(50)] + [(f"c{i}", "class", f"src/f{i}.py") for i in range(45)] + [("e", "enum", "src/f0.py")]
+    links = [(f"m{i}", f"m{i + 1}", "calls") for i in range(49)] + [(f"c{i}", f"c{i + 1}", "extends") for i in range(44)] + [("m49", "c0", "instantiates")]
+    d = str(tmp_path_factory.mktemp("tables"))
+    spark.createDataFrame([(*r, "python", datetime(2024, 1, 1)) for r in rows], "id string, kind string, file_path string, language string, updated_at timestamp_ntz").coalesce(1).write.parquet(f"{d}/nodes.parquet")
+    spark.createDataFrame([(*e, 1, 0) for e in links], EDGE).coalesce(1).write.parquet(f"{d}/edges.parquet")
+    return d
+
+
+def test_ways_have_no_limit_of_hops(spark, tables, monkeypatch):
+    from grovespark.plans import graph
+
+    monkeypatch.setattr(graph, "_picked", lambda c="id": F.col(c).isin("m0", "c0"), raising=False)
+    assert {(r.start, r.end, r.length) for r in graph.QUERIES["shortest_paths"](spark, tables).collect()} == {("m0", "c0", 50)}
+    got = {r.end: r.length for r in graph.QUERIES["shortest_path_len_all"](spark, tables).collect()}
+    assert got == {**{f"m{i}": i for i in range(50)}, "c0": 50}
+
+
 def test_components_and_waves(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("x", "y"), ("x", "x")], "a string, b string")
     v = spark.createDataFrame([(i,) for i in "abcdexyz"], "id string")
