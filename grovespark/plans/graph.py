@@ -224,6 +224,15 @@ def rwr_relevance(s, d):
     return G.random_walk(seeds, links, rounds=8).select("id", F.round("score", 6).alias("score"))
 
 
+@query()
+def rwr_relevance_full(s, d):
+    """As `rwr_relevance`, with all of the operator's rounds."""
+    links = _file_links(s, d)
+    on = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+    seeds = nodes(s, d, "kind", "file_path").where("kind = 'enum'").select(F.col("file_path").alias("id")).distinct().join(on, "id", "left_semi")
+    return G.random_walk(seeds, links).select("id", F.round("score", 6).alias("score"))
+
+
 # Search.
 
 

@@ -55,6 +55,23 @@ def test_ways_have_no_limit_of_hops(spark, tables, monkeypatch):
     assert got == {**{f"m{i}": i for i in range(50)}, "c0": 50}
 
 
+def test_walk_of_25_rounds(spark, tables):
+    from grovespark.plans import graph
+
+    got = {r.id: r.score for r in graph.QUERIES["rwr_relevance_full"](spark, tables).collect()}
+    ids = [f"src/f{i}.py" for i in range(50)]
+    near = {i: {j for j in (i - 1, i + 1) if 0 <= j < 50} | ({0} if i == 49 else {49} if i == 0 else set()) for i in range(50)}
+    score = [float(i == 0) for i in range(50)]
+    for _ in range(25):
+        flow = [0.0] * 50
+        for i in range(50):
+            for j in near[i]:
+                flow[j] += score[i] / len(near[i])
+        score = [0.75 * f + 0.25 * (i == 0) for i, f in enumerate(flow)]
+    assert got == {k: pytest.approx(v, abs=2e-6) for k, v in zip(ids, score)}
+    assert got["src/f12.py"] > 0
+
+
 def test_components_and_waves(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("x", "y"), ("x", "x")], "a string, b string")
     v = spark.createDataFrame([(i,) for i in "abcdexyz"], "id string")
