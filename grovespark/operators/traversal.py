@@ -60,7 +60,7 @@ def callees(seeds: DataFrame, edges: DataFrame, max_depth: int = 1) -> DataFrame
     return reach(seeds, hops(edges, "out", REFERRING), max_depth).where("depth > 0")
 
 
-def type_hierarchy(seeds: DataFrame, edges: DataFrame, max_depth: int = 100) -> DataFrame:
+def type_hierarchy(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(seed, id, depth): supertypes at positive depth, subtypes at negative."""
     kinds = ["extends", "implements"]
     up, down = reach(seeds, hops(edges, "out", kinds), max_depth), reach(seeds, hops(edges, "in", kinds), max_depth)

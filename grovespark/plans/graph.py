@@ -123,6 +123,42 @@ def shortest_paths(s, d):
     return T.shortest_paths(pairs, T.hops(edges(s, d), "out", R.REFERRING))
 
 
+def _all(s, d, *kinds):
+    n = nodes(s, d, "kind")
+    return (n.where(F.col("kind").isin(*kinds)) if kinds else n.where(_picked())).select(F.col("id").alias("seed"))
+
+
+@query()
+def callers_all(s, d):
+    """Direct callers of every function and method."""
+    return T.callers(_all(s, d, "function", "method"), edges(s, d), 1)
+
+
+@query()
+def call_graph_all(s, d):
+    """Callers and callees of every function and method within two steps."""
+    e, seeds = edges(s, d), _all(s, d, "function", "method")
+    return T.callers(seeds, e, 2).unionByName(T.callees(seeds, e, 2)).groupBy("seed", "id").agg(F.min("depth").alias("depth"))
+
+
+@query()
+def bfs_both_all(s, d):
+    """The nearest thousand nodes of each picked node of any kind, either way, without a limit of depth."""
+    return T.reach(_all(s, d), T.hops(edges(s, d), "both"), None, limit=1000)
+
+
+@query()
+def impact_all(s, d):
+    """Impact of each picked node of any kind, to the operator's depth of three."""
+    return T.impact(_all(s, d), nodes(s, d, "kind"), edges(s, d))
+
+
+@query()
+def type_hierarchy_all(s, d):
+    """Supertypes and subtypes of every type, however deep."""
+    return T.type_hierarchy(_all(s, d, "class", "interface", "struct", "trait", "protocol", "enum"), edges(s, d))
+
+
 _FE = "x AS (SELECT DISTINCT a.file_path AS source_file, b.file_path AS target_file FROM e JOIN n a ON a.id = e.source JOIN n b ON b.id = e.target WHERE e.kind <> 'contains' AND a.file_path <> b.file_path)"
 
 

@@ -72,6 +72,18 @@ def test_walk_of_25_rounds(spark, tables):
     assert got["src/f12.py"] > 0
 
 
+def test_traversals_of_all_kinds_of_seeds(spark, tables, monkeypatch):
+    from grovespark.plans import graph
+
+    monkeypatch.setattr(graph, "_picked", lambda c="id": F.col(c) == "m9")
+    monkeypatch.setattr(graph, "_all", lambda s, d, *kinds, f=graph._all: f(s, d, *kinds).where("seed in ('m9', 'c0', 'c44')"))
+    got = lambda q: {(r.seed, r.id): r.depth for r in graph.QUERIES[q](spark, tables).collect()}
+    assert got("callers_all") == {("m9", "m8"): 1}
+    assert got("call_graph_all") == {("m9", f"m{9 + i}"): abs(i) for i in (-2, -1, 1, 2)}
+    assert got("impact_all") == {("m9", f"m{9 - i}"): i for i in range(4)}
+    assert got("type_hierarchy_all") == {**{("c0", f"c{i}"): i for i in range(1, 45)}, **{("c44", f"c{44 - i}"): -i for i in range(1, 45)}}
+
+
 def test_components_and_waves(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("x", "y"), ("x", "x")], "a string, b string")
     v = spark.createDataFrame([(i,) for i in "abcdexyz"], "id string")
