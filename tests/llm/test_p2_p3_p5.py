@@ -119,3 +119,14 @@ def test_inherited_documentation(spark):
     got = {r.node_id: (r.origin, r.description) for r in docpairs.pairs(spark.createDataFrame(rows, NODE), spark.createDataFrame(edges, "source string, target string, kind string")).collect()}
     text = "Locks the store before reading it."
     assert got == {"A.m": ("own", text), "B.m": ("inherited", text), "C.m": ("inherited", text)}
+
+
+def test_inheritance_has_no_limit_of_levels(spark):
+    n = 67
+    t = datetime(2024, 1, 1)
+    rows = [("m0", "method", "load", "()", None, t), (f"m{n}", "method", "load", "()", "Reads the oldest ledger from disk.", t), ("m", "method", "save", "()", None, t)]
+    nodes = spark.createDataFrame(rows, "id string, kind string, name string, signature string, docstring string, updated_at timestamp").coalesce(1)
+    links = [("c0", "m0", "contains"), (f"c{n}", f"m{n}", "contains"), ("x", "m", "contains"), ("x", "y", "extends"), ("y", "x", "extends")]
+    links += [(f"c{i}", f"c{i + 1}", "extends") for i in range(n)]
+    edges = spark.createDataFrame(links, "source string, target string, kind string").coalesce(1)
+    assert {(r.node_id, r.origin) for r in docpairs.pairs(nodes, edges).collect()} == {(f"m{n}", "own"), ("m0", "inherited")}
