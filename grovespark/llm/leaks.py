@@ -17,10 +17,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from grovespark.session import stored
 from grovespark.sources.tables import spread
 
 #: Words in a passage and between passages' starts; hash slots; latent dimensions and extra ones for the sketch.
@@ -28,10 +32,12 @@ PASSAGE, STRIDE, SLOTS, DIMS, EXTRA = 40, 20, 8192, 48, 16
 #: Cosine from which a document is a candidate for an item; share of the item's words that must be found; characters of
 #: a shingle, the least characters of a piece, and the most between its runs.
 COSINE, SHARE, SHINGLE, PIECE, NEAR = 0.7, 1 / 3, 10, 40, 60
+#: Words that are worked on at once, and columns of a table that are: what fits in a core's cache.
+WORDS_AT_ONCE, COLUMNS = 16_384, 16
 #: Items compared in one block; more items make more blocks, each with its own pass.
 BLOCK = 2000
 
-_TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,80}>|&(?:nbsp|amp|lt|gt|quot|#\d+);")
+_TAG = re.compile(r"</?[a-zA-Z][^<>\n]*>|&(?:nbsp|amp|lt|gt|quot|#\d+);")
 _ESCAPE = re.compile(r"\\[nrt]")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _WRAP = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[ \t>|*#/]*(?=[^\W\d_])")
@@ -56,7 +62,7 @@ def squash(text: str) -> tuple[str, list[tuple[int, int]]]:
 
 #: A lighter clean-up for the JVM, where the words of all texts are hashed for retrieval; a pattern runs only over texts
 #: that hold its fixed part.
-_WRAP_RE, _ESCAPE_RE, _TAG_RE = r"-[ \t]*\r?\n[ \t>|*#/]*", r"\\[nrt]", r"</?[a-zA-Z][^<>\n]{0,80}>"
+_WRAP_RE, _ESCAPE_RE, _TAG_RE = r"-[ \t]*\r?\n[ \t>|*#/]*", r"\\[nrt]", r"</?[a-zA-Z][^<>\n]*>"
 _INVISIBLE_CHARS = "\u200b\u00ad\ufeff\u2060\u200c\u200d\u200e\u200f"
 _BETWEEN_RE = r"[\x00-/:-@\[-`{-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2000-\u206f\u3000-\u303f\uff00-\uff0f\uff1a-\uff20]+"
 
@@ -68,28 +74,32 @@ def slots(text: Column) -> Column:
         odd = odd | text.contains(part)
     whole = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, _TAG_RE, ""), _WRAP_RE, ""), _ESCAPE_RE, " ")
     t = F.when(odd, F.translate(whole, _INVISIBLE_CHARS, "")).otherwise(text)
-    return F.transform(F.split(F.lower(t), _BETWEEN_RE), lambda w: F.pmod(F.hash(w), F.lit(SLOTS)))
+    return F.transform(F.split(F.lower(t), _BETWEEN_RE), lambda w: F.pmod(F.hash(w), F.lit(SLOTS)).cast("short"))
 
 
-def halves(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All slots of some texts in one array, where each half passage of STRIDE words starts in it, and whose it is."""
-    n = np.array([len(x) for x in lists])
-    flat = np.concatenate(lists) if len(lists) else np.zeros(0, np.int64)
+def halves(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each half passage of STRIDE words starts in the words of some texts put end to end, and whose it is. n: their
+    numbers of words."""
     per = -(-n // STRIDE)
     owner = np.repeat(np.arange(len(n)), per)
     first = np.cumsum(n) - n
     within = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
-    return flat, first[owner] + within * STRIDE, owner
+    return first[owner] + within * STRIDE, owner
 
 
-def passage_vectors(lists: list[np.ndarray], weighted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def columns(table: np.ndarray) -> list[np.ndarray]:
+    """A table in blocks of COLUMNS columns. One block stays in a core's cache while rows are picked from it in any order."""
+    return [np.ascontiguousarray(table[:, i : i + COLUMNS], dtype=np.float32) for i in range(0, max(1, table.shape[1]), COLUMNS)]
+
+
+def passage_vectors(flat: np.ndarray, n: np.ndarray, weighted: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(vectors, owner) of the passages of some texts: sums of the words' rows of `weighted` over two neighbouring halves,
     so passages overlap by half; a text's last half stands alone only if it has no other."""
-    flat, starts, owner = halves(lists)
+    starts, owner = halves(n)
     if not len(starts):
-        return np.zeros((0, weighted.shape[1]), weighted.dtype), owner
-    h = np.add.reduceat(weighted[flat], starts, axis=0)
-    out = h.copy()
+        return np.zeros((0, sum(w.shape[1] for w in weighted)), np.float32), owner
+    out = np.concatenate([np.add.reduceat(w[flat], starts, axis=0) for w in weighted], axis=1)
+    h = out.copy()
     same = owner[1:] == owner[:-1]
     out[:-1][same] += h[1:][same]
     last = np.r_[~same, True]
@@ -98,71 +108,78 @@ def passage_vectors(lists: list[np.ndarray], weighted: np.ndarray) -> tuple[np.n
     return out[keep], owner[keep]
 
 
-def _chunks(lists, n: int = 256):
-    for i in range(0, len(lists), n):
-        yield i, [np.asarray(x, dtype=np.int64) for x in lists[i : i + n]]
+def _chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, slots put end to end, their number per row) of a batch's texts, some WORDS_AT_ONCE words at a time; a
+    longer text comes alone. Rows without slots count with none."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(n)
+    i = 0
+    while i < len(n):
+        before = ends[i] - n[i]
+        j = max(i + 1, int(np.searchsorted(ends, before + WORDS_AT_ONCE, side="right")))
+        yield i, flat[before : ends[j - 1]], n[i:j]
+        i = j
 
 
 def _summed(words: DataFrame, work, shape: tuple[int, int]) -> np.ndarray:
-    """The sum of `work(lists of slots)`, an array of `shape`, over all rows: each task adds up its own and sends blocks of
-    rows, which executors add up per block."""
+    """The sum of what `work(slots, numbers, total)` adds to an array of `shape`, over all rows: each task adds up its own
+    and sends blocks of rows, which executors add up per block."""
     block = shape[0] // 16
 
-    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(shape)
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape, np.float32)
         for b in batches:
-            for _, lists in _chunks(list(b["slots"]), 1024):
-                total += work(lists)
-        yield pd.DataFrame([(i, total[i : i + block].astype(np.float32).tobytes()) for i in range(0, shape[0], block)], columns=["block", "sum"])
+            for _, flat, n in _chunks(b.column("slots")):
+                work(flat, n, total)
+        at = list(range(0, shape[0], block))
+        yield pa.RecordBatch.from_pydict({"block": pa.array(at, pa.int32()), "sum": pa.array([total[i : i + block].tobytes() for i in at], pa.binary())})
 
     def add(b: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"block": b["block"][:1], "sum": [sum(np.frombuffer(x, np.float32).astype(float) for x in b["sum"]).tobytes()]})
 
     kind = "block int, sum binary"
     out = np.zeros(shape)
-    for b in words.select("slots").mapInPandas(parts, kind).groupBy("block").applyInPandas(add, kind).collect():
+    for b in words.select("slots").mapInArrow(parts, kind).groupBy("block").applyInPandas(add, kind).collect():
         out[b["block"] : b["block"] + block] = np.frombuffer(bytes(b["sum"])).reshape(-1, shape[1])
     return out
 
 
 def latent(words: DataFrame) -> np.ndarray:
     """Per slot its inverse document frequency times its row of the leading right singular vectors of all passages' TF-IDF
-    matrix A, from `words` (text, slots).
+    matrix A, from `words` (slots).
 
     One pass counts frequencies over all documents. One sums the sketch A'(A R) with a random R; the singular vectors
     follow from that by the Nystroem formula, since A'A ~ Z (R'Z)^-1 Z'. Both passes read every document. The driver gets
     SLOTS x (DIMS + EXTRA) numbers, however large the corpus; tasks send their sums in blocks of slots that executors add up.
     """
 
-    def frequencies(lists: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((SLOTS, 2))
-        n = np.array([len(x) for x in lists])
-        if n.sum():
-            pairs = np.unique(np.repeat(np.arange(len(n)), n) * SLOTS + np.concatenate(lists))
-            out[:, 0] = np.bincount(pairs % SLOTS, minlength=SLOTS)
-        out[0, 1] = len(lists)
-        return out
+    def frequencies(flat: np.ndarray, n: np.ndarray, total: np.ndarray) -> None:
+        pairs = np.unique(np.repeat(np.arange(len(n)), n) * SLOTS + flat)
+        total[:, 0] += np.bincount(pairs % SLOTS, minlength=SLOTS)
+        total[0, 1] += len(n)
 
     df = _summed(words, frequencies, (SLOTS, 2))
-    idf = np.log((1 + df[0, 1]) / (1 + df[:, 0]))
+    idf = np.log((1 + df[0, 1]) / (1 + df[:, 0])).astype(np.float32)
     idf[words.sparkSession.range(1).select(F.pmod(F.hash(F.lit("")), F.lit(SLOTS))).first()[0]] = 0
     k = DIMS + EXTRA
     r = np.random.default_rng(7).standard_normal((SLOTS, k)).astype(np.float32)
-    weighted = (idf[:, None] * r).astype(np.float32)
-
-    def sketch(lists: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((SLOTS, k))
-        flat, starts, _ = halves(lists)
-        if len(flat):
-            # Rows of A are the halves here, of unit length; their order within a text plays no part in A'A.
-            norm = np.maximum(np.add.reduceat(idf[flat] ** 2, starts), 1e-12)
-            y = np.add.reduceat(weighted[flat], starts, axis=0) / norm[:, None].astype(np.float32)
-            order = np.argsort(flat, kind="stable")
-            cs = flat[order]
-            first = np.flatnonzero(np.r_[True, cs[1:] != cs[:-1]])
-            row = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(flat)]))[order]
-            out[cs[first]] = np.add.reduceat(y[row], first, axis=0) * idf[cs[first]][:, None]
-        return out
+    weighted, squares = columns(idf[:, None] * r), idf**2
+
+    def sketch(flat: np.ndarray, n: np.ndarray, total: np.ndarray) -> None:
+        if not len(flat):
+            return
+        starts, _ = halves(n)
+        # Rows of A are the halves here, of unit length; their order within a text plays no part in A'A.
+        norm = 1 / np.maximum(np.add.reduceat(squares[flat], starts), 1e-12)[:, None]
+        order = np.argsort(flat, kind="stable")
+        cs = flat[order]
+        first = np.flatnonzero(np.r_[True, cs[1:] != cs[:-1]])
+        row = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(flat)]))[order]
+        at, by = cs[first], idf[cs[first]][:, None]
+        for c, w in enumerate(weighted):
+            y = np.add.reduceat(w[flat], starts, axis=0) * norm
+            total[at, c * COLUMNS : (c + 1) * COLUMNS] += np.add.reduceat(y[row], first, axis=0) * by
 
     z = _summed(words, sketch, (SLOTS, k))
     core = r.T @ z
@@ -266,13 +283,13 @@ def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
 
     A pair is found if at least `share` of the item's words stand in the document in the item's order, in one or a few
     pieces, however spaced, cased, wrapped or marked up; `answers` counts the item's expected symbols in the document.
-    The items are the stated query set: they are read to the driver, in blocks of BLOCK, and go to every task; documents
-    are streamed once a block and never shuffled. Null, empty and blank texts give away nothing; items without words are
-    in no document; texts of any length are used whole; repeated documents each get their rows. Empty tables: no rows.
+    The items are the stated query set: they are read to the driver, in blocks of BLOCK, and go to every task. Documents
+    are never shuffled: their words are hashed once and written with them to the shared folder; two passes over the
+    hashes fit the latent space and one over both, for each block, searches. Null, empty and blank texts give away
+    nothing; items without words are in no document; texts of any length are used whole; repeated documents each get
+    their rows. Empty tables: no rows.
     """
     out_type = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("share", T.DoubleType()), T.StructField("answers", T.IntegerType())])
-    d = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where("text is not null and text <> ''")
-    d = spread(d).withColumn("slots", slots(F.col("text")))
     rows = items.where("text is not null").select("item_id", "text", "expected", slots(F.col("text")).alias("slots")).orderBy("item_id").toLocalIterator()
     blocks: list[list[Item]] = []
     lists: list[list[np.ndarray]] = []
@@ -286,20 +303,22 @@ def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
             lists[-1].append(np.asarray(r["slots"], np.int64))
     if not blocks:
         return docs.sparkSession.createDataFrame([], out_type)
-    weighted = latent(d)
+    d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text is not null and text <> ''")
+    d = stored(spread(d).withColumn("slots", slots(F.col("text"))))
+    weighted = columns(latent(d))
 
     def search(block: list[Item], of: list[np.ndarray]) -> DataFrame:
-        q, owner = passage_vectors(of, weighted)
+        q, owner = passage_vectors(np.concatenate(of), np.array([len(x) for x in of]), weighted)
         q = _unit(q)
         starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
         index = shingle_index(block)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                res = []
-                ids, texts = list(b["doc_id"]), list(b["text"])
-                for at, some in _chunks(list(b["slots"]), 64):
-                    x, who = passage_vectors(some, weighted)
+                res: list[dict] = []
+                ids, texts = b.column("doc_id"), b.column("text")
+                for at, flat, n in _chunks(b.column("slots")):
+                    x, who = passage_vectors(flat, n, weighted)
                     if not len(x):
                         continue
                     near = np.maximum.reduceat(_unit(x) @ q.T, starts, axis=1)
@@ -308,14 +327,14 @@ def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
                     for row in np.flatnonzero(near.max(axis=1) >= COSINE):
                         k = at + int(who[edge[row]])
                         hits = {int(owner[starts[h]]): float(near[row, h]) for h in np.flatnonzero(near[row] >= COSINE)}
-                        s, _ = squash(plain(texts[k]))
-                        for n, runs in shared_runs(index, s, set(hits)).items():
-                            got = found_share(block[n], runs)
+                        s, _ = squash(plain(texts[k].as_py()))
+                        for m, runs in shared_runs(index, s, set(hits)).items():
+                            got = found_share(block[m], runs)
                             if got >= share:
-                                res.append((ids[k], block[n].item_id, hits[n], round(got, 6), sum(a in s for a in block[n].answers)))
-                yield pd.DataFrame(res, columns=["doc_id", "item_id", "cosine", "share", "answers"])
+                                res.append({"doc_id": ids[k].as_py(), "item_id": block[m].item_id, "cosine": hits[m], "share": round(got, 6), "answers": sum(a in s for a in block[m].answers)})
+                yield pa.RecordBatch.from_pylist(res, to_arrow_schema(out_type))
 
-        return d.mapInPandas(run, out_type)
+        return d.mapInArrow(run, out_type)
 
     out = search(blocks[0], lists[0])
     for b, t in zip(blocks[1:], lists[1:]):
