@@ -203,31 +203,73 @@ def prepare(item_id: int, text: str, answers) -> Item:
     return Item(item_id, s, at, [a.lower() for a in answers or [] if a])
 
 
-def shingle_index(items: list[Item]) -> dict[str, list[tuple[int, int]]]:
-    """Where each shingle stands: (item's number, place)."""
-    out: dict[str, list[tuple[int, int]]] = {}
-    for n, it in enumerate(items):
-        for i in range(len(it.text) - SHINGLE + 1):
-            out.setdefault(it.text[i : i + SHINGLE], []).append((n, i))
-    return out
+#: Multiplier of the shingles' hash, any odd number; bits of the table that tells most foreign shingles at once.
+_FACTOR, _TABLE_BITS = 0x9E3779B97F4A7C15, 20
+
 
+def _shingles(text: str) -> np.ndarray:
+    """64-bit hashes of the shingles of a text, in order."""
+    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = max(0, len(a) - SHINGLE + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(SHINGLE):
+        h = h * np.uint64(_FACTOR) + a[k : k + n]
+    return h
 
-def shared_runs(index: dict[str, list[tuple[int, int]]], doc: str, wanted: set[int]) -> dict[int, list[tuple[int, int, int]]]:
-    """Per wanted item its runs (start, end, start in the document) of characters shared with the squashed document."""
-    open_: dict[tuple[int, int], list[int]] = {}
+
+@dataclass
+class Shingles:
+    """Where each shingle of some items stands: postings `item` and `place` of hash `keys[x]` lie from `first[x]` to `first[x + 1]`."""
+
+    keys: np.ndarray
+    first: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+    there: np.ndarray
+
+
+def shingle_index(items: list[Item]) -> Shingles:
+    each = [_shingles(it.text) for it in items]
+    n = np.array([len(x) for x in each], np.int64)
+    h = np.concatenate(each) if each else np.zeros(0, np.uint64)
+    order = np.argsort(h, kind="stable")
+    keys, first = np.unique(h[order], return_index=True)
+    there = np.zeros(1 << _TABLE_BITS, bool)
+    there[keys >> np.uint64(64 - _TABLE_BITS)] = True
+    return Shingles(keys, np.r_[first, len(h)], np.repeat(np.arange(len(items)), n)[order], (np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n))[order], there)
+
+
+def shared_runs(index: Shingles, doc: str, wanted: set[int], least: dict[int, float] | None = None) -> dict[int, list[tuple[int, int, int]]]:
+    """Per wanted item its runs (start, end, start in the document) of characters shared with the squashed document; with
+    `least`, only of items whose runs sum up to so many characters."""
+    h = _shingles(doc)
+    j = np.flatnonzero(index.there[h >> np.uint64(64 - _TABLE_BITS)])
+    if not len(j):
+        return {}
+    x = np.minimum(np.searchsorted(index.keys, h[j]), len(index.keys) - 1)
+    same = index.keys[x] == h[j]
+    j, x = j[same], x[same]
+    count = index.first[x + 1] - index.first[x]
+    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(index.first[x], count)
+    item, i, j = index.item[at], index.place[at], np.repeat(j, count)
+    want = np.isin(item, list(wanted))
+    item, i, j = item[want], i[want], j[want]
+    if not len(item):
+        return {}
+    diagonal = j - i
+    order = np.lexsort((i, diagonal, item))
+    item, i, j, diagonal = item[order], i[order], j[order], diagonal[order]
+    new = np.r_[True, (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (i[1:] != i[:-1] + 1)]
+    a = np.flatnonzero(new)
+    z = np.r_[a[1:], len(item)] - 1
+    of, start, end, there = item[a], i[a], i[z] + SHINGLE, j[a]
+    if least is not None:
+        total = np.bincount(of, end - start)
+        keep = np.array([total[m] >= least[m] for m in range(len(total))])[of] if len(total) else []
+        of, start, end, there = of[keep], start[keep], end[keep], there[keep]
     runs: dict[int, list[tuple[int, int, int]]] = {}
-    for j in range(len(doc) - SHINGLE + 1):
-        for n, i in index.get(doc[j : j + SHINGLE], ()):
-            if n in wanted:
-                r = open_.get((n, j - i))
-                if r is not None and r[1] == i - 1:
-                    r[1] = i
-                else:
-                    if r is not None:
-                        runs.setdefault(n, []).append((r[0], r[1] + SHINGLE, r[0] + j - i))
-                    open_[n, j - i] = [i, i]
-    for (n, d), (a, b) in open_.items():
-        runs.setdefault(n, []).append((a, b + SHINGLE, a + d))
+    for m, *run in zip(of.tolist(), start.tolist(), end.tolist(), there.tolist()):
+        runs.setdefault(m, []).append(tuple(run))
     return runs
 
 
@@ -270,12 +312,14 @@ def found_share(item: Item, runs: list[tuple[int, int, int]]) -> float:
                 pieces[-1].append((a, b, j))
                 continue
         pieces.append([(a, b, j)])
-    covered = bytearray(len(item.text))
+    covered = np.zeros(len(item.text) + 1, np.int64)
     for piece in pieces:
         if sum(b - a for a, b, _ in piece) >= PIECE:
             for a, b, _ in piece:
-                covered[a:b] = b"\x01" * (b - a)
-    return sum(1 for a, b in item.at if all(covered[a:b])) / len(item.at)
+                covered[a + 1 : b + 1] = 1
+    before = np.cumsum(covered)
+    words = np.asarray(item.at)
+    return float(np.mean(before[words[:, 1]] - before[words[:, 0]] == words[:, 1] - words[:, 0]))
 
 
 def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
@@ -312,6 +356,7 @@ def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
         q = _unit(q)
         starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
         index = shingle_index(block)
+        least = {m: SHARE / 2 * len(it.text) for m, it in enumerate(block)}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -328,7 +373,7 @@ def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
                         k = at + int(who[edge[row]])
                         hits = {int(owner[starts[h]]): float(near[row, h]) for h in np.flatnonzero(near[row] >= COSINE)}
                         s, _ = squash(plain(texts[k].as_py()))
-                        for m, runs in shared_runs(index, s, set(hits)).items():
+                        for m, runs in shared_runs(index, s, set(hits), least).items():
                             got = found_share(block[m], runs)
                             if got >= share:
                                 res.append({"doc_id": ids[k].as_py(), "item_id": block[m].item_id, "cosine": hits[m], "share": round(got, 6), "answers": sum(a in s for a in block[m].answers)})

@@ -89,6 +89,36 @@ def test_leaks_recall_against_brute_force(spark):
     assert leaks.leaked(d.where("false"), i).count() == 0
 
 
+def _naive_runs(items, doc, wanted):
+    out = {}
+    for n in wanted:
+        t, k = items[n].text, leaks.SHINGLE
+        hits = {(i, j) for i in range(len(t) - k + 1) for j in range(len(doc) - k + 1) if t[i : i + k] == doc[j : j + k]}
+        for i, j in hits:
+            if (i - 1, j - 1) not in hits:
+                e = 0
+                while (i + e + 1, j + e + 1) in hits:
+                    e += 1
+                out.setdefault(n, []).append((i, i + e + k, j))
+    return {n: sorted(r) for n, r in out.items()}
+
+
+def test_shared_runs_against_brute_force():
+    rnd = random.Random(3)
+    text = lambda n: "".join(rnd.choice("ab é漢😀") for _ in range(n))
+    for _ in range(20):
+        base = text(120)
+        items = [leaks.prepare(k, base[:40] + text(40) + base[60:], None) for k in range(3)] + [leaks.prepare(9, "short", None)]
+        doc = leaks.squash(base + text(30) + base[20:90] + base)[0]
+        index = leaks.shingle_index(items)
+        got = leaks.shared_runs(index, doc, {0, 2, 3})
+        assert {n: sorted(r) for n, r in got.items()} == _naive_runs(items, doc, {0, 2, 3})
+        least = {n: 60.0 for n in range(4)}
+        some = leaks.shared_runs(index, doc, {0, 1}, least)
+        assert some == {n: r for n, r in leaks.shared_runs(index, doc, {0, 1}).items() if sum(b - a for a, b, _ in r) >= 60}
+    assert leaks.shared_runs(leaks.shingle_index([]), "anything at all", set()) == {} == leaks.shared_runs(index, "", {0})
+
+
 def test_latent_directions_use_every_document(spark, monkeypatch):
     _, docs = _texts()
     words = spark.createDataFrame([(t,) for t in docs.values() if t], "text string").withColumn("slots", leaks.slots(F.col("text")))
