@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Names and folders of tests, samples and build files.
 TEST_FILE_RE = r"(^|/)(test[_.][^/]*|[^/]*[._-](tests?|specs?)\.[a-z0-9]+)$"
 TEST_FILE_CASED_RE = r"(Tests?|TestCase|Tester|Specs?)\.[A-Za-z0-9]+$|(^|/)[A-Za-z0-9]*(Tests?|Spec)/"
 TEST_DIR_RE = r"(^|/)(tests?|specs?)/|/(__tests__|testlib|testing)/"
 SIDE_DIR_RE = r"(^|/)(integration|examples?|samples?|benchmarks?|fixtures?|demos?)/"
-GENERATED_RE = r"\.pb\.(go|swift|dart|h|cc|ts)$|_pb2(_grpc)?\.py$|_grpc\.pb\.go$|\.pulsar\.go$|_pb\.(js|d\.ts|ts)$|\.(generated|gen)\.[jt]sx?$|\.(g|freezed|chopper|pbgrpc)\.dart$|\.generated\.[a-z]+$|(Grpc|OuterClass)\.java$|\.(g|g\.i|Designer)\.cs$"
+#: Endings of files that tools write, by language.
+GENERATED_RE = (
+    r"\.pb\.go$|\.pulsar\.go$|_grpc\.pb\.go$|_mocks?\.go$|^mock_[^/]+\.go$"
+    r"|\.generated\.[jt]sx?$|\.gen\.[jt]sx?$|\.pb\.[jt]s$|_pb\.[jt]s$|_grpc_pb\.[jt]s$|\.min\.m?js$"
+    r"|_pb2(_grpc)?\.py$|_pb2\.pyi$|\.pb\.(cc|h)$|\.g\.cs$|Grpc\.cs$|OuterClass\.java$|Grpc\.java$"
+    r"|\.pb\.swift$|\.(g|freezed|pb|pbgrpc|chopper)\.dart$|\.generated\.rs$"
+)
 LOW_VALUE_RE = r"(^|/)(tests?|__tests?__|spec)/|_test\.(go|py|rb|dart)$|(^|/)test_[^/]+\.py$|_spec\.rb$|\.(test|spec)\.[jt]sx?$|(test|spec|tests)\.(java|kt|scala)$|(tests?|spec)\.cs$|tests?\.swift$"
 BUILD_FILE_RE = r"(^|/)(hvigorfile\.[jt]s|build\.gradle(\.kts)?|settings\.gradle(\.kts)?|gulpfile\.[jt]s|webpack\.config\.[jt]s|rollup\.config\.[jt]s|vite\.config\.[jt]s|setup\.py|rakefile|makefile)$|(^|/)buildsrc/"
 

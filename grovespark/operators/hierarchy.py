@@ -22,6 +22,12 @@ def unpack(c: Column) -> Column:
     return F.when(F.substring(c, 1, 1) == F.lit(b"\x01"), F.concat(body, F.lit(":"), F.lower(F.hex(F.substring(c, 2, 16))))).otherwise(F.decode(F.substring(c, 2, 1 << 30), "UTF-8"))
 
 
+def _parents(links: DataFrame, child: str, parent: str) -> DataFrame:
+    """(c, p), packed: each child with its least parent. The least is taken of the ids themselves; packed ones sort otherwise."""
+    e = links.where(F.col(child).isNotNull() & F.col(parent).isNotNull()).select(pack(F.col(child)).alias("c"), F.col(parent).alias("p"))
+    return cut(e.groupBy("c").agg(F.min("p").alias("p")).select("c", pack(F.col("p")).alias("p")))
+
+
 def resolve(links: DataFrame, child: str = "target", parent: str = "source", path: bool = False) -> DataFrame:
     """(node, root, depth[, path]) of every child in `links`.
 
@@ -35,8 +41,7 @@ def resolve(links: DataFrame, child: str = "target", parent: str = "source", pat
     links count once; a child with several parents keeps the least, so the result is the same in every run. No links:
     no rows. A parent's own row is not needed. A link of a node to itself is a cycle.
     """
-    e = links.where(F.col(child).isNotNull() & F.col(parent).isNotNull()).select(pack(F.col(child)).alias("c"), pack(F.col(parent)).alias("p"))
-    e = cut(e.groupBy("c").agg(F.min("p").alias("p")))
+    e = _parents(links, child, parent)
     inner = e.join(e.select(F.col("p").alias("c")).distinct(), "c", "left_semi")
 
     seg = [F.array(F.col("c")).alias("way")] if path else []
@@ -91,3 +96,24 @@ def descendants(links: DataFrame, child: str = "target", parent: str = "source")
     no ancestor's descendants are ever gathered in one task. Nodes on or below a cycle have none."""
     r = resolve(links, child, parent, path=True).where("path is not null")
     return r.select("node", "depth", F.posexplode("path").alias("_at", "ancestor")).where("_at < depth").select("ancestor", "node", (F.col("depth") - F.col("_at")).alias("distance"))
+
+
+def subtree_sizes(links: DataFrame, child: str = "target", parent: str = "source") -> DataFrame:
+    """(ancestor, n_descendants, height) of every parent outside cycles, without a pair per ancestor and node.
+
+    Each inner node starts with the number of its children; in round k it adds what the inner nodes 2^k steps below it have
+    gathered, and its pointer jumps on, so after logarithmic rounds each holds the sum of its subtree. Sums are combined
+    before the shuffle, so no ancestor's descendants meet in one task. Children on or below a cycle count for nobody.
+    """
+    e = _parents(links, child, parent)
+    sound = resolve(e.select(unpack(F.col("c")).alias("target"), unpack(F.col("p")).alias("source"))).where("depth > 0").select(pack(F.col("node")).alias("c"))
+    e = cut(e.join(sound, "c", "left_semi"))
+    own = e.groupBy(F.col("p").alias("v")).agg(F.count(F.lit(1)).alias("s"))
+    state = cut(own.join(e.select(F.col("c").alias("v"), F.col("p").alias("a")), "v", "left").select("v", "a", "s", F.lit(1).alias("h")))
+    jump = 1
+    while not state.where("a is not null").isEmpty():
+        more = state.where("a is not null").groupBy(F.col("a").alias("v")).agg(F.sum("s").alias("s2"), (F.max("h") + jump).alias("h2"))
+        ptr = state.select(F.col("v").alias("a"), F.col("a").alias("a2"))
+        state = cut(state.join(more, "v", "left").join(ptr, "a", "left").select("v", F.col("a2").alias("a"), (F.col("s") + F.coalesce("s2", F.lit(0))).alias("s"), F.greatest("h", F.coalesce("h2", F.lit(0))).alias("h")))
+        jump *= 2
+    return state.select(unpack(F.col("v")).alias("ancestor"), F.col("s").alias("n_descendants"), F.col("h").cast("int").alias("height"))

@@ -9,12 +9,12 @@ from grovespark.functions import names
 from grovespark.operators.relational import longest_prefix
 
 
-def app_nodes(rows: DataFrame) -> DataFrame:
-    """(id, platform, kind, match_key, name): app nodes with their derived ids. rows: (platform, kind, match_key, name)."""
+def overlay_nodes(rows: DataFrame) -> DataFrame:
+    """(id, platform, kind, match_key, name): overlay nodes with their derived ids. rows: (platform, kind, match_key, name)."""
     return rows.select(names.hashed_id("platform", "kind", "match_key").alias("id"), "platform", "kind", "match_key", "name")
 
 
-def app_edges(rows: DataFrame) -> DataFrame:
+def overlay_edges(rows: DataFrame) -> DataFrame:
     """(id, kind, from, to) with derived ids; the same edge once."""
     return rows.select(names.hashed_id("kind", "from", "to").alias("id"), "kind", "from", "to").distinct()
 

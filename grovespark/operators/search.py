@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grovespark.functions import names
 from grovespark.operators.relational import capped
+from grovespark.session import cut
 
 #: Weights of the indexed columns. BM25 constants are the customary ones of the literature.
 FIELDS = {"docstring": 1, "name": 20, "qualified_name": 5, "signature": 2}
@@ -31,16 +34,25 @@ def postings(nodes: DataFrame) -> DataFrame:
 def bm25(nodes: DataFrame, query: list[str], top: int | None = None) -> DataFrame:
     """(id, score): nodes with any term that starts with one of the query's, by BM25 with column weights.
 
-    Only postings of matching terms are grouped; node count and mean length come from one pass without a shuffle of texts.
-    Nodes without text count with length 0; no match, no rows. `top` limits the result, ties by id.
+    Terms that match are picked out of a node's own terms before they become rows, so only postings of matching terms are
+    exploded and grouped; node count and mean length come from one scan without a shuffle of texts. Nodes without text
+    count with length 0; no match, no rows. `top` limits the result, ties by id.
     """
+    wanted = [q.lower() for q in query]
+
+    def matching(f: str, w: int) -> Column:
+        hit = lambda t: [t.startswith(q) for q in wanted]
+        some = F.filter(terms(F.col(f)), lambda t: reduce(Column.__or__, hit(t), F.lit(False)))
+        return F.flatten(F.transform(some, lambda t: F.array_compact(F.array(*[F.when(h, F.struct(F.lit(q).alias("q"), F.lit(w).alias("w"))) for q, h in zip(wanted, hit(t))]))))
+
     every = sum((F.size(terms(F.col(f))) for f in FIELDS), F.lit(0))
-    size = nodes.agg(F.count(F.lit(1)).alias("N"), F.avg(every).alias("avg"))
-    match = F.explode(F.filter(F.array(*[F.lit(q.lower()) for q in query]), lambda q: F.col("term").startswith(q)))
-    hit = postings(nodes).select("id", "length", "wtf", match.alias("q"), "term").groupBy("id", "q", "length").agg(F.sum("wtf").alias("wtf"))
+    size = nodes.agg(F.count(F.lit(1)).alias("N"), F.avg(every).alias("avg")).select(F.struct("N", "avg")).scalar()
+    some = F.flatten(F.array(*[matching(f, w) for f, w in FIELDS.items()]))
+    hit = nodes.select("id", every.alias("length"), some.alias("ts")).where(F.size("ts") > 0).select("id", "length", F.explode("ts").alias("t"))
+    hit = hit.groupBy("id", F.col("t.q").alias("q"), "length").agg(F.sum("t.w").alias("wtf"))
     df = hit.groupBy("q").agg(F.count(F.lit(1)).alias("df"))
     j = hit.join(F.broadcast(df), "q")  # one row per query term
-    n, avg = size.select("N").scalar(), size.select("avg").scalar()
+    n, avg = size["N"], size["avg"]
     idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     tf = F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1 * (1 - B + B * F.col("length") / avg))
     out = j.groupBy("id").agg(F.round(F.sum(idf * tf), 6).alias("score"))
@@ -90,17 +102,16 @@ def co_occurrence(vocab: DataFrame, words: list[tuple[str, str]], least: int) ->
 
 def ranked(nodes: DataFrame, query: str, top: int) -> DataFrame:
     """(id, name, score): the whole search: text channel, or the substring channel if that finds nothing, or the fuzzy one if
-    that finds nothing either; rescored by kind, path and name. The tiers are one plan: each row carries its tier and only
-    the least tier present is kept."""
+    that finds nothing either; rescored by kind, path and name. A later channel is only run when the earlier ones were
+    empty."""
     from grovespark.functions import kinds
 
-    words = names.search_terms(query)
-    t1 = bm25(nodes, words).select("id", "score", F.lit(1).alias("tier"))
-    t2 = like(nodes, query.replace(" ", "")).select("id", "score", F.lit(2).alias("tier"))
-    t3 = fuzzy(nodes, query.replace(" ", "")).select("id", "score", F.lit(3).alias("tier"))
-    every = t1.unionByName(t2).unionByName(t3)
-    best = every.agg(F.min("tier").alias("best")).scalar()
-    hit = every.where(F.col("tier") == best).groupBy("id").agg(F.max("score").alias("text"))
+    words, bare = names.search_terms(query), query.replace(" ", "")
+    hit = None
+    for channel in (lambda: bm25(nodes, words), lambda: like(nodes, bare), lambda: fuzzy(nodes, bare)):
+        hit = cut(channel().groupBy("id").agg(F.max("score").alias("text")))
+        if not hit.isEmpty():
+            break
     n = hit.join(nodes.select("id", "name", "kind", "file_path"), "id")
     score = F.col("text") + kinds.kind_bonus(F.col("kind")) + names.path_relevance(F.col("file_path"), query) + names.name_match_bonus(F.col("name"), query)
     return n.select("id", "name", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(top)

@@ -7,10 +7,14 @@ percentiles come out exact from the weighted values.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from grovespark.session import cut
+
 
 def compress(df: DataFrame, key: str, value: str | Column, weight: Column | None = None) -> DataFrame:
     """(key, value, n): each distinct pair with its number of rows, or the sum of `weight`. Null keys and null values are
@@ -32,44 +36,46 @@ def modes(pairs: DataFrame) -> DataFrame:
     return p.groupBy("key").agg(top.alias("t")).select("key", F.col("t.value").alias("mode"), F.col("t.n").alias("mode_rows"))
 
 
-def percentiles(pairs: DataFrame, at: list[float], salt: int = 64) -> DataFrame:
+def percentiles(pairs: DataFrame, at: list[float]) -> DataFrame:
     """(key, p<percent>...): the least non-null value whose cumulative weight reaches `at` of the key's rows.
 
-    A key with a great many distinct values is cut by value: each key's values are put into `salt` ranges whose weights
-    add up first, so a window runs over one range of a key and never over a whole hot key. Ranges come from each key's
-    least and greatest value, so `value` must be numeric. Keys without non-null values are left out.
+    Pairs are cut into ranges of (key, value) by sampled quantiles, so a key with a great many values is spread over
+    ranges of equal size wherever its values lie. Each range sums up its keys' weights; the sums before a range are added
+    over the ranges of a key, of which there are no more than ranges in all; a window then runs over one range of a key.
+    Any ordered type serves. Keys without non-null values are left out; a null key is a key.
     """
     p = pairs.where(F.col("value").isNotNull())
-    ends = p.groupBy("key").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.sum("n").alias("_n"))
-    p = p.join(ends, p["key"].eqNullSafe(ends["key"])).drop(ends["key"])
-    width = (F.col("_hi") - F.col("_lo")).cast("double")
-    p = p.withColumn("_part", F.when(width == 0, 0).otherwise(F.least(F.lit(salt - 1), F.floor((F.col("value") - F.col("_lo")) / width * salt))).cast("int"))
+    ranges = int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = cut(p.repartitionByRange(ranges, "key", "value").withColumn("_part", F.spark_partition_id()))
+    w = W.partitionBy("key")
     parts = p.groupBy("key", "_part").agg(F.sum("n").alias("_w"))
-    parts = parts.withColumn("_before", F.sum("_w").over(W.partitionBy("key").orderBy("_part")) - F.col("_w")).select(F.col("key").alias("_k"), F.col("_part").alias("_q"), "_before")
-    p = p.join(parts, p["key"].eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_q")))
-    run = F.col("_before") + F.sum("n").over(W.partitionBy("key", "_part").orderBy("value"))
-    p = p.withColumn("_run", run)
+    parts = parts.select(F.col("key").alias("_k"), F.col("_part").alias("_q"), (F.sum("_w").over(w.orderBy("_part")) - F.col("_w")).alias("_before"), F.sum("_w").over(w).alias("_n"))
+    p = p.join(parts, (F.col("_part") == F.col("_q")) & F.col("key").eqNullSafe(F.col("_k")))
+    p = p.withColumn("_run", F.col("_before") + F.sum("n").over(W.partitionBy("key", "_part").orderBy("value")))
     return p.groupBy("key").agg(*[F.min(F.when(F.col("_run") >= F.ceil(F.col("_n") * q), F.col("value"))).alias(f"p{round(q * 100)}") for q in at])
 
 
-def heavy_targets(edges: DataFrame, share: float = 0.01) -> DataFrame:
+def heavy_targets(edges: DataFrame, share: float = 0.01, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """(target): targets with at least `share` of the distinct edges, by identity (source, target, kind, line, col).
 
     Key and value travel as hashes: the target as 64 bits and the identity as two independent 64-bit hashes, so that a
     row shuffles in 24 bytes instead of two ids and more. Two of 10^12 edges agree in both hashes with a chance under
     10^-14. The hashes of heavy targets (at most 1/share of them, whatever the table's size) are then turned back into
-    ids; an id is only given if its own rows, not those of another id of the same hash, could be the heavy ones.
+    ids. Where several targets share a heavy hash, their own distinct edges are counted and decide.
 
     Null equals null in every part of the identity; rows with a null target count towards the total, yet null is no
     target. An empty table gives no rows.
     """
     ids = ["source", "target", "kind", "line", "col"]
     marks = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ids]
-    h = edges.select(F.xxhash64("target").alias("key"), F.xxhash64(*marks).alias("v1"), F.xxhash64(F.lit("second"), *reversed(marks)).alias("v2"))
+    h = edges.select("target", hashed(F.col("target")).alias("key"), F.xxhash64(*marks).alias("v1"), F.xxhash64(F.lit("second"), *reversed(marks)).alias("v2"))
     pairs = h.groupBy("key", "v1", "v2").agg(F.count(F.lit(1)).alias("n"))
     per_key = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     total = per_key.agg(F.sum("n").alias("total"))
-    heavy = per_key.where(F.col("n") >= F.lit(share) * total.scalar()).select("key")
-    bound = F.broadcast(heavy)  # no more than 1/share keys can hold that share
-    back = edges.where(F.col("target").isNotNull()).select("target", F.xxhash64("target").alias("key")).join(bound, "key", "left_semi")
-    return back.groupBy("target").agg(F.count(F.lit(1)).alias("_n")).select("target")
+    least = F.lit(share) * total.scalar()
+    bound = F.broadcast(cut(per_key.where(F.col("n") >= least).select("key")))  # no more than 1/share keys can hold that share
+    back = h.where(F.col("target").isNotNull()).join(bound, "key", "left_semi")
+    names = back.groupBy("key").agg(F.min("target").alias("target"), F.max("target").alias("other"))
+    clash = F.broadcast(names.where("target <> other").select("key"))
+    each = back.join(clash, "key", "left_semi").select("target", "v1", "v2").distinct().groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+    return names.where("target = other").select("target").unionByName(each.where(F.col("n") >= least).select("target"))

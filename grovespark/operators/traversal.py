@@ -23,12 +23,17 @@ def hops(edges: DataFrame, direction: str = "out", kinds: list[str] | None = Non
     return both.where("a <> b").distinct()
 
 
+def _merged(levels: list[DataFrame], most: int = 8) -> list[DataFrame]:
+    """The same rows in fewer tables once there are many, so that neither plans nor file lists grow with the depth."""
+    return [cut(reduce(DataFrame.unionByName, levels))] if len(levels) > most else levels
+
+
 def reach(seeds: DataFrame, steps: DataFrame, max_depth: int | None, absorbing: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """(seed, id, depth): everything within `max_depth` steps of each seed at its least depth; the seed itself at 0.
     Without a `max_depth`, until nothing new is reached.
 
     One join a level: the frontier meets the steps, new pairs are told from old ones by a left anti join, and the state is
-    checkpointed, so the plan of a level never grows. Nodes in `absorbing` (id) are reached but not left again. `limit` is
+    written out, so the plan of a level never grows. Nodes in `absorbing` (id) are reached but not left again. `limit` is
     the traversal's own cap on nodes per seed: nearer nodes first, then the least ids. Minimum depth makes the outcome free
     of row order, where a depth-first walk with a shared visited set depends on it. Null ids are no nodes; a seed without
     steps reaches itself.
@@ -42,7 +47,7 @@ def reach(seeds: DataFrame, steps: DataFrame, max_depth: int | None, absorbing:
         new = cut(new.select("seed", "id", F.lit(depth).alias("depth")))
         if new.isEmpty():
             break
-        levels.append(new)
+        levels = _merged([*levels, new])
         front = new if absorbing is None else new.join(absorbing.select("id"), "id", "left_anti").select("seed", "id", "depth")
     out = reduce(DataFrame.unionByName, levels)
     if limit is not None:
@@ -109,7 +114,7 @@ def shortest_paths(pairs: DataFrame, steps: DataFrame, max_depth: int | None = N
         open_ = goals.join(reduce(DataFrame.unionByName, [*levels, new]).select(F.col("seed").alias("start"), F.col("id").alias("end")), ["start", "end"], "left_anti")
         if new.isEmpty():
             break
-        levels.append(new)
+        levels = _merged([*levels, new])
         front = new.join(open_.select(F.col("start").alias("seed")).distinct(), "seed", "left_semi")
         if open_.isEmpty():
             break

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grovespark.operators import algorithms as G
-from grovespark.operators import appgraph as A
+from grovespark.operators import overlay as A
 from grovespark.plans.common import E, F_, N, edges, files, nodes
 from grovespark.plans.graph import _ML, _XF, module_links, package
 from grovespark.plans.relational import PACKAGE_RE, _re
@@ -35,9 +35,9 @@ def language_by_extension(s, d):
 
 
 @query(f"WITH {F_}, m AS (SELECT DISTINCT {_PKG.format('path')} AS k FROM f) SELECT substr(sha1(concat_ws(chr(0), 'code', 'module', k)), 1, 16) AS id, 'code' AS platform, 'module' AS kind, k AS match_key, k AS name FROM m")
-def app_modules(s, d):
+def overlay_modules(s, d):
     m = files(s, d).select(package(F.col("path")).alias("match_key")).distinct()
-    return A.app_nodes(m.select(F.lit("code").alias("platform"), F.lit("module").alias("kind"), "match_key", F.col("match_key").alias("name")))
+    return A.overlay_nodes(m.select(F.lit("code").alias("platform"), F.lit("module").alias("kind"), "match_key", F.col("match_key").alias("name")))
 
 
 @query(f"WITH {N}, {E}, {_XF}, {_ML}, d AS (SELECT a, b FROM m WHERE weight >= 10), j AS (SELECT coalesce(d.a, m.a) AS a, coalesce(d.b, m.b) AS b, CAST(coalesce(weight, 0) AS BIGINT) AS weight, CASE WHEN d.a IS NULL THEN 'lifted' ELSE 'declared' END AS origin FROM d FULL JOIN m ON d.a = m.a AND d.b = m.b) SELECT j.*, (origin = 'lifted' AND EXISTS (SELECT 1 FROM d WHERE d.a = j.b AND d.b = j.a)) AS reversed FROM j")

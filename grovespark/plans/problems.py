@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovespark.operators import hierarchy, incremental, skew
+from grovespark.session import cut
 from grovespark.sources import current_files, distinct_edges, read
 
 
@@ -37,7 +38,7 @@ def p4_paths(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_descendant_counts(spark: SparkSession, d: str) -> DataFrame:
     """Number of descendants and height of every ancestor outside cycles."""
-    return hierarchy.descendants(_contains(spark, d)).groupBy("ancestor").agg(F.count("node").alias("n_descendants"), F.max("distance").alias("height"))
+    return hierarchy.subtree_sizes(_contains(spark, d))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -45,12 +46,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_target_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Per target: distinct edges, distinct sources, the commonest kind and quartiles of the line, from weighted values."""
-    e = distinct_edges(read(spark, d, "edges").select("source", "target", "kind", "line", "col"))
-    src = skew.distinct_counts(skew.compress(e, "target", "source")).select(F.col("key").alias("target"), F.col("n_distinct").alias("n_sources"), F.col("n_rows").alias("n_edges"))
+    """Per target: distinct edges, distinct sources, the commonest kind and quartiles of the line, from weighted values.
+    Ids travel packed, a source as two 64-bit hashes; distinct edges are stored once for the three profiles."""
+    e = read(spark, d, "edges").select(hierarchy.pack(F.col("target")).alias("target"), F.xxhash64("source").alias("s1"), F.xxhash64(F.lit("second"), "source").alias("s2"), F.col("source").isNull().alias("none"), "kind", "line", "col")
+    e = cut(e.distinct())
+    src = e.groupBy("target", "s1", "s2", "none").agg(F.count(F.lit(1)).alias("n")).groupBy("target").agg(F.count_if(~F.col("none")).alias("n_sources"), F.sum("n").alias("n_edges"))
     kind = skew.modes(skew.compress(e, "target", "kind")).select(F.col("key").alias("target"), F.col("mode").alias("top_kind"))
-    line = skew.percentiles(skew.compress(e, "target", "line"), [0.5]).select(F.col("key").alias("target"), F.col("p50").alias("median_line"))
-    return src.join(kind, "target", "left").join(line, "target", "left")
+    line = skew.percentiles(skew.compress(e, "target", "line"), [0.25, 0.5, 0.75]).select(F.col("key").alias("target"), *[F.col(f"p{q}").alias(f"line_p{q}") for q in (25, 50, 75)])
+    out = src.join(kind, src["target"].eqNullSafe(kind["target"]), "left").drop(kind["target"]).join(line, src["target"].eqNullSafe(line["target"]), "left").drop(line["target"])
+    return out.select(hierarchy.unpack(F.col("target")).alias("target"), "n_sources", "n_edges", "top_kind", "line_p25", "line_p50", "line_p75")
 
 
 def p6_repository_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +96,7 @@ SELECT ancestor, count(*) AS n_descendants, CAST(max(distance) AS INTEGER) AS he
     "p6_target_profile": f"""
 WITH e AS ({_EDGE}), k AS (SELECT target, kind, count(*) AS n FROM e GROUP BY ALL),
 top AS (SELECT target, kind FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY n DESC, kind) AS r FROM k) WHERE r = 1)
-SELECT target, count(DISTINCT source) AS n_sources, count(*) AS n_edges, any_value(top.kind) AS top_kind, quantile_disc(line, 0.5) AS median_line FROM e JOIN top USING (target) GROUP BY target""",
+SELECT target, count(DISTINCT source) AS n_sources, count(*) AS n_edges, any_value(top.kind) AS top_kind, quantile_disc(line, 0.25) AS line_p25, quantile_disc(line, 0.5) AS line_p50, quantile_disc(line, 0.75) AS line_p75 FROM e JOIN top USING (target) GROUP BY target""",
     "p6_repository_nodes": """
 WITH cur AS (SELECT split_part(path, '/', 1) AS repository, node_count FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY indexed_at DESC NULLS LAST, modified_at DESC NULLS LAST, CAST(node_count AS VARCHAR) DESC NULLS LAST) AS r FROM files) WHERE r = 1),
 k AS (SELECT repository, node_count, count(*) AS n FROM cur WHERE node_count IS NOT NULL GROUP BY ALL),

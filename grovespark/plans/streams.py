@@ -35,11 +35,10 @@ def debounce_sessions(s, d):
 
 @query(f"WITH {_LANDED}, m AS (SELECT *, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh FROM e), g AS (SELECT *, sum(fresh) OVER (ORDER BY ts, fresh DESC ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT 'all' AS scope, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n FROM g GROUP BY k")
 def debounce_global(s, d):
-    """One timer for all events, as the original debouncer has; events are merged per ten minutes first, so the single
-    session stream sees no more rows than there are stretches of time."""
-    e = _events(s, d).groupBy(F.window("ts", "10 minutes").alias("w"), "ts").agg(F.count(F.lit(1)).alias("n")).select(F.lit("all").alias("scope"), "ts", "n")
-    g = e.groupBy("scope", F.session_window("ts", "10 minutes").alias("w")).agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.sum("n").alias("n"))
-    return g.select("scope", "first_seen", "last_seen", "n")
+    """One timer for all events. Events of the same ten minutes are always one burst, so they are merged to their first and
+    last time and number first; what one window then orders is one row for each stretch of time, however many events."""
+    t = _events(s, d).groupBy(F.window("ts", "10 minutes").alias("w")).agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("n"))
+    return watch.bursts(t, "10 minutes").select(F.lit("all").alias("scope"), "first_seen", "last_seen", "n")
 
 
 @query(f"WITH {_LANDED}, t AS (SELECT max(started_at) AS t0 FROM sync_runs WHERE status = 'succeeded') SELECT path, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n FROM e, t WHERE ts > t0 GROUP BY path")

@@ -44,14 +44,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Truncate lineage through a reliable checkpoint in the shared folder; survives the loss of executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write a table once to the shared folder and read it back: as `cut`, but compressed and in columns, so that later
-    passes read only the columns they use."""
+    """Truncate lineage: write a table once to the shared folder and read it back. It survives the loss of executors, later
+    passes read only the columns they use, and the planner knows its true size. (A checkpoint keeps the size estimated
+    for the plan it replaces; in a loop of joins those estimates grow without end.) The folder's tables may be removed
+    when no query runs."""
     at = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
+    df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+

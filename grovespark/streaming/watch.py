@@ -19,6 +19,15 @@ def sessions(events: DataFrame, key: str, ts: str, quiet: str) -> DataFrame:
     return g.select(key, "first_seen", "last_seen", "n")
 
 
+def bursts(stretches: DataFrame, quiet: str) -> DataFrame:
+    """(first_seen, last_seen, n): stretches of events (the same columns) that do not overlap, joined where less than a quiet
+    time lies between. One window orders all stretches; their number depends on the time covered, not on the events."""
+    w = W.orderBy("first_seen")
+    fresh = F.when(F.col("first_seen") < F.lag("last_seen").over(w) + F.expr(f"INTERVAL {quiet}"), 0).otherwise(1)
+    g = stretches.withColumn("_fresh", fresh).withColumn("_g", F.sum("_fresh").over(w))
+    return g.groupBy("_g").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("n").alias("n")).drop("_g")
+
+
 def pending(events: DataFrame, key: str, ts: str, synced_at) -> DataFrame:
     """(key, first_seen, last_seen, n): what is still to be processed after a run that started at `synced_at` (a column or
     literal): events up to then are done, later ones stay."""

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 import pytest
@@ -93,6 +94,66 @@ def test_components_and_waves(spark):
     assert {r.id: r.wave for r in G.waves(v, deps).collect()} == {"a": 2, "b": 1, "c": 0, "d": 1, "e": -1, "x": -1, "y": -1, "z": 0}
 
 
+def _reach(ids, links):
+    out = {i: {i} for i in ids}
+    while True:
+        new = {i: r.union(*[out[b] for a, b in links if a in r]) for i, r in out.items()}
+        if new == out:
+            return out
+        out = new
+
+
+def test_rounds_give_what_one_task_gives(spark):
+    rnd = random.Random(8)
+    ids = [f"v{i:02}" for i in range(40)]
+    links = [(rnd.choice(ids), rnd.choice(ids)) for _ in range(45)] + [(f"v{i:02}", f"v{i + 1:02}") for i in range(20, 39)] + [(None, "v01"), ("v01", None)]
+    v, e = spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(links, "a string, b string")
+    real = [(a, b) for a, b in links if a and b and a != b]
+    to = _reach(ids, real)
+    strong = {i: min(j for j in ids if j in to[i] and i in to[j]) for i in ids}
+    weak = _reach(ids, real + [(b, a) for a, b in real])
+    bad = {i for i in ids if any(strong[j] != j or any(strong[k] == strong[j] != k for k in ids) or any(strong[k] == j and k != j for k in ids) for j in to[i])}
+    wave = {}
+    for _ in ids:
+        for i in ids:
+            if i not in bad:
+                wave[i] = max([wave.get(b, 0) + 1 for a, b in real if a == i], default=0)
+    for local in (0, 10, 1000):
+        assert {r.id: r.label for r in G.strong_components(v, e, local=local).collect()} == strong
+        assert {r.id: r.label for r in G.components(v, e, local=local).collect()} == {i: min(w) for i, w in weak.items()}
+        assert {r.id: r.wave for r in G.waves(v, e, local=local).collect()} == {i: wave.get(i, -1) for i in ids}
+    seeds = spark.createDataFrame([("v03",), ("v20",), ("alone",)], "id string")
+    one, many = ({r.id: r.score for r in G.random_walk(seeds, e.where("a is not null and b is not null"), rounds=7, local=n).collect()} for n in (1000, 0))
+    assert one.keys() == many.keys() and all(abs(one[k] - many[k]) < 1e-9 for k in one) and one["alone"] == pytest.approx(1 / 3)
+    for f in (G.strong_components, G.components, G.waves):
+        for local in (0, 9):
+            assert f(v.where("false"), e, local=local).count() == 0 and f(v, e.where("false"), local=local).count() == 40
+
+
+def test_long_chains(spark):
+    n = 5000
+    chain = spark.range(n).selectExpr("format_string('c%05d', id) as a", "format_string('c%05d', id + 1) as b")
+    v = spark.range(n + 1).selectExpr("format_string('c%05d', id) as id")
+    got = G.waves(v, chain).agg(F.max("wave"), F.count("wave"), F.count_distinct("wave")).first()
+    assert tuple(got) == (n, n + 1, n + 1)
+    ring = chain.unionByName(spark.createDataFrame([("c05000", "c04000")], "a string, b string"))
+    scc = G.strong_components(v, ring)
+    assert scc.where("label = 'c04000'").count() == 1001 and scc.where("label = id").count() == 4001
+    short = chain.where("a < 'c00300'")
+    assert G.strong_components(v.where("id <= 'c00300'"), short, local=0).where("label = id").count() == 301
+
+
+def test_louvain_in_rounds(spark):
+    rnd = random.Random(2)
+    groups = ["abcdefgh", "ijklmnop", "qrstuvwx"]
+    rows = [(a, b, 4) for g in groups for a in g for b in g if a < b] + [(rnd.choice(groups[0]), rnd.choice(groups[1]), 1), ("p", "q", 1), ("z", "z", 9)]
+    links = spark.createDataFrame(rows, "a string, b string, weight int")
+    want = {x: g[0] for g in groups for x in g}
+    for local in (0, 20, 1000):
+        assert {r.id: r.community for r in G.louvain(links, local=local).collect()} == want
+    assert G.louvain(links.where("false")).count() == 0
+
+
 def test_louvain_and_walk(spark):
     clique = lambda s: [(a, b, 5) for a in s for b in s if a < b]
     links = spark.createDataFrame(clique("abcd") + clique("wxyz") + [("d", "w", 1)], "a string, b string, weight int")

@@ -1,8 +1,10 @@
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from grovespark.operators import skew
-from grovespark.operators.hierarchy import descendants, pack, resolve, unpack
+from grovespark.operators.hierarchy import descendants, pack, resolve, subtree_sizes, unpack
 
 
 def _brute(links):
@@ -39,7 +41,15 @@ def test_resolve_against_brute_force(spark):
             assert r.path is None
     pairs = {(r.ancestor, r.node): r.distance for r in descendants(df).collect()}
     assert len(pairs) == sum(d for _, d in want.values() if d > 0)
-    assert resolve(df.where("false")).count() == 0
+    sizes = {r.ancestor: (r.n_descendants, r.height) for r in subtree_sizes(df).collect()}
+    assert sizes == {a: (sum(x == a for x, _ in pairs), max(d for (x, _), d in pairs.items() if x == a)) for a in {x for x, _ in pairs}}
+    assert resolve(df.where("false")).count() == 0 == subtree_sizes(df.where("false")).count()
+
+
+def test_the_least_of_several_parents_is_the_least_id(spark):
+    ids = ["zclass:" + "00" * 16, "method:" + "aa" * 16, "free text"]
+    df = spark.createDataFrame([(ids[0], "x"), (ids[1], "x"), (ids[2], "y"), (ids[1], "y")], "source string, target string")
+    assert {r.node: r.root for r in resolve(df).collect()} == {"x": ids[1], "y": "free text"}
 
 
 def test_pack_is_reversible(spark):
@@ -68,5 +78,13 @@ def test_heavy_targets_and_profiles(spark):
     got = {r.key: (r.p50, r.p90) for r in skew.percentiles(pairs, [0.5, 0.9]).collect()}
     import math
 
+    outlier = spark.range(100_000).selectExpr("'k' as key", "id as value", "1 as n").unionByName(spark.createDataFrame([("k", 10**12, 1), ("k", None, 5), (None, 3, 2)], "key string, value long, n int"))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        assert {r.key: (r.p25, r.p50, r.p99) for r in skew.percentiles(outlier, [0.25, 0.5, 0.99]).collect()} == {"k": (25_000, 50_000, 99_000), None: (3, 3, 3)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    one_hash = lambda c: F.when(c.isin("hot", "t1", "t2"), F.lit(7).cast("long")).otherwise(F.xxhash64(c))
+    assert {r.target for r in skew.heavy_targets(df, hashed=one_hash).collect()} == want
     assert got == {t: tuple(sorted(x)[math.ceil(len(x) * q) - 1] for q in (0.5, 0.9)) for t, x in by.items()}
     assert rank([1, 2, 3], 0.5) == 2

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from grovespark.operators import appgraph as A
+from grovespark.operators import overlay as A
 from grovespark.operators import extraction as X
 from grovespark.sources import tree
 
