@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from grovespark.session import stored
+from grovespark.session import cut
 from grovespark.sources.tables import spread
 
 #: Words in a passage and between passages' starts; hash slots; latent dimensions and extra ones for the sketch.
@@ -348,7 +348,7 @@ def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
     if not blocks:
         return docs.sparkSession.createDataFrame([], out_type)
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text is not null and text <> ''")
-    d = stored(spread(d).withColumn("slots", slots(F.col("text"))))
+    d = cut(spread(d).withColumn("slots", slots(F.col("text"))))
     weighted = columns(latent(d))
 
     def search(block: list[Item], of: list[np.ndarray]) -> DataFrame:
