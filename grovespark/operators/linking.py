@@ -12,7 +12,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovespark.functions import kinds, paths
+from grovespark.functions import builtins, kinds, paths
+from grovespark.operators import calls, imports
+from grovespark.session import cut
 
 REF = ["from_node_id", "reference_name", "reference_kind", "line", "col", "file_path", "language"]
 CALLABLE = ["function", "method"]
@@ -25,8 +27,10 @@ def keyed(refs: DataFrame) -> DataFrame:
 
 
 def possible(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """References any part of whose name is a known symbol: an existence check before the strategies."""
-    part = refs.select("ref", F.explode(F.array_distinct(F.concat(F.array("reference_name"), F.split("reference_name", r"::|\.|/")))).alias("name"))
+    """References any part of whose name, or the base name of the path that it is, is a known symbol or file: an existence
+    check before the strategies."""
+    whole = F.array("reference_name", paths.basename(F.col("reference_name")))
+    part = refs.select("ref", F.explode(F.array_distinct(F.concat(whole, F.split("reference_name", r"::|\.|/|\(")))).alias("name"))
     ok = part.join(nodes.select("name").distinct(), "name", "left_semi").select("ref").distinct()
     return refs.join(ok, "ref", "left_semi")
 
@@ -81,14 +85,29 @@ def by_exact_name(c: DataFrame) -> DataFrame:
     return b.select("ref", "id", conf.alias("confidence"), F.lit("exact-name").alias("method"), F.lit(5).alias("priority"))
 
 
+def own_symbols(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """References that are no names of their language or its library."""
+    known = nodes.select("name").where("name is not null").distinct().withColumn("_k", F.lit(True))
+    head = F.split_part("reference_name", F.lit("."), F.lit(1))
+    r = refs.withColumn("_cap", F.concat(F.upper(F.substring(head, 1, 1)), F.substring(head, 2, 1 << 20)))
+    r = r.join(known.withColumnRenamed("name", "reference_name").withColumnRenamed("_k", "_own"), "reference_name", "left").join(known.withColumnRenamed("name", "_cap").withColumnRenamed("_k", "_head"), "_cap", "left")
+    there = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return r.where(~builtins.is_builtin(F.col("reference_name"), F.col("language"), there("_own"), there("_head"))).select(*refs.columns)
+
+
 def by_qualified_name(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """.95 for the qualified name itself, .85 for its only ending; names without a separator are left to others."""
-    q = refs.where(F.col("reference_name").rlike(r"::|\.|/"))
-    n = nodes.select("id", "qualified_name", "name")
-    exact = q.join(n, q["reference_name"] == n["qualified_name"]).groupBy("ref").agg(F.min("id").alias("id"), F.lit(0.95).alias("confidence"))
-    last = q.withColumn("last", F.element_at(F.split("reference_name", r"::|\.|/"), -1))
-    end = last.join(n, last["last"] == n["name"]).where(F.col("qualified_name").endswith(F.concat(F.lit("::"), F.col("reference_name")))).groupBy("ref").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("k")).where("k = 1").select("ref", "id", F.lit(0.85).alias("confidence"))
-    return exact.unionByName(end).select("ref", "id", "confidence", F.lit("qualified-name").alias("method"), F.lit(2).alias("priority"))
+    """.95 for the qualified name itself, one in the reference's file first; .85 for the only symbol whose qualified name ends
+    in it after a `::`; names without a separator are left to others. The symbols are reduced to one row per name first."""
+    q = refs.where(F.col("reference_name").rlike(r"::|\.|/")).select("ref", F.col("reference_name").alias("_q"), "file_path")
+    n = nodes.where("qualified_name is not null").select("id", F.col("qualified_name").alias("_q"), "file_path")
+    near = n.groupBy("_q", "file_path").agg(F.min("id").alias("own"))
+    exact = q.join(n.groupBy("_q").agg(F.min("id").alias("any")), "_q").join(near, ["_q", "file_path"], "left").select("ref", F.coalesce("own", "any").alias("id"), F.lit(0.95).alias("confidence"))
+    parts = F.split("_q", "::")
+    tails = n.where(F.col("_q").contains("::")).select("id", F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "::"))).alias("_q"))
+    only = tails.groupBy("_q").agg(F.min("id").alias("id"), F.max("id").alias("_other")).where("id = _other")
+    end = q.join(only, "_q").select("ref", "id", F.lit(0.85).alias("confidence"))
+    both = exact.unionByName(end).groupBy("ref").agg(F.min_by(F.struct("id", "confidence"), F.struct((-F.col("confidence")).alias("c"), "id")).alias("b"))
+    return both.select("ref", "b.id", "b.confidence", F.lit("qualified-name").alias("method"), F.lit(2).alias("priority"))
 
 
 def by_import(refs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -108,21 +127,33 @@ def by_function_value(c: DataFrame) -> DataFrame:
 
 
 def by_fuzzy_name(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """.5 for the only callable of the name in another case, .3 across languages."""
-    n = nodes.where(F.col("kind").isin(CALLABLE + ["class"])).select("id", "name", F.lower("name").alias("low"), F.col("language").alias("c_language"))
-    r = refs.withColumn("low", F.lower("reference_name"))
-    g = r.join(n, "low").where("name <> reference_name").groupBy("ref").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("k"), F.min((F.col("c_language") == F.col("language")).cast("int")).alias("own")).where("k = 1")
-    return g.select("ref", "id", F.when(F.col("own") == 1, 0.5).otherwise(0.3).alias("confidence"), F.lit("fuzzy").alias("method"), F.lit(6).alias("priority"))
+    """.5 for the only callable of the name in another case, .3 across languages. Symbols are reduced to one row per spelling
+    before they meet the references, so a frequent name costs one row."""
+    n = nodes.where(F.col("kind").isin(CALLABLE + ["class"])).groupBy(F.lower("name").alias("low"), "name").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id"), F.min("language").alias("c_language"))
+    r = refs.select("ref", F.lower("reference_name").alias("low"), "reference_name", "language")
+    g = r.join(n, "low").where("name <> reference_name").groupBy("ref", "language").agg(F.sum("k").alias("k"), F.min("id").alias("id"), F.min("c_language").alias("c_language")).where("k = 1")
+    conf = F.when(F.col("c_language").eqNullSafe(F.col("language")), 0.5).otherwise(0.3)
+    return g.select("ref", "id", conf.alias("confidence"), F.lit("fuzzy").alias("method"), F.lit(6).alias("priority"))
+
+
+def cascade(refs: DataFrame, nodes: DataFrame, edges: DataFrame, files: DataFrame | None = None, located: DataFrame | None = None, passed_on: DataFrame | None = None) -> DataFrame:
+    """(ref, id, confidence, method, priority): what every strategy proposes for keyed references that are no built-ins and
+    that some symbol could match. With the files' contents the receivers' types are read from the source; with located
+    imports (and re-exports) names are followed to what they bind; without either, import edges that exist are used."""
+    r = cut(possible(own_symbols(refs, nodes), nodes))
+    c = candidates(r, nodes)
+    types = calls.receiver_types(r, files, nodes) if files is not None else None
+    bound = imports.by_imports(r, located, nodes, passed_on) if located is not None else by_import(r, nodes, edges)
+    every = [calls.by_this_member(r, nodes, edges), by_function_value(c), bound, by_qualified_name(r, nodes), calls.by_file_path(r, nodes), calls.by_call_chain(r, nodes, edges), calls.by_method_call(r, nodes, edges, types), by_exact_name(c), by_fuzzy_name(r, nodes)]
+    return reduce(DataFrame.unionByName, every)
 
 
-def resolve(refs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def resolve(refs: DataFrame, nodes: DataFrame, edges: DataFrame, files: DataFrame | None = None, located: DataFrame | None = None, passed_on: DataFrame | None = None) -> DataFrame:
     """(ref columns, target, confidence, method): the whole cascade. A strategy of .9 and more wins by order; else the
     greatest confidence does, ties by order and id. What no strategy links is left out."""
-    r = possible(keyed(refs), nodes)
-    c = candidates(r, nodes)
-    every = [by_function_value(c), by_import(r, nodes, edges), by_qualified_name(r, nodes), by_exact_name(c), by_fuzzy_name(r, nodes)]
+    r = keyed(refs)
     rank = F.struct(F.when(F.col("confidence") >= 0.9, F.col("priority")).otherwise(100).alias("a"), (-F.col("confidence")).alias("b"), "priority", "id")
-    best = reduce(DataFrame.unionByName, every).groupBy("ref").agg(F.min_by(F.struct("id", "confidence", "method"), rank).alias("b"))
+    best = cascade(r, nodes, edges, files, located, passed_on).groupBy("ref").agg(F.min_by(F.struct("id", "confidence", "method"), rank).alias("b"))
     return r.join(best, "ref").select(*REF, F.col("b.id").alias("target"), "b.confidence", "b.method")
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from grovespark.functions import builtins as B
 from grovespark.functions import kinds
+from grovespark.operators import calls as C
 from grovespark.operators import linking as L
 from grovespark.operators import planning as P
 from grovespark.plans.common import E, F_, N, edges, files, nodes
@@ -57,23 +59,135 @@ def best_match_link(s, d):
     return r.join(b, "ref").select(*L.REF, "id", "score")
 
 
-@query(f"WITH {N}, r AS (SELECT DISTINCT * FROM refs), p AS (SELECT DISTINCT {_REFC}, unnest(list_concat([reference_name], string_split_regex(reference_name, '::|\\.|/'))) AS part FROM r) SELECT reference_kind, count(DISTINCT ({_REFC})) AS n FROM p WHERE part IN (SELECT name FROM n) GROUP BY 1")
+@query(f"WITH {N}, r AS (SELECT DISTINCT * FROM refs), p AS (SELECT DISTINCT {_REFC}, unnest(list_concat([reference_name, regexp_extract(reference_name, '[^/]*$')], string_split_regex(reference_name, '::|\\.|/|\\('))) AS part FROM r) SELECT reference_kind, count(DISTINCT ({_REFC})) AS n FROM p WHERE part IN (SELECT name FROM n) GROUP BY 1")
 def link_possible(s, d):
     return L.possible(L.keyed(read(s, d, "refs")), nodes(s, d, "name")).groupBy("reference_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def _in(words):
+    return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
+
+
+_HEAD = "split_part(reference_name, '.', 1)"
+_SCRIPT = f"(reference_name IN {_in(B.SCRIPT_NAMES)} OR regexp_matches(reference_name, '^(console|Math|JSON)[.]'))"
+_BUILTIN = f"""coalesce(CASE WHEN language = 'arkts' THEN {_SCRIPT} OR reference_name IN {_in(B.ARKTS_NAMES)} WHEN language IN {_in(B.SCRIPT)} THEN {_SCRIPT}
+WHEN language = 'python' THEN reference_name IN {_in(B.PYTHON_NAMES)} OR (strpos(reference_name, '.') > 1 AND ({_HEAD} IN {_in(B.PYTHON_TYPES)} OR substr(reference_name, strpos(reference_name, '.') + 1) IN {_in(B.PYTHON_METHODS)} AND upper({_HEAD}[1]) || {_HEAD}[2:] NOT IN (SELECT name FROM kn))) OR (reference_name IN {_in(B.PYTHON_METHODS)} AND reference_name NOT IN (SELECT name FROM kn))
+WHEN language = 'go' THEN (strpos(reference_name, '.') > 1 AND {_HEAD} IN {_in(B.GO_PACKAGES)}) OR reference_name IN {_in(B.GO_NAMES)}
+WHEN language IN ('c', 'cpp') THEN starts_with(reference_name, 'std::') OR (reference_name IN {_in(B.C_NAMES + B.CPP_NAMES)} AND reference_name NOT IN (SELECT name FROM kn)) END, false)"""
+_OWN = f"""kn AS (SELECT DISTINCT name FROM n WHERE name IS NOT NULL), r0 AS (SELECT DISTINCT * FROM refs), r AS (SELECT row_number() OVER () AS ref, * FROM r0 WHERE NOT {_BUILTIN}
+AND len(list_filter(list_concat([reference_name, regexp_extract(reference_name, '[^/]*$')], string_split_regex(reference_name, '::|\\.|/|\\(')), lambda x: x IN (SELECT name FROM kn))) > 0)""".replace(
+    "len(list_filter(list_concat([reference_name, regexp_extract(reference_name, '[^/]*$')], string_split_regex(reference_name, '::|\\.|/|\\(')), lambda x: x IN (SELECT name FROM kn))) > 0",
+    "EXISTS (SELECT 1 FROM (SELECT unnest(list_concat([reference_name, regexp_extract(reference_name, '[^/]*$')], string_split_regex(reference_name, '::|\\.|/|\\('))) AS part) WHERE part IN (SELECT name FROM kn))",
+)
+_J = _CAND.replace("r AS (SELECT DISTINCT * FROM refs), ", "")
+_FV = "fv AS (SELECT ref, coalesce(min(id) FILTER (WHERE c_file = file_path), min(id)) AS id, CASE WHEN count(*) FILTER (WHERE c_file = file_path) > 0 THEN 0.95 ELSE 0.8 END::DOUBLE AS confidence, 'function-value' AS method, 0 AS priority FROM j WHERE reference_kind = 'function_ref' AND kind IN ('function', 'method') GROUP BY ref HAVING count(*) = 1 OR count(*) FILTER (WHERE c_file = file_path) > 0)"
+_IMP = "im AS (SELECT r.ref, min(t.id) AS id, 0.92::DOUBLE AS confidence, 'import' AS method, 1 AS priority FROM r JOIN n i ON i.kind = 'import' AND i.file_path = r.file_path AND i.name = r.reference_name JOIN e ON e.source = i.id AND e.kind = 'imports' JOIN n t ON t.id = e.target AND t.name = r.reference_name AND t.kind NOT IN ('file', 'import') GROUP BY 1)"
+_QN = """qa AS (SELECT r.ref, coalesce(min(n.id) FILTER (WHERE n.file_path = r.file_path), min(n.id)) AS id, 0.95::DOUBLE AS confidence FROM r JOIN n ON n.qualified_name = r.reference_name WHERE regexp_matches(reference_name, '::|[.]|/') GROUP BY 1),
+qb AS (SELECT r.ref, min(n.id) AS id, 0.85::DOUBLE AS confidence FROM r JOIN n ON ends_with(n.qualified_name, '::' || r.reference_name) WHERE regexp_matches(reference_name, '::|[.]|/') GROUP BY 1 HAVING count(DISTINCT n.id) = 1),
+qn AS (SELECT ref, id, confidence, 'qualified-name' AS method, 2 AS priority FROM qa UNION ALL SELECT ref, id, confidence, 'qualified-name', 2 FROM qb WHERE ref NOT IN (SELECT ref FROM qa))"""
+_FP = f"""fb AS (SELECT id, name, qualified_name, file_path AS c_file, language AS c_language, count(*) OVER (PARTITION BY name) AS k FROM n WHERE kind = 'file'),
+fj AS (SELECT r.*, fb.id, fb.c_file, fb.c_language AS cl, CASE WHEN fb.qualified_name = reference_name OR c_file = reference_name THEN 0.95 WHEN ends_with(fb.qualified_name, reference_name) OR ends_with(c_file, reference_name) THEN 0.85 WHEN k = 1 THEN 0.7 END::DOUBLE AS confidence FROM r JOIN fb ON fb.name = regexp_extract(r.reference_name, '[^/]*$') WHERE contains(reference_name, '/') OR regexp_matches(reference_name, '[.][A-Za-z][A-Za-z0-9]{{0,3}}$')),
+fp AS (SELECT ref, id, confidence, 'file-path' AS method, 2 AS priority FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY confidence DESC, regexp_replace(c_file, '/?[^/]*$', '') <> regexp_replace(file_path, '/?[^/]*$', ''), {_PROX} DESC, id) AS x FROM fj WHERE confidence IS NOT NULL) WHERE x = 1)"""
+_WORDS = "list_transform(list_filter(string_split_regex(regexp_replace(regexp_replace({0}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[\\s._:/\\\\]+'), lambda w: length(w) > 1), lambda w: lower(w))"
+_MC = f"""cs AS (SELECT *, regexp_extract(reference_name, rx, 1) AS receiver, regexp_extract(reference_name, rx, 2) AS member FROM (SELECT *, CASE WHEN regexp_matches(reference_name, '^([\\w.]+)\\.(\\w+:?(?:\\w+:)*)$') THEN '^([\\w.]+)\\.(\\w+:?(?:\\w+:)*)$' WHEN regexp_matches(reference_name, '^(\\w+)::(\\w+)$') THEN '^(\\w+)::(\\w+)$' END AS rx FROM r) WHERE rx IS NOT NULL),
+cc AS (SELECT DISTINCT c.name AS type, m.name AS member, c.language, c.file_path AS file, m.id FROM n c JOIN n m ON m.file_path = c.file_path AND m.language = c.language WHERE c.kind IN ('class', 'struct', 'interface') AND m.kind = 'method' AND contains(m.qualified_name, c.name)),
+ct AS (SELECT ref, x.id, 1 AS t, 0.85 AS confidence, 'qualified-name' AS method, x.file <> cs.file_path AS far, x.file FROM cs JOIN cc x ON x.type = receiver AND x.member = cs.member AND x.language = cs.language
+UNION ALL SELECT ref, x.id, 2, 0.8, 'instance-method', x.file <> cs.file_path, x.file FROM cs JOIN cc x ON x.type = upper(receiver[1]) || receiver[2:] AND upper(receiver[1]) || receiver[2:] <> receiver AND x.member = cs.member AND x.language = cs.language),
+mm AS (SELECT * FROM n WHERE kind = 'method' AND name IN (SELECT name FROM n GROUP BY 1 HAVING count(*) <= 500)),
+mj AS (SELECT cs.*, m.id, m.qualified_name, m.file_path AS c_file, m.language AS cl, count(*) FILTER (WHERE m.language = cs.language) OVER (PARTITION BY ref) AS n_own, count(*) OVER (PARTITION BY ref) AS n_all FROM cs JOIN mm m ON m.name = cs.member),
+m4 AS (SELECT *, len(list_filter({_WORDS.format('receiver')}, lambda w: list_contains({_WORDS.format('qualified_name')}, w))) + (cl = language)::INT AS score FROM mj WHERE (n_own > 1 AND cl = language) OR (n_own = 0 AND n_all > 1)),
+mt AS (SELECT ref, id, t, confidence, method FROM (SELECT *, row_number() OVER (PARTITION BY ref, t ORDER BY far, file, id) AS x FROM ct) WHERE x = 1
+UNION ALL SELECT ref, id, 3, 0.7, 'instance-method' FROM mj WHERE n_own = 1 AND cl = language
+UNION ALL SELECT ref, id, 4, 0.65, 'instance-method' FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY score DESC, c_file <> file_path, id) AS x FROM m4 WHERE score >= 2) WHERE x = 1),
+mc AS (SELECT ref, id, confidence::DOUBLE AS confidence, method, 3 AS priority FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY t, id) AS x FROM mt) WHERE x = 1)"""
+_EX = f"""{_SCORE}, ex AS (SELECT ref, id, CASE WHEN k = 1 THEN CASE WHEN c_language = language THEN 0.9 ELSE 0.5 END WHEN {_PROX} >= 30 THEN 0.7 ELSE 0.4 END::DOUBLE AS confidence, 'exact-name' AS method, 5 AS priority FROM (SELECT *, count(*) OVER (PARTITION BY ref) AS k, row_number() OVER (PARTITION BY ref ORDER BY c_language = language DESC, score DESC, id) AS x FROM s) WHERE x = 1)"""
+_FZ = "fz AS (SELECT r.ref, min(c.id) AS id, CASE WHEN min(c.language) IS NOT DISTINCT FROM any_value(r.language) THEN 0.5 ELSE 0.3 END::DOUBLE AS confidence, 'fuzzy' AS method, 6 AS priority FROM r JOIN n c ON lower(c.name) = lower(r.reference_name) AND c.name <> r.reference_name WHERE c.kind IN ('function', 'method', 'class') GROUP BY 1 HAVING count(*) = 1)"
+_PARTS = {"fv": _FV, "im": _IMP, "qn": _QN, "fp": _FP, "mc": _MC, "ex": _EX, "fz": _FZ}
+_BASE = f"{N}, {E}, {_OWN}, {_J}"
+_ALL = f"{_BASE}, " + ", ".join(_PARTS.values()) + ", every AS (" + " UNION ALL ".join(f"SELECT ref, id, confidence, method, priority FROM {k}" for k in _PARTS) + "), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY CASE WHEN confidence >= 0.9 THEN priority ELSE 100 END, confidence DESC, priority, id) AS x FROM every) WHERE x = 1)"
+_LINKED = f"{_ALL}, linked AS (SELECT r.* EXCLUDE (ref), best.id AS target, best.confidence, best.method FROM best JOIN r USING (ref))"
+
+
+def _strategy(key):
+    return f"WITH {_BASE}, {_PARTS[key]} SELECT {_REFC}, x.id AS target, x.confidence, x.method FROM {key} x JOIN r USING (ref)"
+
+
+def _own(s, d, n):
+    return L.possible(L.own_symbols(L.keyed(read(s, d, "refs")), n), n)
+
+
+def _linked(refs, got):
+    return refs.join(got, "ref").select(*L.REF, F.col("id").alias("target"), F.col("confidence").cast("double").alias("confidence"), "method")
+
+
+@query(f"WITH {N}, kn AS (SELECT DISTINCT name FROM n WHERE name IS NOT NULL) SELECT language, count(*) AS n, count(*) FILTER (WHERE {_BUILTIN}) AS n_built_in FROM (SELECT DISTINCT * FROM refs) GROUP BY 1")
+def link_built_ins(s, d):
+    r = L.keyed(read(s, d, "refs"))
+    own = L.own_symbols(r, nodes(s, d, "name")).select("ref", F.lit(0).alias("b"))
+    return r.join(own, "ref", "left").groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("b", F.lit(1))).alias("n_built_in"))
+
+
+@query(_strategy("fv"))
+def link_function_values(s, d):
+    n = nodes(s, d, *_COLS)
+    r = _own(s, d, n)
+    return _linked(r, L.by_function_value(L.candidates(r, n)))
+
+
+@query(_strategy("im"))
+def link_imports(s, d):
+    n = nodes(s, d, *_COLS)
+    r = _own(s, d, n)
+    return _linked(r, L.by_import(r, n, edges(s, d)))
+
+
+@query(_strategy("qn"))
+def link_qualified_names(s, d):
+    n = nodes(s, d, *_COLS)
+    r = _own(s, d, n)
+    return _linked(r, L.by_qualified_name(r, n))
+
+
+@query(_strategy("fp"))
+def link_file_paths(s, d):
+    n = nodes(s, d, *_COLS)
+    r = _own(s, d, n)
+    return _linked(r, C.by_file_path(r, n))
+
+
+@query(_strategy("mc"))
+def link_method_calls(s, d):
+    n = nodes(s, d, *_COLS)
+    r = _own(s, d, n)
+    return _linked(r, C.by_method_call(r, n, edges(s, d)))
+
+
+@query(_strategy("ex"))
+def link_exact_names(s, d):
+    n = nodes(s, d, *_COLS)
+    r = _own(s, d, n)
+    return _linked(r, L.by_exact_name(L.candidates(r, n)))
+
+
+@query(_strategy("fz"))
+def link_fuzzy_names(s, d):
+    n = nodes(s, d, *_COLS)
+    r = _own(s, d, n)
+    return _linked(r, L.by_fuzzy_name(r, n))
+
+
+@query(f"WITH {_LINKED} SELECT * FROM linked")
 def link_cascade(s, d):
-    return L.resolve(read(s, d, "refs"), nodes(s, d, *_COLS), edges(s, d))
+    return L.resolve(read(s, d, "refs"), nodes(s, d, *_COLS, "return_type"), edges(s, d)).withColumn("confidence", F.col("confidence").cast("double"))
 
 
-@query()
+@query(f"WITH {_LINKED} SELECT method, reference_kind, count(*) AS n, round(avg(confidence), 6) AS confidence FROM linked GROUP BY 1, 2")
 def link_methods(s, d):
     """References resolved by each method."""
     return link_cascade(s, d).groupBy("method", "reference_kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
 
 
-@query()
+@query(f"WITH {_LINKED} SELECT from_node_id AS source, target, CASE WHEN reference_kind = 'function_ref' THEN 'references' WHEN reference_kind = 'extends' AND n.kind IN ('interface', 'protocol') THEN 'implements' WHEN reference_kind = 'calls' AND n.kind IN ('class', 'struct') THEN 'instantiates' ELSE reference_kind END AS kind, line, col, method AS provenance FROM linked JOIN n ON n.id = linked.target")
 def edge_kind_promotion(s, d):
     return L.to_edges(link_cascade(s, d), nodes(s, d, "kind"))
 
