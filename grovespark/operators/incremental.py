@@ -2,7 +2,7 @@
 
 A ledger keeps what was processed as disjoint, merged intervals of sequence numbers. A run takes the available ranges,
 subtracts the ledger and works on the gaps only; so numbers that become visible late stay gaps until a run sees them.
-The merged intervals are committed with the output in one rename, so a run that dies leaves neither.
+The merged intervals are committed together with the output, so a run that dies leaves neither.
 """
 
 from __future__ import annotations
@@ -12,11 +12,16 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from grovespark.session import cut
+
 MICROS_A_DAY = 86_400_000_000
+#: Sequence numbers of one bucket of an interval table.
+WIDTH = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -60,81 +65,132 @@ class Intervals:
         return any(a <= x <= b for a, b in self.spans)
 
 
-def available(df: DataFrame, seq: str, bucket: int = 1 << 20) -> Intervals:
-    """The ranges of consecutive sequence numbers that are present. Islands are found inside buckets of numbers, in
-    parallel; only the ends of islands reach the driver. Null numbers are not available. Nothing present: no ranges."""
-    n = df.where(F.col(seq).isNotNull()).select(F.col(seq).cast("long").alias("_s")).distinct().withColumn("_b", F.floor(F.col("_s") / bucket))
-    w = W.partitionBy("_b").orderBy("_s")
-    islands = n.withColumn("_g", F.col("_s") - F.row_number().over(w)).groupBy("_b", "_g").agg(F.min("_s").alias("lo"), F.max("_s").alias("hi"))
-    return Intervals.of((r.lo, r.hi) for r in islands.select("lo", "hi").toLocalIterator())
+# Interval sets as tables: (bucket, lo, hi), disjoint and merged within a bucket of `width` numbers. A bucket holds no more
+# intervals than numbers, so every step is a window over a bucket, and no set is ever gathered in one place.
+
+
+def islands(df: DataFrame, seq: str, width: int = WIDTH) -> DataFrame:
+    """The ranges of consecutive sequence numbers that are present. Null numbers are not available; nothing present: no rows."""
+    n = df.where(F.col(seq).isNotNull()).select(F.col(seq).cast("long").alias("_s")).distinct().withColumn("bucket", F.floor(F.col("_s") / width))
+    run = F.col("_s") - F.row_number().over(W.partitionBy("bucket").orderBy("_s"))
+    return n.withColumn("_g", run).groupBy("bucket", "_g").agg(F.min("_s").alias("lo"), F.max("_s").alias("hi")).drop("_g")
+
+
+def spans_table(spark: SparkSession, spans: Intervals, width: int = WIDTH) -> DataFrame:
+    """A few intervals as a table, cut at the buckets' borders."""
+    t = spark.createDataFrame(list(spans.spans), "_lo long, _hi long")
+    t = t.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))))
+    return t.select("bucket", F.greatest("_lo", F.col("bucket") * width).alias("lo"), F.least("_hi", (F.col("bucket") + 1) * width - 1).alias("hi"))
+
+
+def _swept(a: DataFrame, b: DataFrame, keep: Callable[[Column, Column], Column]) -> DataFrame:
+    """Where `keep(in a, in b)` holds, merged: one sweep over the ends of both sets' intervals in each bucket."""
+    ends = lambda df, x, y: df.select("bucket", F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(x).alias("a"), F.lit(y).alias("b")), F.struct((F.col("hi") + 1).alias("at"), F.lit(-x).alias("a"), F.lit(-y).alias("b")))).alias("e")).select("bucket", "e.*")
+    e = ends(a, 1, 0).unionByName(ends(b, 0, 1)).groupBy("bucket", "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    w = W.partitionBy("bucket").orderBy("at")
+    e = e.select("bucket", "at", keep(F.sum("a").over(w) > 0, F.sum("b").over(w) > 0).alias("on"))
+    e = e.withColumn("was", F.lag("on", 1, False).over(w)).where("on <> was")
+    return e.withColumn("hi", F.lead("at").over(w) - 1).where("on").select("bucket", F.col("at").alias("lo"), "hi")
 
 
-def within(df: DataFrame, seq: str, spans: Intervals, few: int = 50, bucket: int = 1 << 20) -> DataFrame:
-    """The rows whose sequence number lies in the intervals. A few intervals are a filter that the scan can use; many are
-    joined by the buckets of numbers they cross, so that the plan does not grow with them."""
-    if not spans.spans:
-        return df.where(F.lit(False))
-    if len(spans.spans) <= few:
+def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
+    return _swept(a, b, lambda x, y: x & ~y)
+
+
+def united(a: DataFrame, b: DataFrame) -> DataFrame:
+    return _swept(a, b, lambda x, y: x | y)
+
+
+def within(df: DataFrame, seq: str, spans: DataFrame, few: int = 50, width: int = WIDTH) -> DataFrame:
+    """The rows whose sequence number lies in the intervals of a table. A few intervals are a filter that the scan can use;
+    of many, each number finds the interval that starts last before it, in its bucket, and rows are kept by a semi-join."""
+    some = spans.select("lo", "hi").limit(few + 1).collect()
+    if len(some) <= few:
         cond = F.lit(False)
-        for lo, hi in spans.spans:
-            cond = cond | F.col(seq).between(lo, hi)
+        for r in some:
+            cond = cond | F.col(seq).between(r.lo, r.hi)
         return df.where(cond)
-    t = df.sparkSession.createDataFrame(list(spans.spans), "_lo long, _hi long")
-    t = t.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / bucket), F.floor(F.col("_hi") / bucket))))
-    return df.withColumn("_b", F.floor(F.col(seq) / bucket)).join(t, "_b").where(F.col(seq).between(F.col("_lo"), F.col("_hi"))).select(*df.columns)
+    number = df.where(F.col(seq).isNotNull()).select(F.col(seq).cast("long").alias("at")).distinct().select(F.floor(F.col("at") / width).alias("bucket"), "at", F.lit(None).cast("long").alias("hi"), F.lit(1).alias("row"))
+    both = number.unionByName(spans.select("bucket", F.col("lo").alias("at"), "hi", F.lit(0).alias("row")))
+    reach = F.last("hi", ignorenulls=True).over(W.partitionBy("bucket").orderBy("at", "row"))
+    taken = both.withColumn("_hi", reach).where("row = 1 and at <= _hi").select(F.col("at").alias("_s"))
+    return df.join(taken, df[seq].cast("long") == taken["_s"], "left_semi")
 
 
 class Ledger:
     """Committed intervals of a consumer, in a folder that all executors reach.
 
-    Layout: `<root>/commits/<n>.json` names the output folder of commit n and the merged intervals after it. A commit
-    exists when its file does; the file is moved into place by one rename that fails when the name is taken, so of two
-    runs that race for commit n one loses and must start again from the new state. Outputs no commit names are ignored.
+    A run writes its output and the intervals after it as tables under names of its own; `commits/<n>.json`, which names
+    both and the commit they build on, makes them count. It is created under its final name and never overwritten, so of
+    two runs that race for a number one loses. Commits form a chain from the newest whole file back; files off the chain,
+    as of a run that died while it wrote one, and tables that no commit names count for nothing.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self._jvm = spark.sparkContext._jvm
-        self._path = lambda p: self._jvm.org.apache.hadoop.fs.Path(p)
+    def __init__(self, spark: SparkSession, root: str, width: int = WIDTH):
+        self.spark, self.root, self.width = spark, root.rstrip("/"), width
+        jvm = spark.sparkContext._jvm
+        self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _commits(self) -> list[int]:
+    def _chain(self) -> list[dict]:
+        """Commits that count, oldest first."""
         d = self._path(f"{self.root}/commits")
-        return sorted(int(s.getPath().getName()[:-5]) for s in self._fs.listStatus(d) if s.getPath().getName().endswith(".json")) if self._fs.exists(d) else []
-
-    def _read(self, n: int) -> dict:
-        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.root}/commits/{n}.json").collect()))
+        names = [s.getPath().getName() for s in self._fs.listStatus(d)] if self._fs.exists(d) else []
+        found = {}
+        for n in sorted(int(x[:-5]) for x in names if x.endswith(".json") and not x.startswith(".")):
+            try:
+                found[n] = json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/commits/{n}.json").collect())) | {"n": n}
+            except ValueError:
+                continue
+        out, n = [], max(found, default=0)
+        while n:
+            out.append(found[n])
+            n = found[n]["after"]
+        return out[::-1]
+
+    def _taken(self) -> int:
+        d = self._path(f"{self.root}/commits")
+        return max([int(s.getPath().getName()[:-5]) for s in self._fs.listStatus(d) if s.getPath().getName().endswith(".json") and not s.getPath().getName().startswith(".")] if self._fs.exists(d) else [], default=0)
 
-    def state(self) -> tuple[int, Intervals]:
-        c = self._commits()
-        return (c[-1], Intervals.of(self._read(c[-1])["intervals"])) if c else (0, Intervals())
+    def state(self) -> tuple[int, DataFrame]:
+        """Number of the newest commit, and the intervals after it."""
+        c = self._chain()
+        return (c[-1]["n"], self.spark.read.parquet(c[-1]["intervals"])) if c else (0, self.spark.createDataFrame([], "bucket long, lo long, hi long"))
 
     def outputs(self) -> list[str]:
-        return [p for n in self._commits() if (p := self._read(n)["output"])]
-
-    def commit(self, n: int, done: Intervals, output: str | None) -> None:
-        tmp, to = self._path(f"{self.root}/commits/.{uuid.uuid4().hex}"), self._path(f"{self.root}/commits/{n}.json")
-        out = self._fs.create(tmp, False)
-        out.write(bytearray(json.dumps({"intervals": done.spans, "output": output}).encode()))
+        return [c["output"] for c in self._chain()]
+
+    def commit(self, after: int, intervals: str, output: str) -> int:
+        """Makes a run's tables count if `after` is still the newest commit; raises if another run was faster."""
+        n = self._taken() + 1
+        if (self._chain() or [{"n": 0}])[-1]["n"] != after:
+            raise RuntimeError(f"another run committed after {after}")
+        try:
+            out = self._fs.create(self._path(f"{self.root}/commits/{n}.json"), False)
+        except Py4JJavaError as e:
+            raise RuntimeError(f"commit {n} was taken by another run") from e
+        out.write(bytearray(json.dumps({"after": after, "intervals": intervals, "output": output}).encode()))
         out.close()
-        if self._fs.exists(to) or not self._fs.rename(tmp, to):
-            self._fs.delete(tmp, False)
-            raise RuntimeError(f"commit {n} was taken by another run")
+        if self._chain()[-1]["n"] != n:
+            raise RuntimeError(f"commit {n} was overtaken by another run")
+        return n
 
 
-def run_once(source: DataFrame, ledger: Ledger, seq: str, process: Callable[[DataFrame], DataFrame]) -> Intervals:
+def run_once(source: DataFrame, ledger: Ledger, seq: str, process: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """One run: process exactly the rows of `source` whose sequence numbers no earlier run committed, and commit.
 
-    Gives the gaps it processed. Rows with a null number are never taken. A run over nothing new writes and commits
-    nothing. If `process` or the write fails, nothing is committed and the next run takes the same gaps again.
+    Gives the gaps it processed (bucket, lo, hi). Rows with a null number are never taken. A run over nothing new writes
+    and commits nothing. If `process` or the write fails, nothing is committed and the next run takes the same gaps again.
     """
     n, done = ledger.state()
-    gaps = available(source, seq).minus(done)
-    if not gaps.spans:
+    mark = uuid.uuid4().hex
+    gaps = cut(subtract(islands(source, seq, ledger.width), done))
+    if gaps.isEmpty():
         return gaps
-    out = f"{ledger.root}/data/{n + 1}-{uuid.uuid4().hex}"
-    process(within(source, seq, gaps)).write.parquet(out)
-    ledger.commit(n + 1, done.union(gaps), out)
+    out, spans = f"{ledger.root}/data/{mark}", f"{ledger.root}/intervals/{mark}"
+    process(within(source, seq, gaps, width=ledger.width)).write.parquet(out)
+    united(done, gaps).write.parquet(spans)
+    ledger.commit(n, spans, out)
     return gaps
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovespark.operators import hierarchy, incremental, skew
-from grovespark.session import cut
+from grovespark.session import checkpoint_dir, cut
 from grovespark.sources import current_files, distinct_edges, read
 
 
@@ -22,6 +25,25 @@ def p1_run_sizes(spark: SparkSession, d: str) -> DataFrame:
     return found.join(first, "path").groupBy("run_id").agg(F.count("path").alias("n_paths"), F.count_if(F.col("run_id") == F.col("first_run")).alias("n_new"))
 
 
+def p1_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """(commit_no, n_rows, first_seq, last_seq): observations of files that three runs took from a growing log by their landing
+    time. The first sees what landed in the first half of the log, the second fails while it writes, the third sees all."""
+    seq = F.unix_micros(F.col("indexed_at").cast("timestamp"))
+    log = read(spark, d, "files").select("path", "content_hash", seq.alias("seq"))
+    at = log.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
+    ledger = incremental.Ledger(spark, f"{checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}", width=1 << 36)
+    half = log.where(F.col("seq") <= (at.lo + at.hi) // 2) if at.lo is not None else log
+    incremental.run_once(half, ledger, "seq", lambda df: df)
+    try:
+        incremental.run_once(log, ledger, "seq", lambda df: df.withColumn("path", F.raise_error(F.lit("lost"))))
+    except Exception:  # noqa: BLE001, S110
+        pass
+    incremental.run_once(log, ledger, "seq", lambda df: df)
+    empty = spark.createDataFrame([], "commit_no int, n_rows long, first_seq long, last_seq long")
+    parts = [spark.read.parquet(p).agg(F.lit(k).alias("commit_no"), F.count(F.lit(1)).alias("n_rows"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")) for k, p in enumerate(ledger.outputs(), 1)]
+    return reduce(DataFrame.unionByName, parts, empty)
+
+
 def _contains(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "edges").where("kind = 'contains'").select("source", "target")
 
@@ -66,7 +88,7 @@ def p6_repository_nodes(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("key").alias("repository"), F.col("n_rows").alias("n_files"), F.col("n_distinct").alias("n_counts"), F.col("mode").alias("top_count"), "p50", "p90")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_run_sizes, p4_found, p4_paths, p4_descendant_counts, p6_found, p6_target_profile, p6_repository_nodes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_run_sizes, p1_ledger, p4_found, p4_paths, p4_descendant_counts, p6_found, p6_target_profile, p6_repository_nodes)}
 
 _P1 = """
 WITH ok AS (SELECT run_id, started_at, row_number() OVER (ORDER BY started_at, run_id) AS k FROM sync_runs WHERE status = 'succeeded'),
@@ -85,6 +107,7 @@ _EDGE = "SELECT DISTINCT source, target, kind, line, col FROM edges"
 SQL = {
     "p1_found": _P1 + "SELECT run_id, path FROM found",
     "p1_run_sizes": _P1 + "SELECT run_id, count(*) AS n_paths, count(*) FILTER (WHERE run_id = first_run) AS n_new FROM (SELECT *, min(run_id) OVER (PARTITION BY path) AS first_run FROM found) GROUP BY run_id",
+    "p1_ledger": "WITH s AS (SELECT epoch_us(indexed_at) AS seq FROM files WHERE indexed_at IS NOT NULL), m AS (SELECT (min(seq) + max(seq)) // 2 AS half FROM s) SELECT CAST(CASE WHEN seq <= half THEN 1 ELSE 2 END AS INTEGER) AS commit_no, count(*) AS n_rows, min(seq) AS first_seq, max(seq) AS last_seq FROM s, m GROUP BY 1",
     "p4_found": _TREE + "SELECT l.c AS node, coalesce(d.root, '') AS root, CAST(coalesce(d.depth, -1) AS INTEGER) AS depth FROM link l LEFT JOIN down d ON d.node = l.c",
     "p4_paths": _TREE + "SELECT l.c AS node, coalesce(d.root, '') AS root, CAST(coalesce(d.depth, -1) AS INTEGER) AS depth, d.path FROM link l LEFT JOIN down d ON d.node = l.c",
     "p4_descendant_counts": """

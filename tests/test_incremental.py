@@ -4,8 +4,9 @@ from datetime import datetime, timedelta
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from grovespark.operators.incremental import Intervals, Ledger, available, changed_paths, plan_runs, run_once, within
+from grovespark.operators.incremental import Intervals, Ledger, changed_paths, islands, plan_runs, run_once, spans_table, subtract, united, within
 
 spans = st.lists(st.tuples(st.integers(0, 40), st.integers(0, 8)).map(lambda x: (x[0], x[0] + x[1])), max_size=8)
 
@@ -20,36 +21,79 @@ def test_interval_algebra(a, b):
     assert all(p[1] + 1 < q[0] for p, q in zip(x.spans, x.spans[1:]))
 
 
-def test_available_islands(spark):
-    df = spark.createDataFrame([(1,), (2,), (2,), (5,), (None,), (7,), (8,)], "s long")
-    assert available(df, "s", bucket=3).spans == ((1, 2), (5, 5), (7, 8))
-    assert available(df.where("s > 100"), "s").spans == ()
+def _spans(df):
+    return Intervals.of((r.lo, r.hi) for r in df.collect()).spans
 
 
-def test_many_intervals_are_joined(spark):
-    df = spark.range(400).withColumnRenamed("id", "s")
+def test_islands(spark):
+    df = spark.createDataFrame([(1,), (2,), (2,), (5,), (None,), (7,), (8,), (-4,)], "s long")
+    assert _spans(islands(df, "s", 3)) == ((-4, -4), (1, 2), (5, 5), (7, 8))
+    assert islands(df.where("s > 100"), "s").count() == 0
+
+
+def test_interval_tables_against_sets(spark):
+    rnd = random.Random(6)
+    for _ in range(4):
+        a, b = ({rnd.randint(-20, 60) for _ in range(30)} for _ in range(2))
+        x, y = (islands(spark.createDataFrame([(i,) for i in s], "s long"), "s", 7) for s in (a, b))
+        as_set = lambda df: [i for r in df.collect() for i in range(r.lo, r.hi + 1)]
+        assert sorted(as_set(subtract(x, y))) == sorted(a - b) and sorted(as_set(united(x, y))) == sorted(a | b)
+        assert all(r.lo // 7 == r.hi // 7 == r.bucket for r in united(x, y).collect())
+
+
+def test_rows_within_few_and_many_intervals(spark):
+    df = spark.range(400).withColumnRenamed("id", "s").selectExpr("s", "s as at", "s as bucket", "s as hi")
     spans = Intervals.of((x, x + 1) for x in range(0, 400, 5))
-    assert sorted(r.s for r in within(df, "s", spans, bucket=7).collect()) == [x for x in range(400) if x in spans] == sorted(r.s for r in within(df, "s", spans, few=1000).collect())
+    t = spans_table(spark, spans, 7)
+    want = [x for x in range(400) if x in spans]
+    assert sorted(r.s for r in within(df, "s", t, width=7).collect()) == want == sorted(r.s for r in within(df, "s", t, few=1000, width=7).collect())
+
+
+def test_a_million_islands_stay_tables(spark):
+    odd = spark.range(0, 2_000_000, 2).withColumnRenamed("id", "s")
+    x = islands(odd, "s", 1 << 14)
+    assert x.count() == 1_000_000
+    gaps = subtract(x, islands(odd.where("s >= 100"), "s", 1 << 14))
+    assert [(r.lo, r.hi) for r in gaps.orderBy("lo").collect()] == [(i, i) for i in range(0, 100, 2)]
 
 
 def test_ledger_takes_late_rows_once_and_survives_failures(spark, tmp_path):
-    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    ledger = Ledger(spark, str(tmp_path / "ledger"), width=4)
     src = lambda *n: spark.createDataFrame([(x, f"v{x}") for x in n], "s long, v string")
     seen = lambda: sorted(r.s for p in ledger.outputs() for r in spark.read.parquet(p).collect())
-    assert run_once(src(1, 2, 5), ledger, "s", lambda d: d).spans == ((1, 2), (5, 5))
+    assert _spans(run_once(src(1, 2, 5), ledger, "s", lambda d: d)) == ((1, 2), (5, 5))
 
     def dies(df):
         raise ValueError("lost")
 
     with pytest.raises(ValueError):
         run_once(src(1, 2, 3, 5, 6), ledger, "s", dies)
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        run_once(src(1, 2, 3, 5, 6), ledger, "s", lambda d: d.withColumn("v", F.raise_error(F.lit("lost"))))
     assert seen() == [1, 2, 5]
     # 3 was committed late, below numbers that are done; it is still a gap.
-    assert run_once(src(1, 2, 3, 5, 6), ledger, "s", lambda d: d).spans == ((3, 3), (6, 6))
+    assert _spans(run_once(src(1, 2, 3, 5, 6), ledger, "s", lambda d: d)) == ((3, 3), (6, 6))
     assert seen() == [1, 2, 3, 5, 6]
-    assert run_once(src(1, 2, 3, 5, 6), ledger, "s", lambda d: d).spans == ()
+    assert _spans(run_once(src(1, 2, 3, 5, 6), ledger, "s", lambda d: d)) == ()
+    assert _spans(ledger.state()[1]) == ((1, 3), (5, 6))
+
+
+def test_of_two_runs_that_race_one_loses(spark, tmp_path):
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    src = spark.createDataFrame([(1,), (2,)], "s long")
+
+    def slow(df):
+        run_once(src, Ledger(spark, ledger.root), "s", lambda d: d)
+        return df
+
     with pytest.raises(RuntimeError):
-        ledger.commit(2, Intervals(), None)
+        run_once(src, ledger, "s", slow)
+    assert len(ledger.outputs()) == 1
+    # A run that died while it wrote its commit leaves an empty file, which counts for nothing.
+    (tmp_path / "ledger" / "commits" / "2.json").write_text("")
+    assert len(ledger.outputs()) == 1
+    run_once(src.unionByName(spark.createDataFrame([(9,)], "s long")), ledger, "s", lambda d: d)
+    assert sorted(r.s for p in ledger.outputs() for r in spark.read.parquet(p).collect()) == [1, 2, 9]
 
 
 def _files(spark, rows):
