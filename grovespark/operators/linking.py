@@ -144,7 +144,9 @@ def cascade(refs: DataFrame, nodes: DataFrame, edges: DataFrame, files: DataFram
     c = candidates(r, nodes)
     types = calls.receiver_types(r, files, nodes) if files is not None else None
     bound = imports.by_imports(r, located, nodes, passed_on) if located is not None else by_import(r, nodes, edges)
-    every = [calls.by_this_member(r, nodes, edges), by_function_value(c), bound, by_qualified_name(r, nodes), calls.by_file_path(r, nodes), calls.by_call_chain(r, nodes, edges), calls.by_method_call(r, nodes, edges, types), by_exact_name(c), by_fuzzy_name(r, nodes)]
+    every = [calls.by_this_member(r, nodes, edges), by_function_value(c), bound, by_qualified_name(r, nodes), calls.by_file_path(r, nodes), calls.by_method_call(r, nodes, edges, types), by_exact_name(c), by_fuzzy_name(r, nodes)]
+    if "return_type" in nodes.columns:
+        every.append(calls.by_call_chain(r, nodes, edges))
     return reduce(DataFrame.unionByName, every)
 
 

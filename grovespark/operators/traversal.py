@@ -100,23 +100,75 @@ def impact(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int
     return reduce(DataFrame.unionByName, seen)
 
 
-def shortest_paths(pairs: DataFrame, steps: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(start, end, length, path): one shortest way for each pair (start, end), the one whose ids come first; pairs without
-    a way are left out. Without a `max_depth` the search goes on until no pair is open or nothing new is reached. Each seed keeps one predecessor per node, so the state is a tree, not a set of paths."""
+def tree(seeds: DataFrame, steps: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(seed, id, depth, pred): as `reach`, with the least of the nodes that lead to each one from a step nearer; null at the
+    seed. The state is a tree per seed, not a set of paths."""
     steps = cut(steps)
-    goals = cut(pairs.select("start", "end").distinct())
-    seen = cut(goals.select(F.col("start").alias("seed"), F.col("start").alias("id"), F.lit(0).alias("depth"), F.array("start").alias("way")).distinct())
+    seen = cut(seeds.where("seed is not null").select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("pred")).distinct())
     front, levels = seen, [seen]
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        step = front.join(steps, front["id"] == steps["a"]).groupBy("seed", F.col("b").alias("id")).agg(F.min("way").alias("way"))
+        step = front.join(steps, front["id"] == steps["a"]).groupBy("seed", F.col("b").alias("id")).agg(F.min(front["id"]).alias("pred"))
         new = step.join(reduce(DataFrame.unionByName, levels).select("seed", "id"), ["seed", "id"], "left_anti")
-        new = cut(new.select("seed", "id", F.lit(depth).alias("depth"), F.concat("way", F.array("id")).alias("way")))
-        open_ = goals.join(reduce(DataFrame.unionByName, [*levels, new]).select(F.col("seed").alias("start"), F.col("id").alias("end")), ["start", "end"], "left_anti")
+        new = cut(new.select("seed", "id", F.lit(depth).alias("depth"), "pred"))
         if new.isEmpty():
             break
         levels = _merged([*levels, new])
-        front = new.join(open_.select(F.col("start").alias("seed")).distinct(), "seed", "left_semi")
-        if open_.isEmpty():
+        front = new
+    return reduce(DataFrame.unionByName, levels)
+
+
+def shortest_paths(starts: DataFrame, goals: DataFrame, steps: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(start, end, length, path): one shortest way from each start (start) to each goal (end) that it reaches; of several the
+    one whose ids are least, read from the end. Starts and goals are never paired before a way is known: each start grows
+    its tree, goals are a filter on it, and ways are read off backwards, all at once. Without a `max_depth` the search
+    goes on until nothing new is reached. Null ends are none."""
+    t = cut(tree(starts.select(F.col("start").alias("seed")), steps, max_depth))
+    way = t.join(goals.select(F.col("end").alias("id")).where("id is not null").distinct(), "id", "left_semi").select("seed", F.col("id").alias("end"), F.col("depth").alias("length"), F.col("pred").alias("at"), F.array("id").alias("way"))
+    done = []
+    while True:
+        way = cut(way)
+        done.append(way.where("at is null"))
+        way = way.where("at is not null")
+        if way.isEmpty():
             break
-    found = reduce(DataFrame.unionByName, levels).select(F.col("seed").alias("start"), F.col("id").alias("end"), F.col("depth").alias("length"), F.array_join("way", " > ").alias("path"))
-    return found.join(goals, ["start", "end"], "left_semi")
+        up = t.select("seed", F.col("id").alias("at"), "pred")
+        way = way.join(up, ["seed", "at"]).select("seed", "end", "length", F.col("pred").alias("at"), F.concat(F.array("at"), "way").alias("way"))
+        done = _merged(done)
+    return reduce(DataFrame.unionByName, done).select(F.col("seed").alias("start"), "end", "length", F.array_join("way", " > ").alias("path"))
+
+
+def subgraph(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, direction: str = "out", kinds: list[str] | None = None, node_kinds: list[str] | None = None, max_depth: int | None = None, limit: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """A breadth-first traversal from each seed with all that belongs to it: nodes (seed, id, depth), at most `limit` a seed,
+    nearer ones first, then those reached by containment, then by calls, then the least ids; and every distinct edge
+    (seed, source, target, kind) between two kept nodes of a seed. With `node_kinds` only nodes of these kinds are
+    entered (and kept); the seed always is. Edges to ids without a node lead nowhere."""
+    n = nodes.where(F.col("kind").isin(node_kinds)) if node_kinds else nodes
+    e = edges if kinds is None else edges.where(F.col("kind").isin(kinds))
+    e = cut(e.where("source <> target").select("source", "target", "kind").distinct())
+    inner = n.select(F.col("id").alias("b"))
+    steps = hops(e, direction).join(inner, "b", "left_semi").select("a", "b")
+    got = cut(reach(seeds, steps, max_depth))
+    rank = F.when(F.col("kind") == "contains", 0).when(F.col("kind") == "calls", 1).otherwise(2)
+    by = e.select(F.col("target").alias("id"), rank.alias("r")).unionByName(e.select(F.col("source").alias("id"), rank.alias("r"))).groupBy("id").agg(F.min("r").alias("_r"))
+    from grovespark.operators.relational import capped
+
+    kept = cut(capped(got.join(by, "id", "left").select("seed", "id", "depth", F.coalesce("_r", F.lit(3)).alias("_r")), "seed", [F.asc("depth"), F.asc("_r"), F.asc("id")], limit).select("seed", "id", "depth"))
+    ends = lambda c: kept.select("seed", F.col("id").alias(c))
+    return kept, e.join(ends("source"), "source").join(ends("target"), ["seed", "target"]).select("seed", "source", "target", "kind")
+
+
+def call_paths(entries: DataFrame, edges: DataFrame, most_hops: int = 6) -> DataFrame:
+    """(start, path, length): chains of calls among the entry symbols (id), longest first: ways from one entry to another over
+    calls, of which those that are part of another, in order, are left out."""
+    e = entries.select("id").distinct()
+    ways = shortest_paths(e.select(F.col("id").alias("start")), e.select(F.col("id").alias("end")), hops(edges, "out", ["calls"]), most_hops).where("length > 0")
+    return maximal_chains(ways.select("start", "path", "length"))
+
+
+def maximal_chains(chains: DataFrame) -> DataFrame:
+    """Chains (start, path, length) whose path is no part of a longer chain's, in one piece. Chains are compared only with
+    those that hold their first id, so no two unrelated ones meet; equal paths count once."""
+    c = cut(chains.dropDuplicates(["path"]))
+    held = c.select(F.explode(F.array_distinct(F.split("path", " > "))).alias("start"), F.col("path").alias("_long"), F.col("length").alias("_l"))
+    part = c.join(held, "start").where((F.col("_l") > F.col("length")) & F.contains(F.concat(F.lit(" > "), "_long", F.lit(" > ")), F.concat(F.lit(" > "), "path", F.lit(" > ")))).select("path").distinct()
+    return c.join(part, "path", "left_anti").select("start", "path", "length")

@@ -29,9 +29,18 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "edges").select("source", "target", "kind", "line", "col").distinct()
 
 
+def picked(c: str = "id"):
+    """The stated query set of a search from many starts: one id in a hundred, by its hash, whatever its kind."""
+    return F.conv(F.substring(F.md5(F.encode(c, "UTF-8")), 1, 4), 16, 10).cast("int") % 100 == 0
+
+
+#: The SQL twin of `picked`.
+PICKED = "('0x' || substr(md5(id), 1, 4))::INTEGER % 100 = 0"
+
+
 def named(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small literal table."""
     return spark.createDataFrame(rows, schema)
 
 
-__all__ = ["E", "F_", "N", "F", "edges", "files", "named", "nodes"]
+__all__ = ["E", "F_", "N", "PICKED", "F", "edges", "files", "named", "nodes", "picked"]

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grovespark.functions import names, paths
+from grovespark.functions.kinds import KIND_BONUS
 from grovespark.operators import algorithms as G
 from grovespark.operators import relational as R
 from grovespark.operators import search as Q
 from grovespark.operators import traversal as T
-from grovespark.plans.common import E, N, edges, nodes
+from grovespark.plans.common import PICKED, E, N, edges, nodes, picked
 from grovespark.plans.relational import _TEST, PACKAGE_RE, _re
+from grovespark.session import cut
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -26,151 +28,119 @@ def query(sql: str | None = None):
     return add
 
 
-def _seeds(s, d, kind):
-    return nodes(s, d, "kind").where(F.col("kind") == kind).select(F.col("id").alias("seed"))
+_PICKED, _picked = PICKED, picked
+_CALLABLES = "kind IN ('function', 'method')"
+_TYPE_KINDS = ("class", "interface", "struct", "trait", "protocol", "enum")
+_REF = "('calls', 'references', 'imports', 'instantiates')"
 
 
-_REF = "('calls', 'references', 'imports', 'instantiates')"
+def _seeds(s, d, *kinds, picked=True):
+    n = nodes(s, d, "kind")
+    n = n.where(F.col("kind").isin(*kinds)) if kinds else n
+    return (n.where(_picked()) if picked else n).select(F.col("id").alias("seed"))
+
 
+def _bfs(name: str, steps: str, seeds: str, depth: int | None = None) -> str:
+    """SQL of a traversal: CTEs `steps` (a, b) and `name` (seed, id, depth), each pair with its least depth, to the end."""
+    more = "" if depth is None else f" AND r.depth < {depth}"
+    return f"""{name}_h AS ({steps}), {name}(seed, id, depth) USING KEY (seed, id) AS (SELECT id, id, 0 FROM n WHERE {seeds} UNION SELECT r.seed, h.b, min(r.depth + 1) FROM {name} r JOIN {name}_h h ON h.a = r.id WHERE NOT EXISTS (SELECT 1 FROM recurring.{name} q WHERE q.seed = r.seed AND q.id = h.b){more} GROUP BY 1, 2)"""
 
-def _walk(step: str, kind: str, depth: int, filt: str = "", drop: str = "WHERE depth > 0") -> str:
-    """SQL twin of a traversal: every pair with its least depth. step: a CTE h(a, b)."""
-    return f"""WITH RECURSIVE {N}, {E}, {step}, r AS (SELECT id AS seed, id, 0 AS depth FROM n WHERE kind = '{kind}' UNION SELECT r.seed, h.b, r.depth + 1 FROM r JOIN h ON h.a = r.id WHERE r.depth < {depth} {filt})
-SELECT * FROM (SELECT seed, id, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1, 2) {drop}"""
 
+_IN = f"SELECT DISTINCT target AS a, source AS b FROM e WHERE kind IN {_REF} AND source <> target"
+_OUT = f"SELECT DISTINCT source AS a, target AS b FROM e WHERE kind IN {_REF} AND source <> target"
+_BOTH = "SELECT DISTINCT source AS a, target AS b FROM e WHERE source <> target UNION SELECT DISTINCT target, source FROM e WHERE source <> target"
+_TYPES = "SELECT DISTINCT {0} AS a, {1} AS b FROM e WHERE kind IN ('extends', 'implements') AND source <> target"
 
-_IN = f"h AS (SELECT DISTINCT target AS a, source AS b FROM e WHERE kind IN {_REF} AND source <> target)"
-_OUT = f"h AS (SELECT DISTINCT source AS a, target AS b FROM e WHERE kind IN {_REF} AND source <> target)"
 
+def _got(name: str, where: str = "WHERE depth > 0") -> str:
+    return f"SELECT seed, id, CAST(depth AS INTEGER) AS depth FROM {name} {where}"
 
-@query(_walk(_IN, "interface", 1))
+
+@query(f"WITH RECURSIVE {N}, {E}, {_bfs('x', _IN, 'true', 1)} {_got('x')}")
 def callers_k1(s, d):
-    return T.callers(_seeds(s, d, "interface"), edges(s, d), 1)
+    """Direct callers of every node."""
+    return T.callers(_seeds(s, d, picked=False), edges(s, d), 1)
 
 
-@query(_walk(_IN, "interface", 2))
+@query(f"WITH RECURSIVE {N}, {E}, {_bfs('x', _IN, _PICKED, 2)} {_got('x')}")
 def callers_k2(s, d):
-    return T.callers(_seeds(s, d, "interface"), edges(s, d), 2)
+    """Callers of each picked node within two steps."""
+    return T.callers(_seeds(s, d), edges(s, d), 2)
 
 
-@query(_walk(_OUT, "function", 1))
+@query(f"WITH RECURSIVE {N}, {E}, {_bfs('x', _OUT, 'true', 1)} {_got('x')}")
 def callees_k1(s, d):
-    return T.callees(_seeds(s, d, "function"), edges(s, d), 1)
+    return T.callees(_seeds(s, d, picked=False), edges(s, d), 1)
 
 
-@query(f"""WITH c AS ({_walk(_IN, "enum", 2)}), o AS ({_walk(_OUT, "enum", 2)}) SELECT seed, id, CAST(min(depth) AS INTEGER) AS depth FROM (SELECT * FROM c UNION ALL SELECT * FROM o) GROUP BY 1, 2""")
+@query(f"WITH RECURSIVE {N}, {E}, {_bfs('x', _IN, _PICKED, 2)}, {_bfs('y', _OUT, _PICKED, 2)} SELECT seed, id, CAST(min(depth) AS INTEGER) AS depth FROM (SELECT * FROM x UNION ALL SELECT * FROM y) WHERE depth > 0 GROUP BY 1, 2")
 def call_graph_k2(s, d):
-    e, seeds = edges(s, d), _seeds(s, d, "enum")
+    """Callers and callees of each picked node within two steps."""
+    e, seeds = edges(s, d), _seeds(s, d)
     return T.callers(seeds, e, 2).unionByName(T.callees(seeds, e, 2)).groupBy("seed", "id").agg(F.min("depth").alias("depth"))
 
 
-_TYPES = "h AS (SELECT DISTINCT {0} AS a, {1} AS b FROM e WHERE kind IN ('extends', 'implements') AND source <> target)"
+_TK = "kind IN ('" + "', '".join(_TYPE_KINDS) + "')"
 
 
-@query(f"""WITH RECURSIVE {N}, {E}, u AS (SELECT DISTINCT source AS a, target AS b FROM e WHERE kind IN ('extends', 'implements') AND source <> target), x AS (SELECT id AS seed, id, 0 AS depth FROM n WHERE kind = 'interface' UNION SELECT x.seed, u.b, x.depth + 1 FROM x JOIN u ON u.a = x.id WHERE x.depth < 40), y AS (SELECT id AS seed, id, 0 AS depth FROM n WHERE kind = 'interface' UNION SELECT y.seed, u.a, y.depth - 1 FROM y JOIN u ON u.b = y.id WHERE y.depth > -40)
-SELECT seed, id, CAST(min(depth) AS INTEGER) AS depth FROM x GROUP BY 1, 2 HAVING min(depth) > 0 UNION ALL SELECT seed, id, CAST(max(depth) AS INTEGER) FROM y GROUP BY 1, 2 HAVING max(depth) < 0""")
+@query(f"WITH RECURSIVE {N}, {E}, {_bfs('x', _TYPES.format('source', 'target'), _TK)}, {_bfs('y', _TYPES.format('target', 'source'), _TK)} {_got('x')} UNION ALL SELECT seed, id, CAST(-depth AS INTEGER) FROM y WHERE depth > 0")
 def type_hierarchy(s, d):
-    return T.type_hierarchy(_seeds(s, d, "interface"), edges(s, d), 40)
+    """Supertypes and subtypes of every type, however deep."""
+    return T.type_hierarchy(_seeds(s, d, *_TYPE_KINDS, picked=False), edges(s, d))
 
 
-_BOTH = "h AS (SELECT DISTINCT source AS a, target AS b FROM e WHERE source <> target UNION SELECT DISTINCT target, source FROM e WHERE source <> target)"
+@query(f"WITH RECURSIVE {N}, {E}, {_bfs('x', _BOTH, _PICKED)}, k AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, id) AS r FROM x) SELECT seed, id, CAST(depth AS INTEGER) AS depth FROM k WHERE r <= 1000")
+def bfs_both(s, d):
+    """The nearest thousand nodes of each picked node, either way, without a limit of depth."""
+    return T.reach(_seeds(s, d), T.hops(edges(s, d), "both"), None, limit=1000)
 
 
-@query(f"WITH w AS ({_walk(_BOTH, 'enum', 2, drop='')}), k AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, id) AS r FROM w) SELECT seed, id, depth FROM k WHERE r <= 1000")
-def bfs_both(s, d):
-    return T.reach(_seeds(s, d, "enum"), T.hops(edges(s, d), "both"), 2, limit=1000)
+@query(f"WITH RECURSIVE {N}, {E}, {_bfs('x', 'SELECT DISTINCT source AS a, target AS b FROM e JOIN n ON n.id = e.target WHERE source <> target', _PICKED, 2)}, k AS (SELECT * FROM (SELECT x.*, row_number() OVER (PARTITION BY seed ORDER BY depth, coalesce(r, 3), x.id) AS i FROM x LEFT JOIN (SELECT id, min(r) AS r FROM (SELECT source AS id, CASE kind WHEN 'contains' THEN 0 WHEN 'calls' THEN 1 ELSE 2 END AS r FROM e WHERE source <> target UNION ALL SELECT target, CASE kind WHEN 'contains' THEN 0 WHEN 'calls' THEN 1 ELSE 2 END FROM e WHERE source <> target) GROUP BY 1) USING (id)) WHERE i <= 1000) SELECT DISTINCT a.seed, e.source, e.target, e.kind FROM e JOIN k a ON a.id = e.source JOIN k b ON b.seed = a.seed AND b.id = e.target WHERE e.source <> e.target")
+def bfs_subgraph_edges(s, d):
+    """Edges among what each picked node leads to within two steps."""
+    return T.subgraph(_seeds(s, d), nodes(s, d, "kind"), edges(s, d), "out", max_depth=2)[1]
 
 
 @query(f"""WITH RECURSIVE {N}, {E}, c AS (SELECT DISTINCT source AS a, target AS b FROM e JOIN n ON n.id = e.source WHERE e.kind = 'contains' AND n.kind IN ('class', 'interface', 'struct', 'trait', 'protocol', 'module', 'enum') AND source <> target),
 h AS (SELECT DISTINCT target AS a, source AS b FROM e WHERE kind <> 'contains' AND source <> target),
-r AS (SELECT id AS seed, id, 0 AS depth FROM n WHERE kind = 'enum' UNION SELECT seed, x.b, x.depth FROM (SELECT r.seed, h.b, r.depth + 1 AS depth FROM r JOIN h ON h.a = r.id WHERE r.depth < 2 UNION ALL SELECT r.seed, c.b, r.depth FROM r JOIN c ON c.a = r.id) x)
+r AS (SELECT id AS seed, id, 0 AS depth FROM n WHERE {_PICKED} UNION SELECT seed, x.b, x.depth FROM (SELECT r.seed, h.b, r.depth + 1 AS depth FROM r JOIN h ON h.a = r.id WHERE r.depth < 3 UNION ALL SELECT r.seed, c.b, r.depth FROM r JOIN c ON c.a = r.id) x)
 SELECT seed, id, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1, 2""")
-def impact_k2(s, d):
-    return T.impact(_seeds(s, d, "enum"), nodes(s, d, "kind"), edges(s, d), 2)
-
-
-@query(f"""WITH RECURSIVE {N}, {E}, h AS (SELECT DISTINCT source AS a, target AS b FROM e WHERE kind IN {_REF} AND source <> target), g AS (SELECT id FROM n WHERE file_path LIKE 'corekit/%' AND kind <> 'file'),
-r AS (SELECT id AS seed, id, 0 AS depth FROM n WHERE kind = 'function' AND language = 'vue' UNION SELECT r.seed, h.b, r.depth + 1 FROM r JOIN h ON h.a = r.id WHERE r.depth < 6)
-SELECT seed AS start, id AS "end", CAST(min(depth) AS INTEGER) AS length FROM r WHERE id IN (SELECT id FROM g) GROUP BY 1, 2""")
-def shortest_path_len(s, d):
-    n = nodes(s, d, "kind", "file_path", "language")
-    goals = n.where("file_path like 'corekit/%' and kind <> 'file'").select("id")
-    r = T.reach(n.where("kind = 'function' and language = 'vue'").select(F.col("id").alias("seed")), T.hops(edges(s, d), "out", R.REFERRING), 6)
-    return r.join(goals, "id", "left_semi").select(F.col("seed").alias("start"), F.col("id").alias("end"), F.col("depth").alias("length"))
-
-
-def _picked(c="id"):
-    """The stated query set of a pairwise search: one id in a hundred, whatever its path and language."""
-    return F.pmod(F.xxhash64(c), F.lit(100)) == 0
+def impact_k3(s, d):
+    """Impact of each picked node, to the operator's depth of three."""
+    return T.impact(_seeds(s, d), nodes(s, d, "kind"), edges(s, d))
 
 
-def _callables(s, d):
-    return nodes(s, d, "kind").where(F.col("kind").isin("function", "method")).where(_picked())
+_WAYS = f"{_bfs('x', _OUT, f'{_CALLABLES} AND {_PICKED}')}"
 
 
-@query()
-def shortest_path_len_all(s, d):
+@query(f"WITH RECURSIVE {N}, {E}, {_WAYS} SELECT seed AS start, id AS \"end\", CAST(depth AS INTEGER) AS length FROM x WHERE id IN (SELECT id FROM n)")
+def shortest_path_len(s, d):
     """Lengths of the ways from each picked function or method to every node that it reaches, without a limit of hops."""
-    r = T.reach(_callables(s, d).select(F.col("id").alias("seed")), T.hops(edges(s, d), "out", R.REFERRING), None)
+    r = T.reach(_seeds(s, d, "function", "method"), T.hops(edges(s, d), "out", R.REFERRING), None)
     return r.join(nodes(s, d).select("id"), "id", "left_semi").select(F.col("seed").alias("start"), F.col("id").alias("end"), F.col("depth").alias("length"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {N}, {E}, {_WAYS}, p AS (SELECT x.seed, x.id, min(q.id) AS pred FROM x JOIN x_h ON x_h.b = x.id JOIN x q ON q.seed = x.seed AND q.id = x_h.a AND q.depth = x.depth - 1 GROUP BY 1, 2),
+w AS (SELECT seed, id AS goal, id AS cur, id AS path, depth FROM x WHERE id IN (SELECT id FROM n WHERE kind = 'class') UNION ALL SELECT w.seed, goal, p.pred, p.pred || ' > ' || path, depth FROM w JOIN p ON p.seed = w.seed AND p.id = w.cur)
+SELECT seed AS start, goal AS "end", CAST(depth AS INTEGER) AS length, path FROM w WHERE cur = seed""")
 def shortest_paths(s, d):
-    """Ways from each picked function or method to every picked class, without a limit of hops."""
-    goal = nodes(s, d, "kind").where("kind = 'class'").where(_picked()).select(F.col("id").alias("end"))
-    pairs = _callables(s, d).select(F.col("id").alias("start")).crossJoin(goal)
-    return T.shortest_paths(pairs, T.hops(edges(s, d), "out", R.REFERRING))
-
-
-def _all(s, d, *kinds):
-    n = nodes(s, d, "kind")
-    return (n.where(F.col("kind").isin(*kinds)) if kinds else n.where(_picked())).select(F.col("id").alias("seed"))
-
-
-@query()
-def callers_all(s, d):
-    """Direct callers of every function and method."""
-    return T.callers(_all(s, d, "function", "method"), edges(s, d), 1)
-
-
-@query()
-def call_graph_all(s, d):
-    """Callers and callees of every function and method within two steps."""
-    e, seeds = edges(s, d), _all(s, d, "function", "method")
-    return T.callers(seeds, e, 2).unionByName(T.callees(seeds, e, 2)).groupBy("seed", "id").agg(F.min("depth").alias("depth"))
-
-
-@query()
-def bfs_both_all(s, d):
-    """The nearest thousand nodes of each picked node of any kind, either way, without a limit of depth."""
-    return T.reach(_all(s, d), T.hops(edges(s, d), "both"), None, limit=1000)
-
-
-@query()
-def impact_all(s, d):
-    """Impact of each picked node of any kind, to the operator's depth of three."""
-    return T.impact(_all(s, d), nodes(s, d, "kind"), edges(s, d))
-
-
-@query()
-def type_hierarchy_all(s, d):
-    """Supertypes and subtypes of every type, however deep."""
-    return T.type_hierarchy(_all(s, d, "class", "interface", "struct", "trait", "protocol", "enum"), edges(s, d))
+    """Ways from each picked function or method to every class that it reaches, without a limit of hops."""
+    goal = nodes(s, d, "kind").where("kind = 'class'").select(F.col("id").alias("end"))
+    return T.shortest_paths(_seeds(s, d, "function", "method").withColumnRenamed("seed", "start"), goal, T.hops(edges(s, d), "out", R.REFERRING))
 
 
 _FE = "x AS (SELECT DISTINCT a.file_path AS source_file, b.file_path AS target_file FROM e JOIN n a ON a.id = e.source JOIN n b ON b.id = e.target WHERE e.kind <> 'contains' AND a.file_path <> b.file_path)"
 
 
-@query(f"""WITH RECURSIVE {N}, {E}, {_FE}, t AS (SELECT DISTINCT file_path AS f FROM n WHERE {_TEST.format('file_path')}), r AS (SELECT DISTINCT file_path AS seed, file_path AS id, 0 AS depth FROM n WHERE kind = 'enum' UNION SELECT r.seed, x.source_file, r.depth + 1 FROM r JOIN x ON x.target_file = r.id WHERE r.depth < 5 AND (r.depth = 0 OR r.id NOT IN (SELECT f FROM t)))
-SELECT seed AS changed, id AS test, CAST(min(depth) AS INTEGER) AS depth FROM r WHERE id IN (SELECT f FROM t) GROUP BY 1, 2 HAVING min(depth) > 0""")
+@query(f"""WITH RECURSIVE {N}, {E}, {_FE}, t AS (SELECT DISTINCT file_path AS f FROM n WHERE {_TEST.format('file_path')}), p AS (SELECT DISTINCT file_path AS id FROM n), r(seed, id, depth) USING KEY (seed, id) AS (SELECT id, id, 0 FROM p WHERE {_PICKED} UNION SELECT r.seed, x.source_file, min(r.depth + 1) FROM r JOIN x ON x.target_file = r.id WHERE (r.depth = 0 OR r.id NOT IN (SELECT f FROM t)) AND r.depth < 5 AND NOT EXISTS (SELECT 1 FROM recurring.r q WHERE q.seed = r.seed AND q.id = x.source_file) GROUP BY 1, 2)
+SELECT seed AS changed, id AS test, CAST(depth AS INTEGER) AS depth FROM r WHERE id IN (SELECT f FROM t) AND depth > 0""")
 def affected_tests(s, d):
-    """Tests that transitively depend on the files that define an enum; a test is not walked through."""
-    n = nodes(s, d, "kind", "file_path")
+    """Tests that depend on each picked file within the five steps of the operator; a test is not walked through."""
+    n = nodes(s, d, "file_path")
     x = R.cross_file(edges(s, d), n)
-    tests = n.select(F.col("file_path").alias("id")).distinct().where(paths.is_test(F.col("id")))
-    seeds = n.where("kind = 'enum'").select(F.col("file_path").alias("seed")).distinct()
-    r = T.reach(seeds, x.select(F.col("target_file").alias("a"), F.col("source_file").alias("b")), 5, absorbing=tests)
+    f = n.select(F.col("file_path").alias("id")).distinct()
+    tests = cut(f.where(paths.is_test(F.col("id"))))
+    r = T.reach(f.where(_picked()).select(F.col("id").alias("seed")), x.select(F.col("target_file").alias("a"), F.col("source_file").alias("b")), 5, absorbing=tests)
     return r.where("depth > 0").join(tests, "id", "left_semi").select(F.col("seed").alias("changed"), F.col("id").alias("test"), "depth")
 
 
@@ -209,7 +179,8 @@ def topo_waves(s, d):
     return G.waves(m.select(F.col("a").alias("id")).unionByName(m.select(F.col("b").alias("id"))).distinct(), m.select("a", "b"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {N}, {E}, {_XF}, {_ML}, v AS (SELECT a AS id FROM m UNION SELECT b FROM m), k AS (SELECT a, b FROM m UNION SELECT k.a, m.b FROM k JOIN m ON m.a = k.b), c AS (SELECT v.id, least(v.id, min(q.b)) AS label FROM v LEFT JOIN (SELECT k.a, k.b FROM k JOIN k r ON r.a = k.b AND r.b = k.a) q ON q.a = v.id GROUP BY v.id),
+d AS (SELECT DISTINCT x.label AS a, y.label AS b FROM m JOIN c x ON x.id = m.a JOIN c y ON y.id = m.b WHERE x.label <> y.label), w AS (SELECT DISTINCT label AS id, 0 AS wave FROM c UNION SELECT d.a, w.wave + 1 FROM w JOIN d ON d.b = w.id) SELECT c.id, c.label, CAST((SELECT max(wave) FROM w WHERE w.id = c.label) AS INTEGER) AS wave FROM c""")
 def module_waves_condensed(s, d):
     """Order of migration: packages condensed by cycles, then in waves and by name within a wave."""
     m = module_links(s, d)
@@ -249,24 +220,14 @@ def community_cohesion(s, d):
     return G.cohesion(parts, links)
 
 
-@query(f"""WITH RECURSIVE {N}, {E}, {_XF}, w AS (SELECT a, b, count(*)::DOUBLE AS w FROM (SELECT source_file AS a, target_file AS b FROM x UNION ALL SELECT target_file, source_file FROM x) GROUP BY 1, 2), p AS (SELECT a, b, w / sum(w) OVER (PARTITION BY a) AS p FROM w), ids AS (SELECT DISTINCT a AS id FROM p), sd AS (SELECT DISTINCT n.file_path AS id FROM n JOIN ids ON ids.id = n.file_path WHERE kind = 'enum'), base AS (SELECT ids.id, CASE WHEN sd.id IS NULL THEN 0.0 ELSE 1.0 / (SELECT count(*) FROM sd) END::DOUBLE AS s FROM ids LEFT JOIN sd USING (id)),
-r AS (SELECT 0 AS k, id, s AS score FROM base UNION ALL SELECT k, id, score FROM (SELECT r.k + 1 AS k, base.id, any_value(base.s) * 0.25 + 0.75 * sum(r.score * p.p) AS score FROM r JOIN p ON p.a = r.id JOIN base ON base.id = p.b WHERE r.k < 8 GROUP BY r.k, base.id))
-SELECT id, round(score, 6) AS score FROM r WHERE k = 8""")
+@query(f"""WITH RECURSIVE {N}, {E}, {_XF}, w AS (SELECT a, b, count(*)::DOUBLE AS w FROM (SELECT source_file AS a, target_file AS b FROM x UNION ALL SELECT target_file, source_file FROM x) GROUP BY 1, 2), p AS (SELECT a, b, w / sum(w) OVER (PARTITION BY a) AS p FROM w), ids AS (SELECT DISTINCT a AS id FROM p), sd AS (SELECT id FROM ids WHERE {_PICKED}), base AS (SELECT ids.id, CASE WHEN sd.id IS NULL THEN 0.0 ELSE 1.0 / (SELECT count(*) FROM sd) END::DOUBLE AS s FROM ids LEFT JOIN sd USING (id)),
+r AS (SELECT 0 AS k, id, s AS score FROM base UNION ALL SELECT k, id, score FROM (SELECT r.k + 1 AS k, base.id, any_value(base.s) * 0.25 + 0.75 * sum(r.score * p.p) AS score FROM r JOIN p ON p.a = r.id JOIN base ON base.id = p.b WHERE r.k < 25 GROUP BY r.k, base.id))
+SELECT id, round(score, 6) AS score FROM r WHERE k = 25""")
 def rwr_relevance(s, d):
-    """Relevance of files to those that define an enum, by a random walk with restart over file links; eight rounds."""
+    """Relevance of all linked files to the picked ones, by a random walk of 25 rounds with restart over file links."""
     links = _file_links(s, d)
     on = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
-    seeds = nodes(s, d, "kind", "file_path").where("kind = 'enum'").select(F.col("file_path").alias("id")).distinct().join(on, "id", "left_semi")
-    return G.random_walk(seeds, links, rounds=8).select("id", F.round("score", 6).alias("score"))
-
-
-@query()
-def rwr_relevance_full(s, d):
-    """As `rwr_relevance`, with all of the operator's rounds."""
-    links = _file_links(s, d)
-    on = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
-    seeds = nodes(s, d, "kind", "file_path").where("kind = 'enum'").select(F.col("file_path").alias("id")).distinct().join(on, "id", "left_semi")
-    return G.random_walk(seeds, links).select("id", F.round("score", 6).alias("score"))
+    return G.random_walk(on.where(_picked()), links).select("id", F.round("score", 6).alias("score"))
 
 
 # Search.
@@ -333,11 +294,34 @@ def path_relevance(s, d):
     return nodes(s, d, "file_path").select(F.col("file_path").alias("path")).distinct().select("path", names.path_relevance(F.col("path"), "cache store").alias("score"))
 
 
-@query()
+_RANKQ = ["oldest", "cached", "route"]
+_P = "lower(file_path)"
+_PATHREL = " + ".join(f"CASE WHEN contains(regexp_extract({_P}, '[^/]*$'), '{w}') THEN 10 ELSE 0 END + CASE WHEN contains(regexp_replace({_P}, '/?[^/]*$', ''), '{w}') THEN 5 WHEN contains({_P}, '{w}') THEN 3 ELSE 0 END" for w in _RANKQ)
+_NAMEB = "CASE WHEN lower(name) = 'oldestcachedroute' THEN 80 WHEN lower(name) IN ('oldest', 'cached', 'route') THEN 60 WHEN starts_with(lower(name), 'oldestcachedroute') THEN CAST(floor(10 + 30.0 * 17 / length(name) + 0.5) AS INTEGER) WHEN contains(lower(name), 'oldest') AND contains(lower(name), 'cached') AND contains(lower(name), 'route') THEN 15 WHEN contains(lower(name), 'oldestcachedroute') THEN 10 ELSE 0 END"
+_KINDB = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in KIND_BONUS.items()) + " ELSE 0 END"
+
+
+def _bm25_sql(terms):
+    return SQL["bm25_prefix"].replace("(VALUES ('log'), ('schema'), ('oldest'))", "(VALUES " + ", ".join(f"('{t}')" for t in terms) + ")")
+
+
+@query(f"WITH {N}, t AS ({_bm25_sql(_RANKQ)}) SELECT id, name, round(t.score + {_KINDB} + ({_PATHREL}) - CASE WHEN {_TEST.format('file_path')} THEN 15 ELSE 0 END + {_NAMEB}, 6) AS score FROM t JOIN n USING (id) ORDER BY score DESC, id LIMIT 50")
 def search_ranked(s, d):
     return Q.ranked(nodes(s, d, "name", "qualified_name", "docstring", "signature", "kind", "file_path"), "oldest cached route", 50)
 
 
-@query()
+_STEMS = [  # (condition, letters cut off, letters added), over t of n letters
+    ("ends_with(t, 'ing') AND n > 5", 3, ""), ("ends_with(t, 'ing') AND n > 5", 3, "e"), ("ends_with(t, 'ing') AND n > 5 AND t[n - 3] = t[n - 4]", 4, ""),
+    ("(ends_with(t, 'tion') OR ends_with(t, 'sion')) AND n > 5", 3, ""), ("ends_with(t, 'ment') AND n > 6", 4, ""),
+    ("ends_with(t, 'ies') AND n > 4", 3, "y"), ("ends_with(t, 'es') AND NOT ends_with(t, 'ies') AND n > 4", 2, ""), ("ends_with(t, 's') AND NOT ends_with(t, 'ss') AND NOT ends_with(t, 'es') AND n > 4", 1, ""),
+    ("ends_with(t, 'ed') AND NOT ends_with(t, 'eed') AND n > 4", 1, ""), ("ends_with(t, 'ed') AND NOT ends_with(t, 'eed') AND n > 4", 2, ""), ("ends_with(t, 'ied') AND n > 5", 3, "y"),
+    ("ends_with(t, 'er') AND n > 4", 2, ""), ("ends_with(t, 'er') AND n > 4", 2, "e"), ("ends_with(t, 'er') AND n > 4 AND t[n - 2] = t[n - 3]", 3, ""),
+]
+_STEM = ", ".join(f"CASE WHEN {c} THEN left(t, n - {k}) || '{a}' END" for c, k, a in _STEMS)
+_ES = "regexp_matches(t, '(x|sh|ss|zz|ch|s|z|o)es$')"
+_LOOK = f"[t, CASE WHEN {_ES} AND n >= 6 THEN left(t, n - 2) END, CASE WHEN (regexp_matches(t, '(ch|s|z|o)es$') AND NOT regexp_matches(t, '(x|sh|ss|zz)es$') OR regexp_matches(t, '[^s]s$') AND NOT {_ES}) AND n >= 5 THEN left(t, n - 1) END]"
+
+
+@query(f"WITH {N}, w AS (SELECT DISTINCT unnest(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: length(x) BETWEEN 2 AND 32 AND NOT regexp_full_match(x, '[0-9]+'))) AS t FROM n), x AS (SELECT t, length(t) AS n FROM w) SELECT t AS word, array_to_string(list_sort(list_distinct(list_filter([{_STEM}], lambda v: v IS NOT NULL AND length(v) >= 3 AND v <> t))), ',') AS stems, array_to_string(list_filter({_LOOK}, lambda v: v IS NOT NULL), ',') AS lookups FROM x")
 def stem_variants(s, d):
     return nodes(s, d, "name").select(F.explode(names.segments(F.col("name"))).alias("word")).distinct().select("word", F.array_join(names.stem_variants(F.col("word")), ",").alias("stems"), F.array_join(names.lookup_variants(F.col("word")), ",").alias("lookups"))

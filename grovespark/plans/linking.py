@@ -263,14 +263,18 @@ def ledger_remap(s, d):
     return P.ledger_remap(o, n)
 
 
-@query()
+@query(f"""WITH RECURSIVE {F_}, k AS (SELECT {_PKG.format('path')} AS module, path, coalesce(node_count, 0)::BIGINT AS size FROM f), i AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY path) AS i FROM k),
+w AS (SELECT module, path, i, size AS used, 1 AS files, 0 AS slice FROM i WHERE i = 1 UNION ALL SELECT i.module, i.path, i.i, CASE WHEN w.used + i.size > 600 OR w.files >= 20 THEN i.size ELSE w.used + i.size END, CASE WHEN w.used + i.size > 600 OR w.files >= 20 THEN 1 ELSE w.files + 1 END, w.slice + (w.used + i.size > 600 OR w.files >= 20)::INT FROM w JOIN i ON i.module = w.module AND i.i = w.i + 1) SELECT module, path, slice FROM w""")
 def unit_slices(s, d):
     """Files of each package in order, packed into slices of at most 600 symbols and 20 files."""
     f = files(s, d, "node_count").select(package(F.col("path")).alias("module"), "path", F.coalesce("node_count", F.lit(0)).cast("long").alias("size"))
     return P.next_fit(f, "module", "path", "size", 600, 20)
 
 
-@query()
+@query(f"""WITH RECURSIVE {N}, {E}, {_XF}, {_ML}, u AS (SELECT {_PKG.format('file_path')} AS unit, count(*) AS size FROM n GROUP BY 1), b AS (SELECT b AS unit, string_agg(DISTINCT a, ',' ORDER BY a) AS who FROM m WHERE a <> b GROUP BY 1),
+s AS (SELECT unit, size, who, row_number() OVER (PARTITION BY who ORDER BY size DESC, unit) AS i FROM u JOIN b USING (unit) WHERE size < 120),
+w AS (SELECT unit, who, i, size AS used, unit AS merged FROM s WHERE i = 1 UNION ALL SELECT s.unit, s.who, s.i, CASE WHEN w.used + s.size > 3000 THEN s.size ELSE w.used + s.size END, CASE WHEN w.used + s.size > 3000 THEN s.unit ELSE w.merged END FROM w JOIN s ON s.who = w.who AND s.i = w.i + 1)
+SELECT u.unit, coalesce(w.merged, u.unit) AS merged FROM u LEFT JOIN w USING (unit)""")
 def unit_merge(s, d):
     """Small packages that the same packages depend on, put together."""
     size = nodes(s, d, "file_path").groupBy(package(F.col("file_path")).alias("unit")).agg(F.count(F.lit(1)).alias("size"))
@@ -283,11 +287,19 @@ def contract_checks(s, d):
     return P.checks(n.select(F.lit("export").alias("kind"), package(F.col("file_path")).alias("module"), F.col("name").alias("subject")))
 
 
-@query(f"WITH {N}, c AS (SELECT DISTINCT {_PKG.format('file_path')} AS module, name FROM n WHERE is_exported AND kind IN ('class', 'interface', 'type_alias')), t AS (SELECT DISTINCT lower(name) AS t FROM n WHERE kind IN ('function', 'method')) SELECT substr(sha1(concat_ws(chr(0), 'check', 'export', module, name)), 1, 16) AS check_id, CASE WHEN lower(name) IN (SELECT t FROM t) THEN 'pass' ELSE 'fail' END AS status, CASE WHEN lower(name) IN (SELECT t FROM t) THEN 'same' ELSE '' END AS match FROM c")
+_EVAL = f"""c AS (SELECT DISTINCT {_PKG.format('file_path')} AS module, name AS subject FROM n WHERE is_exported AND kind IN ('class', 'interface', 'type_alias')), t AS (SELECT DISTINCT lower(name) AS t FROM n WHERE kind IN ('function', 'method', 'class')),
+rn AS (SELECT DISTINCT {_PKG.format('a.file_path')} AS module, lower(a.name) AS s, lower(b.name) AS q FROM e JOIN n a ON a.id = e.source JOIN n b ON b.id = e.target WHERE e.kind = 'extends' AND a.name <> b.name), ba AS (SELECT s, min(q) AS q FROM rn GROUP BY 1 HAVING count(DISTINCT q) = 1),
+v AS (SELECT module, subject, CASE WHEN EXISTS (SELECT 1 FROM rn JOIN t ON t.t = rn.q WHERE rn.module = c.module AND rn.s = lower(c.subject)) THEN 'qualified' WHEN EXISTS (SELECT 1 FROM ba JOIN t ON t.t = ba.q WHERE ba.s = lower(c.subject)) THEN 'bare' WHEN lower(subject) IN (SELECT t FROM t) THEN 'same' ELSE '' END AS match FROM c)"""
+
+
+@query(f"WITH {N}, {E}, {_EVAL} SELECT substr(sha1(concat_ws(chr(0), 'check', 'export', module, subject)), 1, 16) AS check_id, CASE WHEN match = '' THEN 'fail' ELSE 'pass' END AS status, match FROM v")
 def contract_evaluation(s, d):
-    target = nodes(s, d, "kind", "name").where(F.col("kind").isin("function", "method"))
-    none = s.createDataFrame([], "module string, subject string, new_name string")
-    return P.evaluate(contract_checks(s, d), target, none)
+    """Exported types looked for among callables and classes; supertypes stand for what a type was renamed to."""
+    n = nodes(s, d, "kind", "name", "file_path")
+    target = n.where(F.col("kind").isin("function", "method", "class"))
+    end = lambda c, to: n.select(F.col("id").alias(c), F.col("name").alias(to), *([package(F.col("file_path")).alias("module")] if c == "source" else []))
+    renames = edges(s, d).where("kind = 'extends'").join(end("source", "subject"), "source").join(end("target", "new_name"), "target").where("subject <> new_name").select("module", "subject", "new_name")
+    return P.evaluate(contract_checks(s, d), target, renames.distinct())
 
 
 @query(f"WITH {N}, {E}, {_XF}, {_ML} SELECT a AS module, count(*) AS n_dependencies, CAST(sum(weight) AS BIGINT) AS weight FROM m GROUP BY 1")
@@ -302,7 +314,7 @@ def convention_warnings(s, d):
 
     m = module_links(s, d)
     strong = m.where("weight >= 10").select("a", "b")
-    covered = reach(m.where("weight < 10").select(F.col("a").alias("seed")).distinct(), strong, 1000).where("depth > 0")
+    covered = reach(m.where("weight < 10").select(F.col("a").alias("seed")).distinct(), strong, None).where("depth > 0")
     return m.where("weight < 10").join(covered.select(F.col("seed").alias("a"), F.col("id").alias("b")), ["a", "b"], "left_anti")
 
 

@@ -47,7 +47,13 @@ def module_dependency_graph(s, d):
     return A.declared_and_lifted(m.where("weight >= 10"), m)
 
 
-@query()
+_ROLE = "CASE " + " ".join(
+    f"WHEN regexp_matches(coalesce(supers, ''), '{end}\\b') OR ends_with(name, '{end}')" + (f" OR regexp_matches(coalesce(marks, ''), '\\b({mark})\\b')" if mark else "") + f" THEN '{r}'"
+    for r, end, mark in [("view-model", "ViewModel", ""), ("repository", "Repository", "Repository"), ("service", "Service", "Service|Injectable"), ("controller", "Controller", "RestController|Controller"), ("entity", "Entity", "Entity|Table"), ("adapter", "Adapter", "")]
+) + " ELSE 'none' END"
+
+
+@query(f"WITH {N}, {E}, s AS (SELECT e.source AS id, string_agg(DISTINCT t.name, ' ') AS supers FROM e JOIN n t ON t.id = e.target WHERE e.kind IN ('extends', 'implements') GROUP BY 1), c AS (SELECT {_PKG.format('file_path')} AS module, name, supers, array_to_string(decorators, ' ') AS marks FROM n LEFT JOIN s USING (id) WHERE n.kind = 'class') SELECT module, {_ROLE} AS role, count(*) AS n FROM c GROUP BY 1, 2")
 def class_roles(s, d):
     """Roles of classes by supertypes, decorators and names."""
     n = nodes(s, d, "kind", "name", "decorators", "file_path")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from grovespark.functions import kinds, names, paths
 from grovespark.operators import relational as R
-from grovespark.plans.common import E, F_, N, edges, files, nodes
+from grovespark.plans.common import PICKED, E, F_, N, edges, files, nodes, picked
 from grovespark.sources import read
 
 QUERIES: dict = {}
@@ -139,12 +139,12 @@ def qualified_glob(s, d):
     return nodes(s, d, "kind", "qualified_name").where(F.col("kind").isin("class", "function", "method", "interface", "type_alias", "variable", "constant") & F.col("qualified_name").rlike(paths.glob_regex("**::find*"))).select("id", "qualified_name")
 
 
-@query(f"WITH {N}, {E} SELECT t.name, e.kind AS edge_kind, count(*) AS n, count(DISTINCT e.source) AS n_sources FROM n t JOIN e ON e.target = t.id JOIN n s ON s.id = e.source WHERE t.kind = 'interface' GROUP BY 1, 2")
+@query(f"WITH {N}, {E} SELECT t.name, e.kind AS edge_kind, count(*) AS n, count(DISTINCT e.source) AS n_sources FROM n t JOIN e ON e.target = t.id JOIN n s ON s.id = e.source GROUP BY 1, 2")
 def find_usages(s, d):
     n = nodes(s, d, "kind", "name")
-    t = n.where("kind = 'interface'").select(F.col("id").alias("target"), "name")
-    e = edges(s, d).join(t, "target").join(n.select(F.col("id").alias("source")), "source", "left_semi")
-    return e.groupBy("name", F.col("kind").alias("edge_kind")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("n_sources"))
+    e = edges(s, d).join(n.select(F.col("id").alias("source")), "source", "left_semi").groupBy("target", F.col("kind").alias("edge_kind"), "source").agg(F.count(F.lit(1)).alias("n"))
+    e = e.join(n.select(F.col("id").alias("target"), "name"), "target").groupBy("name", "edge_kind", "source").agg(F.sum("n").alias("n"))
+    return e.groupBy("name", "edge_kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_sources"))
 
 
 @query(f"WITH {N}, {E} SELECT e.source AS id, c.kind, count(*) AS n_children, min(c.name) AS first_child FROM e JOIN n c ON c.id = e.target WHERE e.kind = 'contains' GROUP BY 1, 2")
@@ -153,13 +153,13 @@ def children(s, d):
     return edges(s, d).where("kind = 'contains'").join(c, "target").groupBy(F.col("source").alias("id"), F.col("child_kind").alias("kind")).agg(F.count(F.lit(1)).alias("n_children"), F.min("name").alias("first_child"))
 
 
-@query(f"""WITH {N}, {E}, k AS (SELECT id FROM n WHERE kind = 'class'), u AS (SELECT source AS id, target AS other, kind, true AS out FROM e WHERE source IN (SELECT id FROM k) UNION ALL SELECT target, source, kind, false FROM e WHERE target IN (SELECT id FROM k))
+@query(f"""WITH {N}, {E}, k AS (SELECT id FROM n WHERE {PICKED}), u AS (SELECT source AS id, target AS other, kind, true AS out FROM e WHERE source IN (SELECT id FROM k) UNION ALL SELECT target, source, kind, false FROM e WHERE target IN (SELECT id FROM k))
 SELECT k.id, count(*) FILTER (WHERE NOT out AND u.kind <> 'contains') AS n_incoming, count(*) FILTER (WHERE out AND u.kind <> 'contains') AS n_outgoing,
 coalesce(string_agg(DISTINCT n.name, ',' ORDER BY n.name) FILTER (WHERE out AND u.kind = 'contains'), '') AS children, coalesce(string_agg(DISTINCT n.name, ',' ORDER BY n.name) FILTER (WHERE out AND u.kind IN ('extends', 'implements', 'type_of', 'returns')), '') AS types,
 coalesce(string_agg(DISTINCT n.name, ',' ORDER BY n.name) FILTER (WHERE out AND u.kind = 'imports'), '') AS imports FROM k LEFT JOIN u ON u.id = k.id LEFT JOIN n ON n.id = u.other GROUP BY k.id""")
 def symbol_context(s, d):
     n = nodes(s, d, "kind", "name")
-    return R.symbol_context(n.where("kind = 'class'").select("id"), n, edges(s, d))
+    return R.symbol_context(n.where(picked()).select("id"), n, edges(s, d))
 
 
 @query(f"WITH {E}, p AS (SELECT *, count(*) OVER () AS total FROM e WHERE kind = 'decorates') SELECT source, target, line, total FROM p ORDER BY source, target, line NULLS FIRST, col NULLS FIRST LIMIT 100 OFFSET 50")
@@ -291,7 +291,8 @@ def outermost_ranges(s, d):
     return R.outermost(nodes(s, d, "kind", "file_path", "start_line", "end_line").where(F.col("kind").isin(CALLABLE))).select("id", "file_path")
 
 
-@query()
+@query(f"""WITH RECURSIVE {N}, k AS (SELECT id, file_path, end_line - start_line + 1 AS lines, row_number() OVER (PARTITION BY file_path ORDER BY start_line, id) AS i FROM n WHERE kind IN ('function', 'method')),
+w AS (SELECT id, file_path, lines, i, lines AS used, true AS kept FROM k WHERE i = 1 UNION ALL SELECT k.id, k.file_path, k.lines, k.i, w.used + CASE WHEN w.used + k.lines <= 100 THEN k.lines ELSE 0 END, w.used + k.lines <= 100 FROM w JOIN k ON k.file_path = w.file_path AND k.i = w.i + 1) SELECT id, file_path, lines FROM w WHERE kept""")
 def budgeted_selection(s, d):
     k = nodes(s, d, "kind", "file_path", "start_line", "end_line").where(F.col("kind").isin("function", "method"))
     k = k.select("id", "file_path", F.format_string("%09d:%s", "start_line", "id").alias("place"), (F.col("end_line") - F.col("start_line") + 1).alias("lines"))

@@ -30,8 +30,16 @@ def test_traversal(spark, edges):
     assert got(T.type_hierarchy(seed("base"), edges)) == {("base", "top"): 1, ("base", "sub"): -1}
     nodes = spark.createDataFrame([("p", "class"), ("m", "method"), ("q", "function")], "id string, kind string")
     assert got(T.impact(seed("p"), nodes, edges, 2)) == {("p", "p"): 0, ("p", "m"): 0, ("p", "q"): 1}
-    way = T.shortest_paths(spark.createDataFrame([("a", "d"), ("d", "a")], "start string, end string"), T.hops(edges, "out", ["calls"])).collect()
+    ids = spark.createDataFrame([("a",), ("d",), (None,)], "start string")
+    way = T.shortest_paths(ids, ids.withColumnRenamed("start", "end"), T.hops(edges, "out", ["calls"])).where("length > 0").collect()
     assert [(r.start, r.end, r.length, r.path) for r in way] == [("a", "d", 3, "a > b > c > d")]
+    chains = T.call_paths(spark.createDataFrame([("a",), ("b",), ("d",), ("q",)], "id string"), edges)
+    assert [(r.path, r.length) for r in chains.collect()] == [("a > b > c > d", 3)]
+    near, inside = T.subgraph(seed("a"), spark.createDataFrame([(i, "function") for i in "abcd"], "id string, kind string"), edges, max_depth=2)
+    assert {(r.id, r.depth) for r in near.collect()} == {("a", 0), ("b", 1), ("c", 2)}
+    assert {(r.source, r.target, r.kind) for r in inside.collect()} == {("a", "b", "calls"), ("a", "b", "references"), ("b", "c", "calls")}
+    few, _ = T.subgraph(seed("q"), spark.createDataFrame([(i, "function") for i in "mpq"], "id string, kind string"), edges, "both", limit=2)
+    assert {r.id for r in few.collect()} == {"q", "m"}  # at equal depth, what is contained comes first, then the least id
     assert got(T.reach(seed("a"), T.hops(edges), 9, absorbing=spark.createDataFrame([("b",)], "id string"))) == {("a", "a"): 0, ("a", "b"): 1}
     assert T.reach(seed(), T.hops(edges), 3).count() == 0
 
@@ -51,15 +59,17 @@ def test_ways_have_no_limit_of_hops(spark, tables, monkeypatch):
     from grovespark.plans import graph
 
     monkeypatch.setattr(graph, "_picked", lambda c="id": F.col(c).isin("m0", "c0"), raising=False)
-    assert {(r.start, r.end, r.length) for r in graph.QUERIES["shortest_paths"](spark, tables).collect()} == {("m0", "c0", 50)}
-    got = {r.end: r.length for r in graph.QUERIES["shortest_path_len_all"](spark, tables).collect()}
+    ways = {(r.start, r.end): (r.length, r.path) for r in graph.QUERIES["shortest_paths"](spark, tables).collect()}
+    assert ways == {("m0", "c0"): (50, " > ".join([f"m{i}" for i in range(50)] + ["c0"]))}
+    got = {r.end: r.length for r in graph.QUERIES["shortest_path_len"](spark, tables).collect()}
     assert got == {**{f"m{i}": i for i in range(50)}, "c0": 50}
 
 
-def test_walk_of_25_rounds(spark, tables):
+def test_walk_of_25_rounds(spark, tables, monkeypatch):
     from grovespark.plans import graph
 
-    got = {r.id: r.score for r in graph.QUERIES["rwr_relevance_full"](spark, tables).collect()}
+    monkeypatch.setattr(graph, "_picked", lambda c="id": F.col(c) == "src/f0.py")
+    got = {r.id: r.score for r in graph.QUERIES["rwr_relevance"](spark, tables).collect()}
     ids = [f"src/f{i}.py" for i in range(50)]
     near = {i: {j for j in (i - 1, i + 1) if 0 <= j < 50} | ({0} if i == 49 else {49} if i == 0 else set()) for i in range(50)}
     score = [float(i == 0) for i in range(50)]
@@ -76,13 +86,14 @@ def test_walk_of_25_rounds(spark, tables):
 def test_traversals_of_all_kinds_of_seeds(spark, tables, monkeypatch):
     from grovespark.plans import graph
 
-    monkeypatch.setattr(graph, "_picked", lambda c="id": F.col(c) == "m9")
-    monkeypatch.setattr(graph, "_all", lambda s, d, *kinds, f=graph._all: f(s, d, *kinds).where("seed in ('m9', 'c0', 'c44')"))
+    monkeypatch.setattr(graph, "_picked", lambda c="id": F.col(c).isin("m9", "c0"))
     got = lambda q: {(r.seed, r.id): r.depth for r in graph.QUERIES[q](spark, tables).collect()}
-    assert got("callers_all") == {("m9", "m8"): 1}
-    assert got("call_graph_all") == {("m9", f"m{9 + i}"): abs(i) for i in (-2, -1, 1, 2)}
-    assert got("impact_all") == {("m9", f"m{9 - i}"): i for i in range(4)}
-    assert got("type_hierarchy_all") == {**{("c0", f"c{i}"): i for i in range(1, 45)}, **{("c44", f"c{44 - i}"): -i for i in range(1, 45)}}
+    assert got("callers_k2") == {("m9", "m8"): 1, ("m9", "m7"): 2, ("c0", "m49"): 1, ("c0", "m48"): 2}
+    assert got("callers_k1")["m9", "m8"] == 1 == got("callees_k1")["m8", "m9"] and len(got("callers_k1")) == 50
+    assert {k: v for k, v in got("call_graph_k2").items() if k[0] == "m9"} == {("m9", f"m{9 + i}"): abs(i) for i in (-2, -1, 1, 2)}
+    assert {k: v for k, v in got("impact_k3").items() if k[0] == "m9"} == {("m9", f"m{9 - i}"): i for i in range(4)}
+    up = got("type_hierarchy")
+    assert all(up["c0", f"c{i}"] == i and up["c44", f"c{44 - i}"] == -i for i in range(1, 45))
 
 
 def test_components_and_waves(spark):
