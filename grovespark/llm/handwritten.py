@@ -1,8 +1,10 @@
 """Generated, minified, vendored and data files, told apart from hand-written source.
 
-The text itself is not in the tables; its layout is: size in bytes, the last line and column that nodes reach, the nodes'
-names. Per-language thresholds on those statistics find minified code and data blobs; what a file's place, name and
-leading comment say finds generated files and third-party copies.
+Layout comes first. `files` and `nodes` hold no text of a file as a whole, but its size, the last line and the last column
+that its nodes reach, and pieces of it: the nodes' signatures. Thresholds per language on mean and longest line, on the white
+space and the letters and digits of all signatures, and on bytes a symbol find minified code and data blobs. What layout cannot
+show, that laid-out code was written by a tool or copied, is told by a file's place and name, then by its leading comment.
+Texts themselves are judged by `grovespark.llm.layout`.
 """
 
 from __future__ import annotations
@@ -10,16 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grovespark.llm.layout import limit
 from grovespark.sources.tables import clean_path, current_files
 
-#: Mean bytes a line from which a file is minified, and from which it is data if it also has few symbols. Hand-written
-#: source has 25 to 60 in every language; templates with markup get more room before they count as minified.
-MINIFIED_LINE = {"": 300, "vue": 500, "php": 500}
-DATA_LINE = {"": 50}
-#: A column that no hand-written line reaches.
-MINIFIED_COLUMN = {"": 1000, "vue": 2000, "php": 2000}
-#: Bytes a symbol from which a file is data.
-DATA_BYTES_A_NODE = 20_000
+#: Bytes a symbol from which a file is data, if its lines are between DATA_LINE and DATA_LINE_MOST on average; a file
+#: without any symbol has to be ten times larger.
+DATA_BYTES_A_NODE, DATA_LINE, DATA_LINE_MOST = 20_000, 50, 1000
+#: Signatures of a file that must hold this many characters before their white space counts.
+SIGNATURE_CHARS = 40
 
 #: Directory names that hold third-party copies, build output and generated code by common convention.
 VENDOR_DIRS = ["node_modules", "bower_components", "jspm_packages", "vendor", "_vendor", "vendored", "third_party", "third-party", "thirdparty", "3rdparty", "3rd_party", "external", "deps", "Pods", "site-packages", "dist-packages"]
@@ -30,8 +30,6 @@ GENERATED_PAIRS = ["build/classes", "build/generated", "target/generated-sources
 GENERATED_MARKS = ["generated", "gen", "g", "g.i", "pb", "pb-c", "pulsar", "tab", "freezed", "Designer", "designer", "auto", "tmh", "mocks", "gr"]
 GENERATED_STEMS = ["_generated", "_gen", "_pb", "_pb2", "_pb2_grpc", "_grpc_pb", "Grpc", "OuterClass"]
 BUNDLE_MARKS = ["min", "prod.min", "bundle", "chunk", "bundle.min", "prod"]
-#: Names of data kept as code.
-DATA_STEMS = "(font|sprite|table)_data|lookup_dump|base64|blob|wordlist"
 
 
 def _any(words: list[str]) -> str:
@@ -53,34 +51,28 @@ HEADER_GENERATED_RE = (
     r"|\bgenerado (por|autom)|\bgerado (por|autom)|сгенерирован|自动生成|自動生成|\bwygenerowan"
 )
 HEADER_VENDOR_RE = (
-    r"\bimported verbatim\b|\blocal changes belong upstream\b|\bcopied (verbatim )?from upstream\b|\bbundled copy of\b|\bvendored (copy|from)\b"
-    r"|\bsnapshot of \S+ v?\d+(\.\d+)+|\bcopyright\b.{0,40}\bcontributors\b|\bthis copy may be used and passed on\b|\bkeep in sync and do not reformat\b"
+    r"\b(verbatim|upstream|vendored?|third[- ]party)\b|\bbundled (copy|version|with)\b|\b(copy|snapshot|fork|mirror|backport) of \S+ v?\d+(\.\d+)+"
+    r"|\bcopyright\b.{0,60}\b(contributors|authors|foundation)\b"
 )
 
 
-def by_language(table: dict[str, int]) -> Column:
-    c = F.lit(table[""])
-    for lang, v in table.items():
-        if lang:
-            c = F.when(F.col("language") == lang, v).otherwise(c)
-    return c
-
-
 def bare_comment(c: Column) -> Column:
     """A comment's text without its marks, lower case, on one line."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"(?m)^\s*(/\*+|\*+/|\*|//+!?|#+!?|--+|;+|%+|\"\"\"|'''|<!--)|\*+/\s*$|-->\s*$", " "), r"\s+", " "))
 
 
 def origins(files: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(path, language, origin, mean_line, max_column, bytes_a_node) of every path; origin is 'vendored', 'minified', 'data',
-    'generated' or 'source'.
+    """(path, language, origin, channel, mean_line, max_column, signature_space, signature_alnum, bytes_a_node) of every path.
 
-    Files come from their current row. Nodes are pre-aggregated per file before the shuffle, under one spelling of the
-    path; the newest leading comment counts. A file without nodes has no layout and is judged by path and size alone; a
-    null size or node count switches off the statistics that need it; null docstrings say nothing. Empty tables: no rows.
+    origin is 'minified', 'data', 'vendored', 'generated' or 'source'; channel says what decided: 'layout', 'place' or
+    'comment', null for source. Files come from their current row. Nodes are pre-aggregated per file before the shuffle,
+    under one spelling of the path, signatures to three sums; the newest leading comment counts. A file without nodes has
+    no layout and is judged by path and size alone; a null size or node count switches off the statistics that need it;
+    null docstrings and signatures say nothing. Empty tables: no rows.
     """
     cols = ["path", "indexed_at", "modified_at", "language", "size", "node_count"]
     cur = current_files(files.select(*cols), cols).select("path", clean_path("path").alias("_p"), "language", "size", "node_count")
+    sig = F.col("signature")
     lay = (
         nodes.where(F.col("file_path").isNotNull())
         .groupBy(clean_path("file_path").alias("_p"))
@@ -88,24 +80,29 @@ def origins(files: DataFrame, nodes: DataFrame) -> DataFrame:
             F.max("end_line").alias("_lines"),
             F.max("end_column").alias("_column"),
             F.max(F.when(F.col("kind") == "file", F.struct("updated_at", "docstring"))).alias("_head"),
+            F.sum(F.length(sig)).alias("_n"),
+            F.sum(F.length(sig) - F.length(F.translate(sig, " \t\r\n", ""))).alias("_space"),
+            F.sum(F.length(sig) - F.length(F.regexp_replace(sig, r"[\p{L}\p{N}]+", ""))).alias("_alnum"),
         )
     )
     f = cur.join(lay, "_p", "left")
-    p = F.col("_p")
+    p, lang = F.col("_p"), F.coalesce("language", F.lit(""))
     head = F.coalesce(bare_comment(F.col("_head.docstring")), F.lit(""))
     mean = F.when(F.col("_lines").isNotNull(), F.col("size") / F.greatest(F.col("_lines"), F.lit(1)))
     per_node = F.col("size") / F.greatest(F.coalesce(F.col("node_count"), F.lit(1)), F.lit(1))
-    minified = ((mean >= by_language(MINIFIED_LINE)) & (per_node < DATA_BYTES_A_NODE * 20)) | (F.col("_column") >= by_language(MINIFIED_COLUMN))
-    data = (per_node >= DATA_BYTES_A_NODE) & (mean >= by_language(DATA_LINE)) | (F.col("_lines").isNull() & (per_node >= 10 * DATA_BYTES_A_NODE))
+    space, alnum = (F.when(F.col("_n") >= SIGNATURE_CHARS, F.col(c) / F.col("_n")) for c in ("_space", "_alnum"))
     no = lambda c: F.coalesce(c, F.lit(False))
-    origin = (
-        F.when(p.rlike(VENDOR_RE) | head.rlike(HEADER_VENDOR_RE), "vendored")
-        .when(p.rlike(BUNDLE_RE) | no(minified), "minified")
-        .when(no(data), "data")
-        .when(p.rlike(GENERATED_RE) | head.rlike(HEADER_GENERATED_RE), "generated")
-        .otherwise("source")
-    )
-    return f.select("path", "language", origin.alias("origin"), mean.alias("mean_line"), F.col("_column").alias("max_column"), per_node.alias("bytes_a_node"))
+    dense = no((space < limit("space", lang) / 4) & (alnum < limit("alnum", lang)))
+    narrow = ~no(F.col("_column") >= limit("max_line", lang))
+    data = no((per_node >= DATA_BYTES_A_NODE) & (mean >= DATA_LINE) & (mean < DATA_LINE_MOST) & narrow & ~dense) | no(F.col("_lines").isNull() & (per_node >= 10 * DATA_BYTES_A_NODE))
+    ways = [
+        (data, "data", "layout"), (~narrow | no(mean >= limit("mean_line", lang)) | dense, "minified", "layout"),
+        (p.rlike(VENDOR_RE), "vendored", "place"), (p.rlike(BUNDLE_RE), "minified", "place"), (p.rlike(GENERATED_RE), "generated", "place"),
+        (head.rlike(HEADER_VENDOR_RE), "vendored", "comment"), (head.rlike(HEADER_GENERATED_RE), "generated", "comment"),
+    ]
+    decided = F.coalesce(*[F.when(c, F.struct(F.lit(o).alias("origin"), F.lit(w).alias("channel"))) for c, o, w in ways], F.struct(F.lit("source").alias("origin"), F.lit(None).cast("string").alias("channel")))
+    f = f.withColumn("_d", decided)
+    return f.select("path", "language", "_d.origin", "_d.channel", mean.alias("mean_line"), F.col("_column").alias("max_column"), space.alias("signature_space"), alnum.alias("signature_alnum"), per_node.alias("bytes_a_node"))
 
 
 def not_by_hand(files: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovespark.llm import docpairs, handwritten, leaks, mojibake, parsing, tokens, validity
+from grovespark.llm import docpairs, handwritten, layout, leaks, mojibake, parsing, tokens, validity
 from grovespark.sources import read, spread
 
 _FILE = ["path", "content_hash", "language", "size", "modified_at", "indexed_at", "node_count", "errors"]
@@ -20,6 +20,18 @@ def p2_origins(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.origins(read(spark, d, "files"), read(spark, d, "nodes")).groupBy("language", "origin").agg(F.count(F.lit(1)).alias("n_files"))
 
 
+def p2_layouts(spark: SparkSession, d: str) -> DataFrame:
+    """Layout of all fenced code in documents, by language: blocks, minified ones, longest line, means of the statistics."""
+    b = layout.judge(parsing.code_blocks(spread(read(spark, d, "documents").select("doc_id", "text"))), "code")
+    stat = lambda k, digits: F.round(F.avg(f"layout.{k}"), digits).alias(k)
+    return b.groupBy("language").agg(F.count(F.lit(1)).alias("n_blocks"), F.count_if(F.col("origin") == "minified").alias("n_minified"), F.max("layout.max_line").alias("max_line"), stat("mean_line", 4), stat("space", 6), stat("alnum", 6))
+
+
+def p2_channels(spark: SparkSession, d: str) -> DataFrame:
+    """What decided that files are not hand-written, by origin: layout, place or comment."""
+    return handwritten.origins(read(spark, d, "files"), read(spark, d, "nodes")).where("origin <> 'source'").groupBy("channel", "origin").agg(F.count(F.lit(1)).alias("n_files"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return validity.invalid(read(spark, d, "files"))
 
@@ -29,10 +41,10 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_code_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Fenced code in documents, parsed: blocks, invalid blocks and the commonest first cause per language."""
-    b = parsing.code_blocks(spread(read(spark, d, "documents").select("doc_id", "text"))).where("language not in ('', 'sh', 'json', 'text', 'diff', 'yaml')")
+    """All fenced code in documents, parsed: blocks, invalid ones, acceptance and the commonest first cause per language."""
+    b = parsing.code_blocks(spread(read(spark, d, "documents").select("doc_id", "text")))
     e = b.select("language", parsing.errors_of(F.col("code"), F.col("language")).alias("e"))
-    return e.groupBy("language").agg(F.count(F.lit(1)).alias("n_blocks"), F.count_if(F.size("e") > 0).alias("n_invalid"), F.mode(F.get("e.cause", F.lit(0))).alias("top_cause"))
+    return e.groupBy("language").agg(F.count(F.lit(1)).alias("n_blocks"), F.count_if(F.size("e") > 0).alias("n_invalid"), F.round(F.count_if(F.size("e") == 0) / F.count(F.lit(1)), 6).alias("accepted"), F.mode(F.get("e.cause", F.lit(0))).alias("top_cause"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -66,36 +78,50 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.detect(read(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_origins, p3_found, p3_rates, p3_code_blocks, p5_found, p5_pairs, p7_ids, p8_found, p8_leaks, p9_found, p9_restored)}
-
+QUERIES = {f.__name__: f for f in (p2_found, p2_origins, p2_layouts, p2_channels, p3_found, p3_rates, p3_code_blocks, p5_found, p5_pairs, p7_ids, p8_found, p8_leaks, p9_found, p9_restored)}
 
-def _lit(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
 
+# The twins state thresholds and patterns on their own, so that they check the operators' constants too.
 
 _F = "f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY indexed_at DESC NULLS LAST, modified_at DESC NULLS LAST) AS rn FROM files) WHERE rn = 1)"
-_NORM = "regexp_replace(replace({0}, chr(92), '/'), '^(\\./)+', '')"
-_M = "lower(trim(e.message))"
-_BAD = (
-    f"(NOT regexp_matches({_M}, {_lit(validity.INDEXER_RE)}) AND regexp_matches({_M}, {_lit('|'.join((validity.MERGE_RE, validity.CUT_RE, validity.FOREIGN_RE)))}) AND (e.file_path IS NULL OR {_NORM.format('e.file_path')} = {_NORM.format('path')}))"
-)
-_KNOWN = "CASE lower(regexp_extract(path, '\\.([^./]+)$', 1)) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in validity.EXTENSION_LANGUAGES.items()) + " END"
-_STATE = f"{_F}, s AS (SELECT path, language, len(list_filter(coalesce(errors, []), lambda e: coalesce({_BAD}, false))) > 0 OR coalesce(language <> 'unknown' AND NOT list_contains({_KNOWN}, language), false) AS invalid FROM f)"
-
-
-def _per_language(table: dict[str, int]) -> str:
-    return "CASE language " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items() if k) + f" ELSE {table['']} END" if len(table) > 1 else str(table[""])
-
-
-_H = handwritten
-_ORIGIN = rf"""{_F}, g AS (SELECT {_NORM.format('file_path')} AS p, max(end_line) AS lines, max(end_column) AS wide, arg_max(coalesce(docstring, ''), updated_at) FILTER (WHERE kind = 'file') AS doc FROM nodes GROUP BY 1),
-x AS (SELECT path, {_NORM.format('path')} AS p, language, size / greatest(lines, 1) AS mean, wide, lines, size / greatest(coalesce(node_count, 1), 1) AS per, coalesce(trim(regexp_replace(regexp_replace(lower(doc), '(?m)^\s*(/\*+|\*+/|\*|//+!?|#+!?|--+|;+|%+|\"\"\"||<!--)|\*+/\s*$|-->\s*$', ' ', 'g'), '\s+', ' ', 'g')), '') AS head FROM f LEFT JOIN g ON g.p = {_NORM.format('path')}),
-o AS (SELECT path, language, CASE WHEN regexp_matches(p, {_lit(_H.VENDOR_RE)}) OR regexp_matches(head, {_lit(_H.HEADER_VENDOR_RE)}) THEN 'vendored' WHEN regexp_matches(p, {_lit(_H.BUNDLE_RE)}) OR coalesce(lines IS NOT NULL AND mean >= {_per_language(_H.MINIFIED_LINE)} AND per < {_H.DATA_BYTES_A_NODE * 20} OR wide >= {_per_language(_H.MINIFIED_COLUMN)}, false) THEN 'minified'
-WHEN coalesce(per >= {_H.DATA_BYTES_A_NODE} AND lines IS NOT NULL AND mean >= {_per_language(_H.DATA_LINE)} OR lines IS NULL AND per >= {_H.DATA_BYTES_A_NODE * 10}, false) THEN 'data' WHEN regexp_matches(p, {_lit(_H.GENERATED_RE)}) OR regexp_matches(head, {_lit(_H.HEADER_GENERATED_RE)}) THEN 'generated' ELSE 'source' END AS origin FROM x)"""
+_NORM = "regexp_replace(replace({0}, chr(92), '/'), '^(\./)+', '')"
+_NAMED = {
+    "ts mts cts": "typescript", "tsx": "tsx typescript", "js": "javascript jsx", "mjs cjs": "javascript", "jsx": "jsx javascript", "py pyi pyw": "python", "go": "go", "java": "java", "kt kts": "kotlin", "rs": "rust", "c": "c", "h": "c cpp objc",
+    "cc cpp cxx hpp hh hxx": "cpp", "inl": "c cpp", "m mm": "objc", "cs": "csharp", "swift": "swift", "dart": "dart", "ets": "arkts typescript", "rb rake": "ruby", "php phtml": "php", "inc": "php c cpp", "lua": "lua", "luau": "luau lua", "vue": "vue", "svelte": "svelte", "scala sc": "scala",
+}
+_FITS = "CASE " + " ".join(f"WHEN ext IN {tuple(k.split() + [''])} THEN language IN {tuple(v.split() + [''])}" for k, v in _NAMED.items()) + " ELSE true END"
+_BAD = """(NOT regexp_matches(m, '^(parser worker|parse timed out|failed to read|path traversal|tree walk|worker restarted|file exceeds|no grammar|unused|deprecated|duplicate|conflicting|end of line|syntax highlighting|unexpected byte|expected manifest|merge of [0-9])')
+AND (contains(m, '<<<<<<<') OR contains(m, '>>>>>>>') OR contains(m, '=======') OR contains(m, '|||||||') OR contains(m, '(head)') OR contains(m, 'conflict marker') OR regexp_matches(m, '(both|two) (sides|versions) of')
+ OR contains(m, 'eof') OR regexp_matches(m, 'end of (file|input)|(input|file) (ends|stops)|premature|(never|not) (closed|ends)|unterminated|unclosed|missing closing|still open|incomplete')
+ OR regexp_matches(m, 'grammar (mismatch|recogni)|error nodes?|not legal in|unexpected (token|character|symbol|input)')))"""
+_STATE = f"""{_F}, x AS (SELECT path, language, lower(regexp_extract(path, '\.([^./]+)$', 1)) AS ext, unnest(CASE WHEN len(errors) > 0 THEN errors ELSE [NULL] END) AS e FROM f), y AS (SELECT path, language, ext, lower(trim(e.message)) AS m, e.file_path AS whose FROM x),
+s AS (SELECT path, any_value(language) AS language, bool_or(coalesce({_BAD} AND (whose IS NULL OR {_NORM.format('whose')} = {_NORM.format('path')}), false)) OR coalesce(any_value(language) <> 'unknown' AND NOT bool_and({_FITS}), false) AS invalid FROM y GROUP BY path)"""
+
+_BY = "CASE WHEN language IN ('javascript', 'js', 'jsx', 'mjs', 'typescript', 'ts', 'tsx', 'arkts') THEN {js} WHEN language IN ('vue', 'svelte') THEN {vue} WHEN language = 'php' THEN {php} WHEN language = 'html' THEN {html} WHEN language = 'css' THEN {css} WHEN language IN ('python', 'py', 'ruby', 'rb') THEN {py} WHEN language IN ('c', 'cpp', 'objc') THEN {c} ELSE {rest} END"
+_LIM = {
+    "wide": _BY.format(js=1000, vue=2000, php=2000, html=3000, css=1500, py=1500, c=1000, rest=1000), "mean": _BY.format(js=160, vue=300, php=300, html=400, css=250, py=200, c=200, rest=200),
+    "space": _BY.format(js=0.08, vue=0.05, php=0.05, html=0.04, css=0.07, py=0.06, c=0.06, rest=0.06), "alnum": _BY.format(js=0.5, vue=0.4, php=0.4, html=0.35, css=0.4, py=0.4, c=0.4, rest=0.45),
+    "numeric": _BY.format(js=0.45, vue=0.45, php=0.45, html=0.5, css=0.5, py=0.4, c=0.5, rest=0.45), "encoded": _BY.format(js=400, vue=1500, php=800, html=3000, css=1500, py=400, c=300, rest=400),
+}
+_DIRS = "string_split(p, '/')[:-2]"
+_NAME = "string_split(p, '/')[-1]"
+_ORIGIN = rf"""{_F}, g AS (SELECT {_NORM.format('file_path')} AS p, max(end_line) AS lines, max(end_column) AS wide, arg_max(coalesce(docstring, ''), updated_at) FILTER (WHERE kind = 'file') AS doc, sum(length(signature)) AS n, sum(length(signature) - length(regexp_replace(signature, '[ \t\r\n]', '', 'g'))) AS sp, sum(length(signature) - length(regexp_replace(signature, '[\p{{L}}\p{{N}}]', '', 'g'))) AS an FROM nodes GROUP BY 1),
+x AS (SELECT path, {_NORM.format('path')} AS p, language, size / greatest(lines, 1) AS mean, wide, lines, size / greatest(coalesce(node_count, 1), 1) AS per, CASE WHEN n >= 40 THEN sp / n END AS sp, CASE WHEN n >= 40 THEN an / n END AS an, coalesce(trim(regexp_replace(regexp_replace(lower(doc), '(?m)^\s*(/\*+|\*+/|\*|//+!?|#+!?|--+|;+|%+|\"\"\"||<!--)|\*+/\s*$|-->\s*$', ' ', 'g'), '\s+', ' ', 'g')), '') AS head FROM f LEFT JOIN g ON g.p = {_NORM.format('path')}),
+z AS (SELECT *, coalesce(wide >= {_LIM['wide']}, false) AS broad, coalesce(sp < {_LIM['space']} / 4 AND an < {_LIM['alnum']}, false) AS dense FROM x),
+o AS (SELECT path, language, CASE WHEN coalesce(per >= 20000 AND mean >= 50 AND mean < 1000 AND NOT broad AND NOT dense OR lines IS NULL AND per >= 200000, false) THEN 'data' WHEN broad OR dense OR coalesce(mean >= {_LIM['mean']}, false) THEN 'minified'
+WHEN list_has_any({_DIRS}, ['node_modules', 'bower_components', 'jspm_packages', 'vendor', '_vendor', 'vendored', 'third_party', 'third-party', 'thirdparty', '3rdparty', '3rd_party', 'external', 'deps', 'Pods', 'site-packages', 'dist-packages']) OR len(list_filter({_DIRS}, lambda s: regexp_full_match(lower(s), 'third[-_]?party'))) > 0 OR regexp_matches('/' || p, '/(Carthage/Checkouts|Godeps/_workspace)/') THEN 'vendored'
+WHEN regexp_matches({_NAME}, '([.](min|prod|bundle|chunk)|[-_]min)[.][cm]?js$') THEN 'minified'
+WHEN list_has_any({_DIRS}, ['generated', '__generated__', '_generated', 'autogen', 'codegen_out', 'generated-sources', 'generated_sources', 'gen-src']) OR regexp_matches('/' || p, '/(build|target)/classes/|/build/generated/|/obj/(Release|Debug)/') OR regexp_matches({_NAME}, '[.](generated|gen|g|g[.]i|pb|pb-c|pulsar|tab|freezed|[Dd]esigner|auto|tmh|mocks|gr)[.][A-Za-z]+$|(_generated|_gen|_pb|_pb2|_pb2_grpc|_grpc_pb|Grpc|OuterClass)[.][A-Za-z]+$|^zz_generated[.]') THEN 'generated'
+WHEN regexp_matches(head, '\b(verbatim|upstream|vendored?)\b|third.party|bundled copy|(copy|snapshot|fork) of \S+ v?[0-9]+[.][0-9]|copyright.{{0,60}}contributors') THEN 'vendored'
+WHEN regexp_matches(head, '@generated|<auto-?generated|auto-?generated|^(this (file|code) (was|is) )?(automatically |machine[- ])?generated (by|from|with)|(code|file|source) (was |is )?((automatically|machine) )?generated (by|from|with)|was automatically generated|^machine[- ](written|generated)|do not (edit|modify)( this file)?( by hand)?\s*([.!]?\s*$|[-—–]+\s*(re)?(built|generated))|^output of \w+[;,.]|g[ée]n[ée]r[ée] (par|automatiquement)|(erzeugt|generiert) (aus|mit|von|durch)|nicht von hand|genera?do (por|autom)|gerado (por|autom)|сгенерирован|自动生成|自動生成|wygenerowan') THEN 'generated' ELSE 'source' END AS origin FROM z)"""
+_BLOCK = r"""b AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?s)(?:^|\n)```[\w+#-]*[^\n]*\n.*?(?:\n```|\z)')) AS b FROM documents WHERE contains(text, '```')), k AS (SELECT lower(regexp_extract(b, '```([\w+#-]*)', 1)) AS language, regexp_replace(regexp_replace(b, '^\s*```[^\n]*\n', ''), '\n```\s*$', '') AS code FROM b),
+l AS (SELECT language, code, length(code) AS n, list_transform(list_filter(string_split_regex(code, '\r\n|\r|\n'), lambda x: trim(x, ' ') <> ''), lambda x: length(x)) AS w FROM k),
+v AS (SELECT language, n, coalesce(list_max(w), 0) AS wide, coalesce(list_sum(w), 0) / greatest(len(w), 1) AS mean, (n - length(regexp_replace(code, '\s', '', 'g'))) / greatest(n, 1) AS sp, (n - length(regexp_replace(code, '[\p{L}\p{N}]', '', 'g'))) / greatest(n, 1) AS an FROM l)"""
 
 SQL: dict[str, str] = {
     "p2_found": f"WITH {_ORIGIN} SELECT path FROM o WHERE origin <> 'source'",
     "p2_origins": f"WITH {_ORIGIN} SELECT language, origin, count(*) AS n_files FROM o GROUP BY 1, 2",
+    "p2_layouts": f"WITH {_BLOCK} SELECT language, count(*) AS n_blocks, count(*) FILTER (WHERE wide >= {_LIM['wide']} OR n >= 200 AND (mean >= {_LIM['mean']} OR sp < {_LIM['space']} AND an < {_LIM['alnum']} + 0.35)) AS n_minified, max(wide) AS max_line, round(avg(mean), 4) AS mean_line, round(avg(sp), 6) AS space, round(avg(an), 6) AS alnum FROM v GROUP BY 1",
     "p3_found": f"WITH {_STATE} SELECT path FROM s WHERE invalid",
     "p3_rates": f"WITH {_STATE} SELECT split_part(path, '/', 1) AS repository, language, count(*) AS n_files, count(*) FILTER (WHERE invalid) AS n_invalid, round(1 - count(*) FILTER (WHERE invalid) / count(*), 6) AS accepted FROM s GROUP BY 1, 2",
 }

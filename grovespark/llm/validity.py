@@ -22,15 +22,12 @@ EXTENSION_LANGUAGES = {
     "lua": ["lua"], "luau": ["luau", "lua"], "vue": ["vue"], "svelte": ["svelte"], "scala": ["scala"], "sc": ["scala"],
 }
 #: What a message must say for each class. Merge leftovers name a conflict marker or both sides of a merge.
-MERGE_RE = r"<<<<<<<|>>>>>>>|\|\|\|\|\|\|\||=======|'<<' \(head\)|\bconflict marker|\bmerge conflict|\bunresolved (merge|conflict)|\bsides of a merge\b|\btwo versions of the same block\b"
+MERGE_RE = r"<{7}|>{7}|\|{7}|={7}|'<<' \(head\)|\bconflict markers?\b|\b(merge|unresolved) conflict|\b(both|two) (sides|versions) of (a|the)\b"
 CUT_RE = (
-    r"<eof>|\beof\b|\bend of (file|input)\b|\binput ends\b|\bpremature end\b|\bnever (closed|ends|terminated)\b|\bun(terminated|closed)\b|\bnot (closed|terminated)\b"
-    r"|\bmissing closing\b|\bstops in the middle\b|\bstill open\b|\blines? incomplete\b|\btruncated\b|\bcut off\b|\breaches end\b"
-)
-FOREIGN_RE = (
-    r"\bgrammar mismatch\b|\bgrammar recogni[sz]ed\b|\berror nodes? (cover|under)|\bnothing but error nodes\b|\berror node covers\b|\bfirst token is not legal\b|\bnot legal in\b"
-    r"|\bunexpected token '|\bunexpected (character|symbol|input)\b|\bwrong (language|grammar)\b"
+    r"<eof>|\beof\b|\bend of (file|input|text|source)\b|\b(input|file|text|source) (ends|stops|breaks off)\b|\bpremature|\b(never|not) (closed|ended|ends|terminated)\b|\bun(terminated|closed)\b"
+    r"|\bmissing closing\b|\bstill open\b|\bincomplete\b|\btruncated\b|\bcut (off|short)\b"
 )
+FOREIGN_RE = r"\bgrammar (mismatch|recogni[sz]ed)\b|\berror nodes?\b|\b(not legal|illegal|invalid) in\b|\bunexpected (token|character|symbol|input)\b|\bwrong (language|grammar)\b"
 #: The indexer's own trouble and remarks, whatever else their words look like.
 INDEXER_RE = (
     r"^(parser worker|parse timed out|failed to read|path traversal|tree walk stopped|worker restarted|file exceeds|no grammar bundled|unused |deprecated |duplicate symbol|conflicting overloads"

@@ -1,9 +1,10 @@
+import random
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from grovespark.llm import docpairs, handwritten, parsing, validity
+from grovespark.llm import docpairs, handwritten, layout, parsing, validity
 
 T0, T1 = datetime(2025, 3, 1), datetime(2025, 3, 2)
 FILE = "path string, content_hash string, language string, size long, modified_at timestamp_ntz, indexed_at timestamp_ntz, node_count int, errors array<struct<message:string,file_path:string,line:int,col:int,severity:string,code:string>>"
@@ -18,6 +19,74 @@ def _err(message, line=1, at=None):
     return (message, at, line, 0, "error", "parse_error")
 
 
+VALID = {
+    "javascript": "import { a as b } from './m';\nexport default async function f(x, ...rest) {\n  for (const y of rest) { await g(y); }\n  const o = { k: 1, get z() { return x?.y ?? 2; } };\n  if (typeof x === 'string' && !(x instanceof Q)) throw new Error(`no ${x}`);\n  return (a) => a * 2;\n}\nlabel: while (i--) { continue label }\n",
+    "typescript": "export abstract class A<T extends B> implements C, D {\n  private readonly x: Map<string, number> = new Map();\n  static async go(this: A, y?: string | null): Promise<void> { return y as any; }\n}\ntype U = keyof typeof v;\ndeclare module 'm' { export const z: unique symbol; }\nenum E { A = 1, B }\n",
+    "python": "from a.b import c as d\n\n@deco(x=1)\nclass K(Base, metaclass=M):\n    async def f(self, *args: int, **kw) -> None:\n        with open(p) as fh, lock:\n            yield from (x for x in fh if x not in kw and x is not None)\n        return lambda a, b=2: a if a else b\n\ntry:\n    raise X from e\nexcept (A, B) as e:\n    assert a < b, 'm' 'n'\n",
+    "go": "package main\n\nimport \"fmt\"\n\ntype S struct { name string }\n\nfunc (s *S) Do(ctx context.Context, n int) (int, error) {\n\tvar x map[string]int\n\tfor i, v := range s.items {\n\t\tgo func() { ch <- v }()\n\t\tif x, ok := m[i]; ok { defer x.Close() }\n\t}\n\treturn 0, nil\n}\n",
+    "rust": "pub(crate) fn f<'a, T: Clone + 'a>(x: &'a mut T, n: usize) -> Result<Vec<T>, Box<dyn Error>> {\n    let mut v = vec![x.clone(); n];\n    match v.len() { 0 => Err(e)?, 1..=3 if n > 2 => {}, _ => return Ok(v), }\n    for (i, y) in v.iter().enumerate() { unsafe { g(i as u8) } }\n    Ok(v)\n}\n",
+    "java": "package a.b;\n\nimport static a.B.*;\n\n@Service(name = \"x\")\npublic final class A<T> extends B implements C {\n  private static final Map<String, List<T>> M = new HashMap<>();\n  public synchronized <R> R go(final String s, int... n) throws IOException {\n    for (String x : n) { if (x instanceof Q q) continue; }\n    int[] a = {1, 2};\n    return () -> s.isEmpty() ? null : (R) s;\n  }\n}\n",
+    "csharp": "using System.Linq;\nnamespace A.B;\npublic partial class C : D, IE {\n  public string Name { get; private set; } = \"x\";\n  private async Task<int> Go(ref int n, params string[] s) {\n    var q = from x in s where x.Length > n select x;\n    foreach (var y in q) await F(y ?? throw new E());\n    return s switch { null => 0, _ => n };\n  }\n}\n",
+    "c": "#include <stdio.h>\n#define MAX(a, b) ((a) > (b) ? (a) : (b))\n\nstatic const struct node *find(struct list *l, unsigned int n) {\n  for (size_t i = 0; i < n; i++) { if (!l->next) goto out; }\nout:\n  return &l->items[n];\n}\n",
+    "cpp": "template <typename T, int N>\nclass A final : public B<T> {\n public:\n  explicit A(std::unique_ptr<T> p) noexcept : p_(std::move(p)) {}\n  auto get() const -> const T& { return *p_; }\n private:\n  std::map<std::string, int> m_{};\n};\nint main() { auto f = [&](int x) { return x << 1; }; std::cout << f(2); }\n",
+    "kotlin": "package a\n\nimport a.b.C as D\n\ndata class P(val x: Int, var y: String? = null) : Q(x), R by r {\n  override suspend fun go(n: Int): List<Int> = when (n) { in 1..3 -> listOf(1 to 2); else -> n.let { it + 1 } }\n}\n",
+    "swift": "import UIKit\n\nfinal class A: B, C {\n  @Published private(set) var x: [String: Int] = [:]\n  func go(with n: Int, _ f: @escaping (Int) -> Void) async throws -> String? {\n    guard let y = x[\"a\"], y > n else { return nil }\n    switch y { case 1: f(y) default: break }\n    return try await g(y)\n  }\n}\n",
+    "dart": "import 'a.dart' as a show B;\n\nclass C extends D with E {\n  final String? name;\n  const C({super.key, required this.name});\n  Future<void> go(int n) async { await for (final x in s()) { print('$x ${n + 1}'); } }\n}\n",
+    "php": "<?php\nnamespace A\\B;\n\nuse A\\C as D;\n\nfinal class E extends F implements G {\n  public function __construct(private readonly ?int $x = null) {}\n  public static function go(array $a): string { foreach ($a as $k => $v) { echo $v->y['z'] ?? 'n'; } return self::X . $k; }\n}\n",
+    "lua": "local m = require('a.b')\n\nlocal function f(x, ...)\n  for i, v in ipairs(x) do\n    if not v then break elseif v ~= 1 then m.g(v) end\n  end\n  return { a = 1, [2] = 'x' }\nend\n\nfunction m:go() return #self.items end\n",
+    "ruby": "require 'set'\n\nmodule A\n  class B < C\n    attr_reader :x\n\n    def go(n, k: 1, &block)\n      return unless n\n      items.each do |i|\n        puts \"#{i} #{k}\" if i > n\n      end\n    end\n  end\nend\n",
+    "scala": "package a\n\nobject A extends App {\n  case class P(x: Int, y: Option[String] = None)\n  def go[T](xs: Seq[T])(implicit ev: Ordering[T]): T = xs match { case Nil => sys.error(\"x\"); case h +: _ => h }\n}\n",
+}
+#: What is written so in one language and not in those it is tried in; written without a look at the parser's lists.
+FOREIGN = [
+    ("python", "public static void main(String[] args) {\n}\n"), ("python", "const total = items.reduce((a, b) => a + b, 0);\n"), ("python", "fn add(a: i32) -> i32 {\n    a + 1\n}\n"), ("python", "func add(a int) int {\n}\n"),
+    ("javascript", "def add(a, b):\n    return a + b\n"), ("javascript", "fn add(a: i32) -> i32 { a }\n"), ("javascript", "local x = 1\n"), ("javascript", "public class Foo { }\n"), ("javascript", "int main(void) { return 0; }\n"),
+    ("typescript", "func add(a int) int { return a }\n"), ("go", "def add(a, b):\n    return a\n"), ("go", "class Foo extends Bar { }\n"), ("go", "let mut x = 5;\n"), ("rust", "func add(a int) int { return a }\n"), ("rust", "public class Foo { }\n"),
+    ("lua", "const x = 1\nvar y = 2\n"), ("php", "def add(a, b):\n  return a\n"), ("java", "def add(a, b) : pass more words here\n"),
+]
+
+
+@pytest.mark.parametrize("language", sorted(VALID))
+def test_valid_source_of_each_language_is_accepted(language):
+    assert parsing.parse(VALID[language], language) == []
+
+
+@pytest.mark.parametrize("language", sorted(VALID))
+def test_cut_and_merged_source_of_each_language_is_not(language):
+    text = VALID[language]
+    opened = max((i for i, c in enumerate(text) if c in "({"), default=-1)
+    if opened > 0 and language not in ("ruby", "lua"):
+        assert {e["cause"] for e in parsing.parse(text[: opened + 1], language)} >= {"cut"}
+    half = text.find("\n", len(text) // 2) + 1
+    merged = text[:half] + "<<<<<<< HEAD\n" + "=======\n" + ">>>>>>> other\n" + text[half:]
+    assert [e["cause"] for e in parsing.parse(merged, language) if e["cause"] == "merge"] == ["merge"] * 3
+
+
+@pytest.mark.parametrize("language, text", FOREIGN)
+def test_source_of_another_language_is_not_accepted(language, text):
+    assert "foreign" in {e["cause"] for e in parsing.parse(text, language)}
+
+
+def test_layout_of_planted_texts(spark):
+    hand = {k: v * 3 for k, v in VALID.items()}
+    rnd = random.Random(3)
+    b64 = "".join(rnd.choice("ABCDEFabcdefghijkLMNOP0123456789+/") for _ in range(4000))
+    planted = [
+        ("javascript", "!function(e,t){for(var n=0;n<t.length;n++){var r=t[n];r.a=r.a||!1,e[r.k]=r}}(this,[{k:1},{k:2}]);" * 20, "minified"),
+        ("css", ".a{color:#fff;margin:0}.b>.c{padding:1px 2px}" * 80, "minified"), ("python", "x=[" + ",".join(f"({i},'k{i}')" for i in range(900)) + "]\n", "minified"),
+        ("typescript", f"export const font = '{b64}';\n", "data"), ("c", "static const unsigned char t[] = {\n" + "".join("  " + ", ".join(f"0x{rnd.randrange(256):02x}" for _ in range(12)) + ",\n" for _ in range(200)) + "};\n", "data"),
+        ("python", "W = [\n" + "".join(f"    {rnd.random():.6f}, {rnd.random():.6f},\n" for _ in range(300)) + "]\n", "data"), ("go", 'var blob = "' + "\\x1f\\x8b" * 300 + '"\n', "data"),
+        ("javascript", "a=1", "source"), ("typescript", "", "source"), (None, "plain words in a text that is long enough to be judged\n" * 6, "source"),
+    ]
+    rows = [(k, v, "source") for k, v in hand.items()] + planted + [("go", None, None)]
+    df = spark.createDataFrame(rows, "language string, text string, want string").selectExpr("*", "1 as n", "2 as space")
+    got = layout.judge(df).collect()
+    assert [(r.language, r.origin) for r in got] == [(r.language, r.want) for r in got]
+    one = spark.createDataFrame([("ab cd\n\n12 0x1F\n",)], "t string").select(layout.statistics(F.col("t")).alias("s")).first().s
+    assert (one.n, one.max_line, one.mean_line, one.encoded) == (15, 7, 6.0, 0) and one.space == pytest.approx(5 / 15) and one.alnum == pytest.approx(10 / 15) and one.numeric == pytest.approx(6 / 15)
+    assert layout.judge(df.where("false")).count() == 0
+
+
 def test_not_by_hand(spark):
     names = ["r/src/a.ts", "r/src/a.pb.go", "r/node_modules/x/a.js", "r/src/vendors/a.ts", "r/src/generator/a.ts", "r/app/min.js", "r/data/big.ts", "r/src/head.ts", "r/src/note.ts", "r/src/copy.ts", "r/src/long.js", "r/src/third_party_login.ts", "r/src/none.ts"]
     size = {"r/app/min.js": 90_000, "r/data/big.ts": 2_000_000, "r/src/long.js": 30_000}
