@@ -117,27 +117,29 @@ def within(df: DataFrame, seq: str, spans: DataFrame, few: int = 50, width: int
     return df.join(taken, df[seq].cast("long") == taken["_s"], "left_semi")
 
 
-class Ledger:
-    """Committed intervals of a consumer, in a folder that all executors reach.
+class CommitLog:
+    """Commits in a folder that all executors reach: `commits/<n>.json` holds a payload and the commit it builds on.
 
-    A run writes its output and the intervals after it as tables under names of its own; `commits/<n>.json`, which names
-    both and the commit they build on, makes them count. It is created under its final name and never overwritten, so of
-    two runs that race for a number one loses. Commits form a chain from the newest whole file back; files off the chain,
-    as of a run that died while it wrote one, and tables that no commit names count for nothing.
+    A file is created under its final name and never overwritten, so of two runs that race for a number one loses. Commits
+    form a chain from the newest whole file back; files off the chain, as of a run that died while it wrote one, count for
+    nothing, and neither do tables that no commit names.
     """
 
-    def __init__(self, spark: SparkSession, root: str, width: int = WIDTH):
-        self.spark, self.root, self.width = spark, root.rstrip("/"), width
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
         jvm = spark.sparkContext._jvm
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _chain(self) -> list[dict]:
-        """Commits that count, oldest first."""
+    def _numbers(self) -> list[int]:
         d = self._path(f"{self.root}/commits")
         names = [s.getPath().getName() for s in self._fs.listStatus(d)] if self._fs.exists(d) else []
+        return sorted(int(x[:-5]) for x in names if x.endswith(".json") and not x.startswith("."))
+
+    def chain(self) -> list[dict]:
+        """Commits that count, oldest first."""
         found = {}
-        for n in sorted(int(x[:-5]) for x in names if x.endswith(".json") and not x.startswith(".")):
+        for n in self._numbers():
             try:
                 found[n] = json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/commits/{n}.json").collect())) | {"n": n}
             except ValueError:
@@ -148,34 +150,39 @@ class Ledger:
             n = found[n]["after"]
         return out[::-1]
 
-    def _taken(self) -> int:
-        d = self._path(f"{self.root}/commits")
-        return max([int(s.getPath().getName()[:-5]) for s in self._fs.listStatus(d) if s.getPath().getName().endswith(".json") and not s.getPath().getName().startswith(".")] if self._fs.exists(d) else [], default=0)
-
-    def state(self) -> tuple[int, DataFrame]:
-        """Number of the newest commit, and the intervals after it."""
-        c = self._chain()
-        return (c[-1]["n"], self.spark.read.parquet(c[-1]["intervals"])) if c else (0, self.spark.createDataFrame([], "bucket long, lo long, hi long"))
-
-    def outputs(self) -> list[str]:
-        return [c["output"] for c in self._chain()]
-
-    def commit(self, after: int, intervals: str, output: str) -> int:
-        """Makes a run's tables count if `after` is still the newest commit; raises if another run was faster."""
-        n = self._taken() + 1
-        if (self._chain() or [{"n": 0}])[-1]["n"] != after:
+    def commit(self, after: int, payload: dict) -> int:
+        """Makes a payload count if `after` is still the newest commit; raises if another run was faster."""
+        n = max(self._numbers(), default=0) + 1
+        if (self.chain() or [{"n": 0}])[-1]["n"] != after:
             raise RuntimeError(f"another run committed after {after}")
         try:
             out = self._fs.create(self._path(f"{self.root}/commits/{n}.json"), False)
         except Py4JJavaError as e:
             raise RuntimeError(f"commit {n} was taken by another run") from e
-        out.write(bytearray(json.dumps({"after": after, "intervals": intervals, "output": output}).encode()))
+        out.write(bytearray(json.dumps({"after": after} | payload).encode()))
         out.close()
-        if self._chain()[-1]["n"] != n:
+        if self.chain()[-1]["n"] != n:
             raise RuntimeError(f"commit {n} was overtaken by another run")
         return n
 
 
+class Ledger:
+    """Committed intervals of a consumer: a run writes its output and the intervals after it as tables of their own, and one
+    commit makes both count."""
+
+    def __init__(self, spark: SparkSession, root: str, width: int = WIDTH):
+        self.spark, self.root, self.width = spark, root.rstrip("/"), width
+        self.log = CommitLog(spark, root)
+
+    def state(self) -> tuple[int, DataFrame]:
+        """Number of the newest commit, and the intervals after it."""
+        c = self.log.chain()
+        return (c[-1]["n"], self.spark.read.parquet(c[-1]["intervals"])) if c else (0, self.spark.createDataFrame([], "bucket long, lo long, hi long"))
+
+    def outputs(self) -> list[str]:
+        return [c["output"] for c in self.log.chain()]
+
+
 def run_once(source: DataFrame, ledger: Ledger, seq: str, process: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """One run: process exactly the rows of `source` whose sequence numbers no earlier run committed, and commit.
 
@@ -190,7 +197,7 @@ def run_once(source: DataFrame, ledger: Ledger, seq: str, process: Callable[[Dat
     out, spans = f"{ledger.root}/data/{mark}", f"{ledger.root}/intervals/{mark}"
     process(within(source, seq, gaps, width=ledger.width)).write.parquet(out)
     united(done, gaps).write.parquet(spans)
-    ledger.commit(n, spans, out)
+    ledger.log.commit(n, {"intervals": spans, "output": out})
     return gaps
 
 

@@ -113,3 +113,171 @@ def evaluate(checks_: DataFrame, target: DataFrame, renames: DataFrame) -> DataF
     every = way("_q", "1 qualified").unionByName(way("_b", "2 bare")).unionByName(way("_s", "3 same")).join(t, "_t")
     hit = every.groupBy("check_id").agg(F.min("match").alias("match"))
     return checks_.select("check_id").join(hit, "check_id", "left").select("check_id", F.when(F.col("match").isNull(), "fail").otherwise("pass").alias("status"), F.substring(F.coalesce("match", F.lit("")), 3, 20).alias("match"))
+
+
+# Interfaces and bindings against a target.
+
+
+def binding_gaps(bindings: DataFrame, exports: DataFrame) -> DataFrame:
+    """(iface, impl, missing_ends): bindings of which the target lacks an end, by name in any case; those whose both ends are
+    there have an empty array. bindings: (iface, impl); exports: (name)."""
+    t = exports.select(F.lower("name").alias("_n")).where("_n is not null").distinct().withColumn("_in", F.lit(True))
+    b = bindings.select("iface", "impl").distinct()
+    b = b.join(t.select(F.col("_n").alias("_a"), F.col("_in").alias("_ia")), F.lower("iface") == F.col("_a"), "left").join(t.select(F.col("_n").alias("_b"), F.col("_in").alias("_ib")), F.lower("impl") == F.col("_b"), "left")
+    return b.select("iface", "impl", F.array_compact(F.array(F.when(F.col("_ia").isNull(), F.col("iface")), F.when(F.col("_ib").isNull(), F.col("impl")))).alias("missing_ends"))
+
+
+def interface_fidelity(members: DataFrame, exports: DataFrame, renames: DataFrame, target_paths: DataFrame) -> DataFrame:
+    """(module, scope, source_count, matched_count, missing): how much of each module's interface the target exports.
+
+    members: (module, name); exports: (file, name); renames: (module, name, new_name); target_paths: (module, prefix). A module
+    with target paths is looked for under these ('ledger-paths'); else in files whose path holds its name, if any does
+    ('module-path'); else everywhere ('global'). Names match in any case, as they are or renamed. missing: names in order,
+    which a module's interface bounds. Pairs of module and file are made by equality of path parts, never all with all.
+    """
+    e = exports.select(F.translate("file", "\\", "/").alias("file"), F.lower("name").alias("_n")).where("_n is not null").distinct()
+    mods = members.select("module").distinct()
+    paths = target_paths.select("module", F.regexp_replace("prefix", "/+$", "").alias("_p")).distinct()
+    parts = F.split("file", "/")
+    under = e.select("file").distinct().select("file", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.transform(F.sequence(i, F.size(parts)), lambda j: F.array_join(F.slice(parts, i, j - i + 1), "/"))))).alias("_p"))
+    by_path = under.join(paths, "_p").select("module", "file").distinct()
+    squeezed = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+    named = mods.join(paths.select("module").distinct(), "module", "left_anti").withColumn("_k", squeezed("module")).where("_k <> ''")
+    # A module's name may start and end anywhere in a squeezed path: files are cut into pieces of the lengths that occur.
+    lengths = [r.n for r in named.select(F.length("_k").alias("n")).distinct().collect()]
+    if lengths:
+        s = squeezed("file")
+        pieces = F.flatten(F.array(*[_pieces(s, n) for n in lengths]))
+        by_name = e.select("file").distinct().select("file", F.explode(F.array_distinct(pieces)).alias("_k")).join(named, "_k").select("module", "file").distinct()
+    else:
+        by_name = by_path.where("false")
+    scope = mods.join(paths.select("module", F.lit("ledger-paths").alias("_l")).distinct(), "module", "left").join(by_name.select("module", F.lit("module-path").alias("_m")).distinct(), "module", "left")
+    scope = scope.select("module", F.coalesce("_l", "_m", F.lit("global")).alias("scope"))
+    rn = renames.select("module", F.lower("name").alias("_s"), F.lower("new_name").alias("_r")).distinct()
+    want = members.select("module", "name", F.lower("name").alias("_s")).distinct().join(rn, ["module", "_s"], "left")
+    want = want.select("module", "name", F.explode(F.array_distinct(F.array_compact(F.array("_s", "_r")))).alias("_n")).join(scope, "module")
+    local = want.where("scope <> 'global'").join(by_path.unionByName(by_name).join(e, "file").select("module", "_n").distinct(), ["module", "_n"], "left_semi")
+    anywhere = want.where("scope = 'global'").join(e.select("_n").distinct(), "_n", "left_semi")
+    hit = local.select("module", "name").unionByName(anywhere.select("module", "name")).distinct().withColumn("_hit", F.lit(True))
+    m = members.select("module", "name").distinct().join(hit, ["module", "name"], "left").join(scope, "module")
+    return m.groupBy("module", "scope").agg(F.count(F.lit(1)).alias("source_count"), F.count("_hit").alias("matched_count"), F.array_sort(F.collect_set(F.when(F.col("_hit").isNull(), F.col("name")))).alias("missing"))
+
+
+def _pieces(text, n: int):
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+
+
+def name_collisions(checks_: DataFrame) -> DataFrame:
+    """(name, n): subjects of checks that several share, in any case."""
+    return checks_.groupBy(F.lower("subject").alias("name")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def literal_hits(files: DataFrame, literals: list[str], sql: bool = False) -> DataFrame:
+    """(literal, n_files, first_file): files (path, content) that hold each literal; as SQL, white space and case do not matter.
+    Literals in no file come with 0. The literals are a plan's list, so they are conditions on one scan."""
+    norm = lambda c: F.lower(F.regexp_replace(F.trim(c), r"\s+", " ")) if sql else c
+    text = norm(F.col("content"))
+    hit = F.array_compact(F.array(*[F.when(text.contains(norm(F.lit(x))), F.lit(x)) for x in literals]))
+    found = files.select("path", F.explode(hit).alias("literal")).groupBy("literal").agg(F.count_distinct("path").alias("n_files"), F.min("path").alias("first_file"))
+    every = files.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(literals)], "literal string")
+    return every.join(found, "literal", "left").select("literal", F.coalesce("n_files", F.lit(0)).alias("n_files"), "first_file")
+
+
+def scoped_exports(exports: DataFrame, prefixes: list[str] = (), names_: list[str] = ()) -> DataFrame:
+    """Exports (file, ...) under any of the folders, or with any of the names in their path, squeezed to letters and digits."""
+    path = F.translate("file", "\\", "/")
+    squeezed = F.regexp_replace(F.lower(path), "[^a-z0-9]+", "")
+    cond = F.lit(False)
+    for p in prefixes:
+        cond = cond | (path == p.rstrip("/")) | path.startswith(p.rstrip("/") + "/") | path.contains("/" + p.strip("/") + "/")
+    for n in names_:
+        cond = cond | squeezed.contains("".join(c for c in n.lower() if c.isalnum()))
+    return exports.where(cond)
+
+
+# Units.
+
+
+def unit_tokens(n_symbols):
+    """Tokens that a unit is worth: thirty a symbol."""
+    return n_symbols * 30
+
+
+def unit_dependencies(units: DataFrame, deps: DataFrame) -> DataFrame:
+    """(a, b): units that depend on others through their modules. units: (unit, module); deps: (a, b) between modules."""
+    at = lambda c: units.select(F.col("module").alias(c), F.col("unit").alias(f"u{c}")).distinct()
+    return deps.select("a", "b").join(at("a"), "a").join(at("b"), "b").where("ua <> ub").select(F.col("ua").alias("a"), F.col("ub").alias("b")).distinct()
+
+
+def order_units(units: DataFrame, deps: DataFrame) -> DataFrame:
+    """(unit, place, wave): units (unit, size) in an order in which each comes after what it depends on: cycles are condensed,
+    waves of the condensed graph come one after the other, larger units first, then by name. `place` counts from 0: waves
+    are counted and ranked apart, so only a wave's own units are ordered together."""
+    from pyspark.sql import Window as W
+
+    from grovespark.operators.algorithms import strong_components, waves
+
+    v = units.select(F.col("unit").alias("id"))
+    scc = strong_components(v, deps)
+    to = lambda c: scc.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))
+    between = deps.select("a", "b").join(to("a"), "a").join(to("b"), "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    w = waves(scc.select(F.col("label").alias("id")).distinct(), between)
+    u = units.select("unit", "size").join(scc.select(F.col("id").alias("unit"), "label"), "unit").join(w.select(F.col("id").alias("label"), "wave"), "label")
+    before = u.groupBy("wave").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(W.partitionBy().orderBy("wave")) - F.col("n")).select("wave", "before")
+    place = F.row_number().over(W.partitionBy("wave").orderBy(F.desc("size"), "unit")) - 1
+    return u.withColumn("_p", place).join(before, "wave").select("unit", (F.col("before") + F.col("_p")).cast("int").alias("place"), "wave")
+
+
+def split_by_feature(files: DataFrame) -> DataFrame:
+    """(unit, slice, file): units split into one slice per feature of their files and one for the rest, which is slice ''.
+    files: (unit, file, feature); a unit with one feature or none stays whole."""
+    many = files.where("feature is not null").groupBy("unit").agg(F.count_distinct("feature").alias("k")).where("k > 1").select("unit", F.lit(True).alias("_m"))
+    f = files.join(many, "unit", "left")
+    return f.select("unit", F.when(F.col("_m"), F.coalesce("feature", F.lit(""))).otherwise("").alias("slice"), "file")
+
+
+def dominant_feature(members: DataFrame) -> DataFrame:
+    """(module, feature): the feature with most of a module's files, the least of those that tie. members: (module, feature, file)."""
+    n = members.where("feature is not null").groupBy("module", "feature").agg(F.count_distinct("file").alias("n"))
+    return n.groupBy("module").agg(F.min_by("feature", F.struct((-F.col("n")).alias("k"), "feature")).alias("feature"))
+
+
+def merge_to_fixpoint(units: DataFrame, deps: DataFrame, least: int, most: int) -> DataFrame:
+    """(unit, merged): `merge_small` again and again until no two units go together. In a graph without cycles units with the
+    same dependants never depend on one another, directly or not (the last step of such a way would be a dependant of
+    both, and close a cycle), so a merge leaves the graph without cycles."""
+    from grovespark.session import cut
+
+    to = cut(merge_small(units, deps, least, most))
+    while True:
+        size = units.join(to, "unit").groupBy("merged").agg(F.sum("size").alias("size")).select(F.col("merged").alias("unit"), "size")
+        m = lambda c: to.select(F.col("unit").alias(c), F.col("merged").alias(f"m{c}"))
+        d = deps.join(m("a"), "a").join(m("b"), "b").where("ma <> mb").select(F.col("ma").alias("a"), F.col("mb").alias("b")).distinct()
+        step = cut(merge_small(size, d, least, most))
+        if step.where("unit <> merged").isEmpty():
+            return to
+        to = cut(to.join(step.select(F.col("unit").alias("merged"), F.col("merged").alias("_m")), "merged").select("unit", F.col("_m").alias("merged")))
+
+
+def same_members(a: DataFrame, b: DataFrame, group: str, member: str) -> DataFrame:
+    """(group, same): groups of either side whose sets of members are equal. Members are compared one by one, no set is built."""
+    x, y = a.select(group, member).distinct().withColumn("_x", F.lit(1)), b.select(group, member).distinct().withColumn("_y", F.lit(1))
+    return x.join(y, [group, member], "full_outer").groupBy(group).agg((F.count_if(F.col("_x").isNull() | F.col("_y").isNull()) == 0).alias("same"))
+
+
+def module_briefs(facts: DataFrame, per_facet: int = 50) -> DataFrame:
+    """(module, facet, place, subject, detail): facts (module, facet, subject, detail) in order, the first `per_facet` of each
+    facet, which is what a brief shows; the numbers left out are in `n_facet`."""
+    from pyspark.sql import Window as W
+
+    f = facts.select("module", "facet", "subject", "detail").distinct()
+    total = f.groupBy("module", "facet").agg(F.count(F.lit(1)).alias("n_facet"))
+    k = f.withColumn("place", F.row_number().over(W.partitionBy("module", "facet").orderBy("subject", "detail"))).where(F.col("place") <= per_facet)
+    return k.join(total, ["module", "facet"]).select("module", "facet", "place", "subject", "detail", "n_facet")
+
+
+def find_unit(units: DataFrame, query: str) -> DataFrame:
+    """The unit (unit, place, label, module) a query means: by place, else id, else label, else one of its modules, in any case."""
+    q = query.strip().lower()
+    rank = F.when(F.col("place").cast("string") == q, 0).when(F.lower("unit") == q, 1).when(F.lower("label") == q, 2).when(F.lower("module") == q, 3)
+    return units.withColumn("_r", rank).where("_r is not null").orderBy("_r", "unit").limit(1).drop("_r")

@@ -172,3 +172,81 @@ def maximal_chains(chains: DataFrame) -> DataFrame:
     held = c.select(F.explode(F.array_distinct(F.split("path", " > "))).alias("start"), F.col("path").alias("_long"), F.col("length").alias("_l"))
     part = c.join(held, "start").where((F.col("_l") > F.col("length")) & F.contains(F.concat(F.lit(" > "), "_long", F.lit(" > ")), F.concat(F.lit(" > "), "path", F.lit(" > ")))).select("path").distinct()
     return c.join(part, "path", "left_anti").select("start", "path", "length")
+
+
+def named_flow(named: DataFrame, edges: DataFrame, most_hops: int = 7, bridge: int = 1, best: int = 3) -> DataFrame:
+    """(path, n_named, length): the longest chains of calls among named symbols (id), with at most `bridge` others in a row
+    between two of them, `most_hops` calls long at most; ends are named and no symbol comes twice. Chains with most named
+    symbols first, then shorter ones, then by ids."""
+    n = cut(named.select("id").where("id is not null").distinct())
+    steps = hops(edges, "out", ["calls"]).join(n.select(F.col("id").alias("b"), F.lit(True).alias("_n")), "b", "left").select("a", "b", F.coalesce("_n", F.lit(False)).alias("known"))
+    steps = cut(steps)
+    front = n.select("id", F.array("id").alias("way"), F.lit(0).alias("gap"), F.lit(1).alias("n_named"))
+    found = []
+    for _ in range(most_hops):
+        step = front.join(steps, front["id"] == steps["a"]).where(~F.array_contains("way", F.col("b")))
+        gap = F.when(F.col("known"), 0).otherwise(F.col("gap") + 1)
+        front = cut(step.select(F.col("b").alias("id"), F.concat("way", F.array("b")).alias("way"), gap.alias("gap"), (F.col("n_named") + F.col("known").cast("int")).alias("n_named")).where(F.col("gap") <= bridge))
+        if front.isEmpty():
+            break
+        found.append(front.where("gap = 0"))
+    if not found:
+        return n.where("false").select(F.col("id").alias("path"), F.lit(1).alias("n_named"), F.lit(0).alias("length"))
+    every = reduce(DataFrame.unionByName, found).select(F.array_join("way", " > ").alias("path"), "n_named", (F.size("way") - 1).alias("length"))
+    return every.orderBy(F.desc("n_named"), "length", "path").limit(best)
+
+
+def polymorphic_families(nodes: DataFrame, edges: DataFrame, least: int = 8) -> DataFrame:
+    """(name, supertype, n_members, n_classes): methods of one name in at least `least` classes that share a supertype. Classes
+    are counted per name and supertype before anything is listed, so a frequent name makes no pairs."""
+    from grovespark.operators.calls import owner
+
+    m = nodes.where("kind = 'method'").select("id", "name", owner(F.col("qualified_name")).alias("cls"), "language").where("cls is not null")
+    n = nodes.select("id", "name", "language")
+    up = edges.where("kind in ('extends', 'implements')").select("source", "target").distinct()
+    up = up.join(n.select(F.col("id").alias("source"), F.col("name").alias("cls"), "language"), "source").join(n.select(F.col("id").alias("target"), F.col("name").alias("supertype")), "target").select("cls", "language", "supertype").distinct()
+    per = m.groupBy("name", "cls", "language").agg(F.count(F.lit(1)).alias("k")).join(up, ["cls", "language"])
+    return per.groupBy("name", "supertype").agg(F.sum("k").alias("n_members"), F.count_distinct("cls").alias("n_classes")).where(F.col("n_classes") >= least)
+
+
+def depth_first(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, direction: str = "out", max_depth: int | None = None, limit: int = 1000) -> DataFrame:
+    """(seed, place, id, parent, depth): a depth-first walk from each seed over its nearest `limit` nodes, neighbours by id; each
+    node once, by the edge that reached it first. A seed's walk is bounded by the limit and runs in one task."""
+    import pandas as pd
+
+    kept, inside = subgraph(seeds, nodes, edges, direction, max_depth=max_depth, limit=limit)
+    e = inside.select("seed", F.col("source").alias("a"), F.col("target").alias("b"))
+    back = inside.select("seed", F.col("target").alias("a"), F.col("source").alias("b"))
+    e = {"out": e, "in": back, "both": e.unionByName(back)}[direction].distinct()
+    rows = e.unionByName(kept.select("seed", F.col("id").alias("a"), F.lit(None).cast("string").alias("b")))
+
+    def walk(d: pd.DataFrame) -> pd.DataFrame:
+        seed, to = d["seed"].iloc[0], {}
+        for a, b in d[d["b"].notna()].sort_values(["a", "b"])[["a", "b"]].itertuples(index=False):
+            to.setdefault(a, []).append(b)
+        out, seen, stack = [], set(), [(seed, None, 0)]
+        while stack:
+            x, parent, depth = stack.pop()
+            if x in seen:
+                continue
+            seen.add(x)
+            out.append((seed, len(out), x, parent, depth))
+            if max_depth is None or depth < max_depth:
+                stack += [(y, x, depth + 1) for y in reversed(to.get(x, [])) if y not in seen]
+        return pd.DataFrame(out, columns=["seed", "place", "id", "parent", "depth"])
+
+    return rows.groupBy("seed").applyInPandas(walk, "seed string, place int, id string, parent string, depth int")
+
+
+def lifted_navigation(edges: DataFrame, screens: DataFrame, most_hops: int = 3, most_sources: int = 4) -> DataFrame:
+    """(source, target): screens from which code leads to another screen: from each edge into a screen, callers are followed
+    backwards for `most_hops` steps until a screen is met; edges that more than `most_sources` screens lead to are left
+    out, as they are shared helpers. screens: (id)."""
+    s = cut(screens.select("id").distinct())
+    into = edges.where("kind <> 'contains'").join(s.select(F.col("id").alias("target")), "target", "left_semi").where("source <> target").select("source", "target").distinct()
+    back = hops(edges.where("kind in ('calls', 'references', 'contains')"), "in")
+    got = reach(into.select(F.col("source").alias("seed")).distinct(), back, most_hops, absorbing=s)
+    hit = got.join(s, "id", "left_semi").select(F.col("seed").alias("source"), F.col("id").alias("screen"))
+    pair = into.join(hit, "source").where("screen <> target").select("source", "target", "screen").distinct()
+    few = pair.groupBy("source", "target").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= most_sources)
+    return pair.join(few, ["source", "target"], "left_semi").select(F.col("screen").alias("source"), "target").distinct()
