@@ -5,11 +5,14 @@ from __future__ import annotations
 import ast
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grovespark.operators import declarations
+
 ROW = "path string, row string, id string, kind string, name string, qualified_name string, start_line int, end_line int, docstring string, source string, target string, edge_kind string, line int, message string"
 COLUMNS = [c.split()[0] for c in ROW.split(", ")]
 
@@ -48,7 +51,7 @@ def python_rows(path: str, text: str) -> list[dict]:
 
 
 #: Parsers by language; register more with the same rows.
-PARSERS: dict[str, Callable[[str, str], list[dict]]] = {"python": python_rows}
+PARSERS: dict[str, Callable[[str, str], list[dict]]] = {k: partial(declarations.rows_of, language=k) for k in declarations.SPECS} | {"python": python_rows}
 
 
 def extract(files: DataFrame) -> DataFrame:

@@ -100,10 +100,45 @@ def co_occurrence(vocab: DataFrame, words: list[tuple[str, str]], least: int) ->
     return vocab.join(F.broadcast(w), "segment").groupBy("name").agg(F.count_distinct("word").alias("n_words")).where(F.col("n_words") >= least)
 
 
-def ranked(nodes: DataFrame, query: str, top: int) -> DataFrame:
+def segment_matches(vocab: DataFrame, words: list[str], top: int = 6, rare: tuple[int, int] = (2, 25), longest_first: int = 5) -> DataFrame:
+    """(name, n_words, tier): names whose segments match two of the words and more (tier 1); if there are none, names of two
+    segments and more with a word of at least five letters that is in 2 to 25 names (tier 2). Words match by their
+    variants. Most words first, shorter names first, then by name."""
+    s = vocab.sparkSession
+    if not words:
+        return vocab.where("false").select("name", F.lit(0).alias("n_words"), F.lit(1).alias("tier"))
+    w = s.createDataFrame([(x.lower(),) for x in dict.fromkeys(words)], "word string").select("word", F.explode(names.lookup_variants(F.col("word"))).alias("segment"))
+    hit = cut(vocab.join(F.broadcast(w), "segment"))  # a query's words
+    many = hit.groupBy("name").agg(F.count_distinct("word").cast("int").alias("n_words")).where("n_words >= 2").withColumn("tier", F.lit(1))
+    per = hit.groupBy("segment").agg(F.count_distinct("name").alias("n")).where(F.col("n").between(*rare) & (F.length("segment") >= longest_first))
+    single = hit.join(per, "segment").select("name").distinct().join(vocab.groupBy("name").agg(F.count_distinct("segment").alias("k")).where("k >= 2"), "name").select("name", F.lit(1).alias("n_words"), F.lit(2).alias("tier"))
+    every = many.unionByName(single)
+    best = every.agg(F.min("tier").alias("t")).scalar()
+    return every.where(F.col("tier") == best).orderBy(F.desc("n_words"), F.length("name"), "name").limit(top)
+
+
+def filtered(nodes: DataFrame, raw: str, top: int) -> DataFrame:
+    """(id, name, score): a search with `kind:`, `lang:`, `path:` and `name:` filters. Kinds and languages narrow the search itself;
+    paths and names are looked for in its best `top` hits. Without free text: all symbols by name."""
+    q = names.parse_query(raw)
+    n = nodes
+    if q["kind"]:
+        n = n.where(F.col("kind").isin(q["kind"]))
+    if q["language"]:
+        n = n.where(F.col("language").isin(q["language"]))
+    hits = ranked(n, q["text"], top) if q["text"].strip() else n.select("id", "name", F.lit(1.0).alias("score")).orderBy("name", "id").limit(top)
+    some = lambda c, words: reduce(Column.__or__, [F.lower(c).contains(w.lower()) for w in words])
+    if q["name"]:
+        hits = hits.where(some("name", q["name"]))
+    if q["path"]:
+        hits = hits.join(nodes.select("id", "file_path"), "id").where(some("file_path", q["path"])).select("id", "name", "score")
+    return hits
+
+
+def ranked(nodes: DataFrame, query: str, top: int, per_word: int = 20) -> DataFrame:
     """(id, name, score): the whole search: text channel, or the substring channel if that finds nothing, or the fuzzy one if
-    that finds nothing either; rescored by kind, path and name. A later channel is only run when the earlier ones were
-    empty."""
+    that finds nothing either; symbols named exactly like a word of the query join with the best text score, `per_word` at
+    most for each; rescored by kind, path and name. A later channel is only run when the earlier ones were empty."""
     from grovespark.functions import kinds
 
     words, bare = names.search_terms(query), query.replace(" ", "")
@@ -112,6 +147,11 @@ def ranked(nodes: DataFrame, query: str, top: int) -> DataFrame:
         hit = cut(channel().groupBy("id").agg(F.max("score").alias("text")))
         if not hit.isEmpty():
             break
+    said = [w.lower() for w in query.split()]
+    same = nodes.where(F.lower("name").isin(said)).select("id", F.lower("name").alias("_w"))
+    best = hit.agg(F.max("text").alias("m"))
+    same = capped(same, "_w", [F.asc("id")], per_word).select("id", F.coalesce(best.scalar(), F.lit(0.0)).alias("text"))
+    hit = hit.unionByName(same).groupBy("id").agg(F.max("text").alias("text"))
     n = hit.join(nodes.select("id", "name", "kind", "file_path"), "id")
     score = F.col("text") + kinds.kind_bonus(F.col("kind")) + names.path_relevance(F.col("file_path"), query) + names.name_match_bonus(F.col("name"), query)
     return n.select("id", "name", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(top)

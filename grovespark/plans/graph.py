@@ -305,7 +305,7 @@ def _bm25_sql(terms):
     return SQL["bm25_prefix"].replace("(VALUES ('log'), ('schema'), ('oldest'))", "(VALUES " + ", ".join(f"('{t}')" for t in terms) + ")")
 
 
-@query(f"WITH {N}, t AS ({_bm25_sql(_RANKQ)}) SELECT id, name, round(t.score + {_KINDB} + ({_PATHREL}) - CASE WHEN {_TEST.format('file_path')} THEN 15 ELSE 0 END + {_NAMEB}, 6) AS score FROM t JOIN n USING (id) ORDER BY score DESC, id LIMIT 50")
+@query(f"WITH {N}, b0 AS ({_bm25_sql(_RANKQ)}), x0 AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY lower(name) ORDER BY id) AS i FROM n WHERE lower(name) IN ('oldest', 'cached', 'route')) WHERE i <= 20), t AS (SELECT id, max(score) AS score FROM (SELECT * FROM b0 UNION ALL SELECT id, (SELECT max(score) FROM b0) FROM x0) GROUP BY 1) SELECT id, name, round(t.score + {_KINDB} + ({_PATHREL}) - CASE WHEN {_TEST.format('file_path')} THEN 15 ELSE 0 END + {_NAMEB}, 6) AS score FROM t JOIN n USING (id) ORDER BY score DESC, id LIMIT 50")
 def search_ranked(s, d):
     return Q.ranked(nodes(s, d, "name", "qualified_name", "docstring", "signature", "kind", "file_path"), "oldest cached route", 50)
 
