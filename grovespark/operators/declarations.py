@@ -163,3 +163,65 @@ def rows_of(path: str, text: str, language: str) -> list[dict]:
             calls = re.findall(r"(?<![\w.:>])((?:[A-Za-z_$][\w$]*(?:\.|::|->|\?\.))*[A-Za-z_$][\w$]*[!?]?)\s*(?:<[\w, ]*>)?\(", line)
             out += [{"row": "ref", "source": owner[i], "name": re.sub(r"->|\?\.", ".", c), "edge_kind": "calls", "line": i + 1} for c in calls if c not in NO_CALLS and (i, re.split(r"[.:]+", c)[-1]) not in heads]
     return out
+
+
+#: Files that hold another language between tags: language of the file to how a script block begins.
+EMBEDDED = {"vue": r"<script\b([^>]*)>", "svelte": r"<script\b([^>]*)>", "astro": r"\A---(\s*)\n"}
+
+
+def embedded_rows(path: str, text: str, language: str) -> list[dict]:
+    """Rows of a component file: the component itself, its scripts at the places they stand, and the components that its
+    markup uses as references."""
+    base = path.rsplit("/", 1)[-1]
+    name = base.rsplit(".", 1)[0]
+    file, comp, n = _id("file", path, base, 1), _id("component", path, name, 1), text.count("\n") + 1
+    out = [{"row": "node", "id": file, "kind": "file", "name": base, "qualified_name": path, "start_line": 1, "end_line": n}]
+    out += [{"row": "node", "id": comp, "kind": "component", "name": name, "qualified_name": f"{path}::{name}", "start_line": 1, "end_line": n}, {"row": "edge", "source": file, "target": comp, "edge_kind": "contains", "line": 1}]
+    markup, close = text, r"\n---" if language == "astro" else r"</script\s*>"
+    for m in re.finditer(EMBEDDED[language], text):
+        end = re.compile(close).search(text, m.end())
+        body = text[m.end() : end.start() if end else len(text)]
+        skip = text.count("\n", 0, m.end())
+        kind = "typescript" if language == "astro" or re.search(r"lang\s*=\s*['\"]?ts", m.group(1) or "") else "javascript"
+        for r in rows_of(path, "\n" * skip + body, kind)[1:]:
+            if r["row"] == "error":
+                out.append(r)
+                continue
+            out.append({k: comp if v == file else v for k, v in r.items()})
+        markup = markup.replace(text[m.start() : end.end() if end else len(text)], "\n" * text.count("\n", m.start(), end.end() if end else len(text)))
+    for m in re.finditer(r"<([A-Z]\w*)", markup):
+        out.append({"row": "ref", "source": comp, "name": m.group(1), "edge_kind": "references", "line": markup.count("\n", 0, m.start()) + 1})
+    return out
+
+
+def mapper_rows(path: str, text: str) -> list[dict]:
+    """Rows of an XML mapper: a method for each statement, under the type that the mapper's namespace names."""
+    base, n = path.rsplit("/", 1)[-1], text.count("\n") + 1
+    file = _id("file", path, base, 1)
+    out = [{"row": "node", "id": file, "kind": "file", "name": base, "qualified_name": path, "start_line": 1, "end_line": n}]
+    space = re.search(r"<mapper\b[^>]*\bnamespace\s*=\s*[\"']([\w.]+)", text)
+    if not space:
+        return out
+    short = space.group(1).rsplit(".", 1)[-1]
+    for m in re.finditer(r"<(select|insert|update|delete|sql)\b[^>]*?\bid\s*=\s*[\"'](\w+)[\"'][^>]*>([\s\S]*?)</\1>", text):
+        line = text.count("\n", 0, m.start()) + 1
+        x = _id("method", path, m.group(2), line)
+        out.append({"row": "node", "id": x, "kind": "method", "name": m.group(2), "qualified_name": f"{short}::{m.group(2)}", "start_line": line, "end_line": line + m.group(0).count("\n")})
+        out.append({"row": "edge", "source": file, "target": x, "edge_kind": "contains", "line": line})
+        out += [{"row": "ref", "source": x, "name": f"{short}::{r}", "edge_kind": "references", "line": line} for r in dict.fromkeys(re.findall(r"<include\b[^>]*\brefid\s*=\s*[\"'](\w+)", m.group(3)))]
+    return out
+
+
+def function_values(path: str, text: str, language: str) -> list[dict]:
+    """References to functions that are passed or assigned by name instead of being called: `on(x, handler)`, `.run = run`.
+    Names that are no function are dropped when they are linked."""
+    spec = SPECS[language]
+    rows = rows_of(path, text, language)
+    spans = [(r["start_line"], r["end_line"], r["id"]) for r in rows if r["row"] == "node"]
+    out = []
+    for i, line in enumerate(blanked(text, spec.comments).split("\n"), 1):
+        found = re.findall(r"[(,]\s*&?([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)?)\s*(?=[,)])", line) if re.search(r"\w\s*\(", line) and not any(r["row"] == "node" and r["start_line"] == i and r["kind"] in ("function", "method") for r in rows) else []
+        found += re.findall(r"\.\w+\s*=\s*&?([A-Za-z_$][\w$]*)\s*[,;}]", line)
+        own = min((e - s, x) for s, e, x in spans if s <= i <= e)[1]
+        out += [{"row": "ref", "source": own, "name": n, "edge_kind": "function_ref", "line": i} for n in dict.fromkeys(found) if n not in NO_CALLS and n not in ("true", "false", "null", "None", "nil", "undefined")]
+    return out

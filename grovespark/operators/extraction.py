@@ -51,7 +51,7 @@ def python_rows(path: str, text: str) -> list[dict]:
 
 
 #: Parsers by language; register more with the same rows.
-PARSERS: dict[str, Callable[[str, str], list[dict]]] = {k: partial(declarations.rows_of, language=k) for k in declarations.SPECS} | {"python": python_rows}
+PARSERS: dict[str, Callable[[str, str], list[dict]]] = {k: partial(declarations.rows_of, language=k) for k in declarations.SPECS} | {k: partial(declarations.embedded_rows, language=k) for k in declarations.EMBEDDED} | {"python": python_rows, "mybatis": declarations.mapper_rows}
 
 
 def extract(files: DataFrame) -> DataFrame:

@@ -43,6 +43,57 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     return c
 
 
+#: What only C++ and only Objective-C headers hold.
+CPP_HEADER_RE = r"(?m)^\s*(?:class\s+\w+[^;]*\{|class\s+\w+\s*:|namespace\s+\w*|template\s*<|using\s+\w|(?:public|private|protected)\s*:)|\bstd::|\bvirtual\b|\bconstexpr\b|\bnullptr\b"
+OBJC_HEADER_RE = r"(?m)^\s*@(?:interface|protocol|class|property|end)\b|^\s*#\s*import\b"
+
+
+def language_by_content(path: Column, content: Column, overrides: dict[str, str] | None = None) -> Column:
+    """As `language_of`; a `.h` file is C++ or Objective-C if its text is, and a file without a known extension has the
+    language of its first line's interpreter. Null contents leave it to the path."""
+    by = language_of(path, overrides)
+    header = path.rlike(r"(?i)\.h$") & (by == "c")
+    shell = F.regexp_extract(F.coalesce(content, F.lit("")), r"^#!\s*\S*/(?:env\s+)?(python|ruby|node|lua|php)", 1)
+    return F.when(header & content.rlike(CPP_HEADER_RE), "cpp").when(header & content.rlike(OBJC_HEADER_RE), "objc").otherwise(F.coalesce(by, F.when(shell == "node", "javascript").otherwise(F.nullif(shell, F.lit("")))))
+
+
+def ignore_files(spark: SparkSession, root: str, name: str = ".gitignore") -> DataFrame:
+    """(path, content) of a tree's ignore files. File sources leave hidden files out, so the file system lists them; only
+    their own paths and lines are kept."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = re.sub(r"^\w+:/*", "/", fs.makeQualified(at).toString()).rstrip("/") + "/"
+    found, it = [], fs.listFiles(at, True)
+    while it.hasNext():
+        p = it.next().getPath()
+        if p.getName() == name:
+            stream = fs.open(p)
+            found.append((re.sub(r"^\w+:/*", "/", p.toString()).removeprefix(base), jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            stream.close()
+    return spark.createDataFrame(found, "path string, content string")
+
+
+def nested_rules(files: DataFrame) -> DataFrame:
+    """(folder, place, pattern, back): the lines of all ignore files (path, content) as regular expressions over paths below
+    their folder; `back` marks those that take paths back in. Blank lines and comments are none."""
+    folder = F.regexp_replace("path", r"/?[^/]*$", "").alias("folder")
+    lines = files.select(folder, F.posexplode(F.split("content", r"\r?\n")).alias("place", "_l")).where("trim(_l) <> '' and not startswith(_l, '#')")
+    rule = F.udf(lambda line: ignore_regex(line), "struct<pattern:string,back:boolean>")  # lines that people wrote, not a hot path
+    return lines.select("folder", "place", rule("_l").alias("r")).select("folder", "place", "r.pattern", "r.back")
+
+
+def not_ignored(paths_: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rows of `paths_` (path, ...) that the ignore files of their own and all outer folders leave in: of the lines that match,
+    the last one of the innermost file decides. A path meets only the rules of folders above it."""
+    parts = F.split("path", "/")
+    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, 1, i - 1), "/").alias("folder"), F.array_join(F.slice(parts, i, F.size(parts)), "/").alias("below"), i.alias("depth")))
+    each = paths_.select("path").distinct().select("path", F.explode(up).alias("u")).select("path", "u.folder", "u.below", "u.depth")
+    hit = each.join(F.broadcast(rules), "folder").where(F.call_function("regexp_like", F.col("below"), F.col("pattern")))  # rules are lines that people wrote
+    last = hit.groupBy("path").agg(F.max_by("back", F.struct("depth", "place")).alias("back")).where("not back").select("path")
+    return paths_.join(last, "path", "left_anti")
+
+
 def scan(spark: SparkSession, root: str, ignore: list[str] = (), overrides: dict[str, str] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(path, language, size, modified_at, content_hash, content) of a tree's source files: known languages, not ignored, no
     larger than `max_bytes`. The size filter is applied before contents are read. Files of no bytes are not listed by the

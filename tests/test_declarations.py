@@ -45,3 +45,19 @@ def test_extraction_of_many_languages(spark):
     assert [r.path for r in out.where("row = 'error'").collect()] == ["cut.ts"]
     doc = out.where("name = 'Box' and path = 'f.typescript'").first()
     assert doc.docstring == "/** A box. */" and extraction.extract(df.where("false")).count() == 0
+
+
+def test_embedded_and_passed_functions():
+    vue = '<template>\n  <UserCard :x="1"/>\n</template>\n<script setup lang="ts">\nimport { load } from "./a";\nfunction go() { load(1); }\n</script>\n'
+    rows = D.embedded_rows("v/Page.vue", vue, "vue")
+    name = {r["id"]: r["name"] for r in rows if r["row"] == "node"}
+    assert {(r["kind"], r["name"], r["start_line"]) for r in rows if r["row"] == "node"} == {("file", "Page.vue", 1), ("component", "Page", 1), ("function", "go", 6)}
+    assert {(name[r["source"]], r["edge_kind"], r["name"], r["line"]) for r in rows if r["row"] == "ref"} == {("Page", "imports", "load", 5), ("go", "calls", "load", 6), ("Page", "references", "UserCard", 2)}
+    astro = D.embedded_rows("a.astro", "---\nconst f = (x: number) => g(x);\n---\n<Box/>\n", "astro")
+    assert {r["name"] for r in astro if r["row"] == "ref"} == {"g", "Box"}
+    xml = '<mapper namespace="a.b.UserMapper">\n<sql id="cols">x</sql>\n<select id="find">\n<include refid="cols"/>\n</select></mapper>'
+    got = D.mapper_rows("m/U.xml", xml)
+    assert {r["qualified_name"] for r in got if r["row"] == "node"} == {"m/U.xml", "UserMapper::cols", "UserMapper::find"} and {r["name"] for r in got if r["row"] == "ref"} == {"UserMapper::cols"}
+    assert len(D.mapper_rows("x.xml", "<beans/>")) == 1
+    refs = D.function_values("f.js", "function run() {\n  bus.on('x', handler);\n  a.map(this.go, true);\n  o.cb = finish;\n}\n", "javascript")
+    assert {r["name"] for r in refs} == {"handler", "this.go", "finish"}

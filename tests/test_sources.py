@@ -43,3 +43,19 @@ def test_overlay(spark):
     code = spark.createDataFrame([("s", 'nav.navigate("home")'), ("t", 'composable("home") {}'), ("u", "getattr(x, y)()")], "id string, code string")
     assert [(r.source, r.target) for r in X.literal_channels(code, r'composable\("(\w+)"', r'navigate\("(\w+)"').collect()] == [("s", "t")]
     assert {(r.id, r.form) for r in X.dynamic_sites(code).collect()} == {("u", "reflection")}
+
+
+def test_nested_ignore_files(spark, tmp_path):
+    for p, t in {".gitignore": "*.log\n/build/\n", "a/.gitignore": "!keep.log\ntmp\n# note\n", "a/keep.log": "x", "a/b/other.log": "x", "a/tmp/y.ts": "x", "build/z.ts": "x", "a/build/z.ts": "x", "keep.log": "x"}.items():
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(t)
+    rules = tree.nested_rules(tree.ignore_files(spark, str(tmp_path)))
+    paths = spark.createDataFrame([(p, 1) for p in ("a/keep.log", "a/b/other.log", "a/tmp/y.ts", "build/z.ts", "a/build/z.ts", "keep.log", "src/m.ts")], "path string, folder int")
+    assert {r.path for r in tree.not_ignored(paths, rules).collect()} == {"a/keep.log", "a/build/z.ts", "src/m.ts"}
+    assert tree.not_ignored(paths, rules.where("false")).count() == 7
+
+
+def test_languages_by_content(spark):
+    rows = [("a.h", "int f(void);\n", "c"), ("b.h", "namespace x { class A { }; }", "cpp"), ("c.h", "@interface A : B\n@end", "objc"), ("run", "#!/usr/bin/env python3\n", "python"), ("tool", "#!/usr/bin/node\n", "javascript"), ("x", "text", None), ("d.h", None, "c"), ("e.ts", "#!/bin/sh", "typescript")]
+    df = spark.createDataFrame(rows, "path string, content string, want string")
+    assert [(r.path, r.got) for r in df.select("path", tree.language_by_content(F.col("path"), F.col("content")).alias("got")).collect()] == [(p, w) for p, _, w in rows]
