@@ -152,7 +152,7 @@ def _file_links(s, d):
 SELECT v.id, coalesce((SELECT min(r.b) FROM r JOIN r q ON q.a = r.b AND q.b = r.a WHERE r.a = v.id AND r.b < v.id), v.id) AS label FROM v""")
 def file_scc(s, d):
     """Cyclic file dependencies: strongly connected components of the file graph."""
-    links = _file_links(s, d)
+    links = cut(_file_links(s, d))
     return G.strong_components(links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct(), links)
 
 
@@ -175,7 +175,7 @@ w AS (SELECT id, 0 AS wave FROM v WHERE id NOT IN (SELECT id FROM bad) UNION SEL
 SELECT v.id, CAST(coalesce(max(w.wave), -1) AS INTEGER) AS wave FROM v LEFT JOIN w USING (id) GROUP BY 1""")
 def topo_waves(s, d):
     """Dependency waves of packages; -1 for those on or above a cycle."""
-    m = module_links(s, d)
+    m = cut(module_links(s, d))
     return G.waves(m.select(F.col("a").alias("id")).unionByName(m.select(F.col("b").alias("id"))).distinct(), m.select("a", "b"))
 
 
@@ -183,7 +183,7 @@ def topo_waves(s, d):
 d AS (SELECT DISTINCT x.label AS a, y.label AS b FROM m JOIN c x ON x.id = m.a JOIN c y ON y.id = m.b WHERE x.label <> y.label), w AS (SELECT DISTINCT label AS id, 0 AS wave FROM c UNION SELECT d.a, w.wave + 1 FROM w JOIN d ON d.b = w.id) SELECT c.id, c.label, CAST((SELECT max(wave) FROM w WHERE w.id = c.label) AS INTEGER) AS wave FROM c""")
 def module_waves_condensed(s, d):
     """Order of migration: packages condensed by cycles, then in waves and by name within a wave."""
-    m = module_links(s, d)
+    m = cut(module_links(s, d))
     v = m.select(F.col("a").alias("id")).unionByName(m.select(F.col("b").alias("id"))).distinct()
     scc = G.strong_components(v, m.select("a", "b"))
     to = lambda c: scc.select(F.col("id").alias(c), F.col("label").alias(f"{c}2"))
@@ -208,7 +208,7 @@ def module_lifted_deps(s, d):
 @query()
 def module_communities(s, d):
     """Communities of packages with size and cohesion, oversized ones split once."""
-    m = module_links(s, d)
+    m = cut(module_links(s, d))
     parts = G.split_large(G.louvain(m), m)
     return G.cohesion(parts, m.select("a", "b"))
 
@@ -225,7 +225,7 @@ r AS (SELECT 0 AS k, id, s AS score FROM base UNION ALL SELECT k, id, score FROM
 SELECT id, round(score, 6) AS score FROM r WHERE k = 25""")
 def rwr_relevance(s, d):
     """Relevance of all linked files to the picked ones, by a random walk of 25 rounds with restart over file links."""
-    links = _file_links(s, d)
+    links = cut(_file_links(s, d))
     on = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
     return G.random_walk(on.where(_picked()), links).select("id", F.round("score", 6).alias("score"))
 

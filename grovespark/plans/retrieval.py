@@ -13,6 +13,7 @@ from grovespark.operators import traversal as T
 from grovespark.plans.common import E, F_, N, edges, files, nodes
 from grovespark.plans.graph import _FE, _ML, _PKG, _VOC, _XF, _file_links, module_links, package
 from grovespark.plans.graph import SQL as GRAPH_SQL
+from grovespark.session import cut
 from grovespark.sources import read
 
 QUERIES: dict = {}
@@ -112,7 +113,7 @@ def repository_hubs(s, d):
 @query(f"WITH RECURSIVE c0 AS ({GRAPH_SQL['module_waves_condensed']}), {N}, {E}, {_XF}, {_ML}, z AS (SELECT {_PKG.format('file_path')} AS unit, count(*) AS size FROM n GROUP BY 1) SELECT c0.id AS unit, CAST(row_number() OVER (ORDER BY wave, size DESC, c0.id) - 1 AS INTEGER) AS place, wave FROM c0 JOIN z ON z.unit = c0.id")
 def unit_order(s, d):
     """Packages in an order in which each comes after what it depends on."""
-    m = module_links(s, d)
+    m = cut(module_links(s, d))
     linked = m.select(F.col("a").alias("unit")).unionByName(m.select(F.col("b").alias("unit"))).distinct()
     size = nodes(s, d, "file_path").groupBy(package(F.col("file_path")).alias("unit")).agg(F.count(F.lit(1)).alias("size"))
     return P.order_units(size.join(linked, "unit", "left_semi"), m)
