@@ -164,9 +164,10 @@ def _quoted(text: str, start: int, end: int, clean: str) -> bool:
 
 def undo(text: str, reads: list[str], known) -> tuple[str, int, str]:
     """(restored text, sequences undone, encoding): again and again by the encoding that explains most of the text, of
-    several the one that leads to more frequent characters."""
+    several the one that leads to more frequent characters, until none explains anything. Each round makes the text
+    shorter, so a text garbled however often comes to its end."""
     done, by = 0, ""
-    for _ in range(4):
+    while True:
         best: list[tuple[int, int, str]] = []
         how, most = "", (0, 0.0)
         for r in reads:
@@ -313,7 +314,8 @@ def learn(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[int], di
     """(map, transformations, characters) learned from all documents.
 
     map: (word, k, clean), one row per garbled word and transformation. transformations: indices into TRANSFORMS with
-    evidence, at most len(TRANSFORMS). characters: all of the corpus with the number of documents of each. There are no more than Unicode has. All are small whatever the corpus and are all that reaches the driver.
+    evidence, at most len(TRANSFORMS). characters: all of the corpus with the number of documents
+    and words of each. There are no more than Unicode has. All are small whatever the corpus and are all that reaches the driver.
     """
     each = docs.select(F.xxhash64(text).alias("h"), F.explode(words(F.col(text))).alias("word")).groupBy("word", "h").agg(F.count(F.lit(1)).alias("c"))
     vocab = cut(each.groupBy("word").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("texts")))
@@ -334,7 +336,8 @@ def learn(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[int], di
     # learned too, the direction has to be clear.
     two_way = [k for k in good for j in good if TRANSFORMS[k][:2] == TRANSFORMS[j][1::-1]]
     made = made.where(F.col("clear") | (F.length("clean") >= LONG) & ~F.col("k").isin(two_way)).select("word", "k", "clean")
-    chars = docs.select(F.explode(F.array_distinct(F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x00-\x7f]+", ""), ""))).alias("c")).where("c <> ''").groupBy("c").count()
+    # Every character beyond ASCII stands in a word, so the vocabulary has them all, with the words' documents as their weight.
+    chars = vocab.select("n", F.explode(F.array_distinct(F.split(F.regexp_replace("word", r"[\x00-\x7f]+", ""), ""))).alias("c")).where("c <> ''").groupBy("c").agg(F.sum("n").alias("count"))
     return made.where(F.col("k").isin(good)), good, {r.c: r["count"] for r in chars.collect()}
 
 
