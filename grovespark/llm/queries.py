@@ -108,12 +108,12 @@ _NAME = "string_split(p, '/')[-1]"
 _ORIGIN = rf"""{_F}, g AS (SELECT {_NORM.format('file_path')} AS p, max(end_line) AS lines, max(end_column) AS wide, arg_max(coalesce(docstring, ''), updated_at) FILTER (WHERE kind = 'file') AS doc, sum(length(signature)) AS n, sum(length(signature) - length(regexp_replace(signature, '[ \t\r\n]', '', 'g'))) AS sp, sum(length(signature) - length(regexp_replace(signature, '[\p{{L}}\p{{N}}]', '', 'g'))) AS an FROM nodes GROUP BY 1),
 x AS (SELECT path, {_NORM.format('path')} AS p, language, size / greatest(lines, 1) AS mean, wide, lines, size / greatest(coalesce(node_count, 1), 1) AS per, CASE WHEN n >= 40 THEN sp / n END AS sp, CASE WHEN n >= 40 THEN an / n END AS an, coalesce(trim(regexp_replace(regexp_replace(lower(doc), '(?m)^\s*(/\*+|\*+/|\*|//+!?|#+!?|--+|;+|%+|\"\"\"||<!--)|\*+/\s*$|-->\s*$', ' ', 'g'), '\s+', ' ', 'g')), '') AS head FROM f LEFT JOIN g ON g.p = {_NORM.format('path')}),
 z AS (SELECT *, coalesce(wide >= {_LIM['wide']}, false) AS broad, coalesce(sp < {_LIM['space']} / 4 AND an < {_LIM['alnum']}, false) AS dense FROM x),
-o AS (SELECT path, language, CASE WHEN coalesce(per >= 20000 AND mean >= 50 AND mean < 1000 AND NOT broad AND NOT dense OR lines IS NULL AND per >= 200000, false) THEN 'data' WHEN broad OR dense OR coalesce(mean >= {_LIM['mean']}, false) THEN 'minified'
-WHEN list_has_any({_DIRS}, ['node_modules', 'bower_components', 'jspm_packages', 'vendor', '_vendor', 'vendored', 'third_party', 'third-party', 'thirdparty', '3rdparty', '3rd_party', 'external', 'deps', 'Pods', 'site-packages', 'dist-packages']) OR len(list_filter({_DIRS}, lambda s: regexp_full_match(lower(s), 'third[-_]?party'))) > 0 OR regexp_matches('/' || p, '/(Carthage/Checkouts|Godeps/_workspace)/') THEN 'vendored'
-WHEN regexp_matches({_NAME}, '([.](min|prod|bundle|chunk)|[-_]min)[.][cm]?js$') THEN 'minified'
-WHEN list_has_any({_DIRS}, ['generated', '__generated__', '_generated', 'autogen', 'codegen_out', 'generated-sources', 'generated_sources', 'gen-src']) OR regexp_matches('/' || p, '/(build|target)/classes/|/build/generated/|/obj/(Release|Debug)/') OR regexp_matches({_NAME}, '[.](generated|gen|g|g[.]i|pb|pb-c|pulsar|tab|freezed|[Dd]esigner|auto|tmh|mocks|gr)[.][A-Za-z]+$|(_generated|_gen|_pb|_pb2|_pb2_grpc|_grpc_pb|Grpc|OuterClass)[.][A-Za-z]+$|^zz_generated[.]') THEN 'generated'
-WHEN regexp_matches(head, '\b(verbatim|upstream|vendored?)\b|third.party|bundled copy|(copy|snapshot|fork) of \S+ v?[0-9]+[.][0-9]|copyright.{{0,60}}contributors') THEN 'vendored'
-WHEN regexp_matches(head, '@generated|<auto-?generated|auto-?generated|^(this (file|code) (was|is) )?(automatically |machine[- ])?generated (by|from|with)|(code|file|source) (was |is )?((automatically|machine) )?generated (by|from|with)|was automatically generated|^machine[- ](written|generated)|do not (edit|modify)( this file)?( by hand)?\s*([.!]?\s*$|[-—–]+\s*(re)?(built|generated))|^output of \w+[;,.]|g[ée]n[ée]r[ée] (par|automatiquement)|(erzeugt|generiert) (aus|mit|von|durch)|nicht von hand|genera?do (por|autom)|gerado (por|autom)|сгенерирован|自动生成|自動生成|wygenerowan') THEN 'generated' ELSE 'source' END AS origin FROM z)"""
+w AS (SELECT path, language, CASE WHEN coalesce(per >= 20000 AND mean >= 50 AND mean < 1000 AND NOT broad AND NOT dense OR lines IS NULL AND per >= 200000, false) THEN 'layout:data' WHEN broad OR dense OR coalesce(mean >= {_LIM['mean']}, false) THEN 'layout:minified'
+WHEN list_has_any({_DIRS}, ['node_modules', 'bower_components', 'jspm_packages', 'vendor', '_vendor', 'vendored', 'third_party', 'third-party', 'thirdparty', '3rdparty', '3rd_party', 'external', 'deps', 'Pods', 'site-packages', 'dist-packages']) OR len(list_filter({_DIRS}, lambda s: regexp_full_match(lower(s), 'third[-_]?party'))) > 0 OR regexp_matches('/' || p, '/(Carthage/Checkouts|Godeps/_workspace)/') THEN 'place:vendored'
+WHEN regexp_matches({_NAME}, '([.](min|prod|bundle|chunk)|[-_]min)[.][cm]?js$') THEN 'place:minified'
+WHEN list_has_any({_DIRS}, ['generated', '__generated__', '_generated', 'autogen', 'codegen_out', 'generated-sources', 'generated_sources', 'gen-src']) OR regexp_matches('/' || p, '/(build|target)/classes/|/build/generated/|/obj/(Release|Debug)/') OR regexp_matches({_NAME}, '[.](generated|gen|g|g[.]i|pb|pb-c|pulsar|tab|freezed|[Dd]esigner|auto|tmh|mocks|gr)[.][A-Za-z]+$|(_generated|_gen|_pb|_pb2|_pb2_grpc|_grpc_pb|Grpc|OuterClass)[.][A-Za-z]+$|^zz_generated[.]') THEN 'place:generated'
+WHEN regexp_matches(head, '\b(verbatim|upstream|vendored?)\b|third.party|bundled copy|(copy|snapshot|fork) of \S+ v?[0-9]+[.][0-9]|copyright.{{0,60}}contributors') THEN 'comment:vendored'
+WHEN regexp_matches(head, '@generated|<auto-?generated|auto-?generated|^(this (file|code) (was|is) )?(automatically |machine[- ])?generated (by|from|with)|(code|file|source) (was |is )?((automatically|machine) )?generated (by|from|with)|was automatically generated|^machine[- ](written|generated)|do not (edit|modify)( this file)?( by hand)?\s*([.!]?\s*$|[-—–]+\s*(re)?(built|generated))|^output of \w+[;,.]|g[ée]n[ée]r[ée] (par|automatiquement)|(erzeugt|generiert) (aus|mit|von|durch)|nicht von hand|genera?do (por|autom)|gerado (por|autom)|сгенерирован|自动生成|自動生成|wygenerowan') THEN 'comment:generated' ELSE ':source' END AS w FROM z), o AS (SELECT path, language, split_part(w, ':', 2) AS origin, split_part(w, ':', 1) AS channel FROM w)"""
 _BLOCK = r"""b AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?s)(?:^|\n)```[\w+#-]*[^\n]*\n.*?(?:\n```|\z)')) AS b FROM documents WHERE contains(text, '```')), k AS (SELECT lower(regexp_extract(b, '```([\w+#-]*)', 1)) AS language, regexp_replace(regexp_replace(b, '^\s*```[^\n]*\n', ''), '\n```\s*$', '') AS code FROM b),
 l AS (SELECT language, code, length(code) AS n, list_transform(list_filter(string_split_regex(code, '\r\n|\r|\n'), lambda x: trim(x, ' ') <> ''), lambda x: length(x)) AS w FROM k),
 v AS (SELECT language, n, coalesce(list_max(w), 0) AS wide, coalesce(list_sum(w), 0) / greatest(len(w), 1) AS mean, (n - length(regexp_replace(code, '\s', '', 'g'))) / greatest(n, 1) AS sp, (n - length(regexp_replace(code, '[\p{L}\p{N}]', '', 'g'))) / greatest(n, 1) AS an FROM l)"""
@@ -121,6 +121,7 @@ v AS (SELECT language, n, coalesce(list_max(w), 0) AS wide, coalesce(list_sum(w)
 SQL: dict[str, str] = {
     "p2_found": f"WITH {_ORIGIN} SELECT path FROM o WHERE origin <> 'source'",
     "p2_origins": f"WITH {_ORIGIN} SELECT language, origin, count(*) AS n_files FROM o GROUP BY 1, 2",
+    "p2_channels": f"WITH {_ORIGIN} SELECT channel, origin, count(*) AS n_files FROM o WHERE origin <> 'source' GROUP BY 1, 2",
     "p2_layouts": f"WITH {_BLOCK} SELECT language, count(*) AS n_blocks, count(*) FILTER (WHERE wide >= {_LIM['wide']} OR n >= 200 AND (mean >= {_LIM['mean']} OR sp < {_LIM['space']} AND an < {_LIM['alnum']} + 0.35)) AS n_minified, max(wide) AS max_line, round(avg(mean), 4) AS mean_line, round(avg(sp), 6) AS space, round(avg(an), 6) AS alnum FROM v GROUP BY 1",
     "p3_found": f"WITH {_STATE} SELECT path FROM s WHERE invalid",
     "p3_rates": f"WITH {_STATE} SELECT split_part(path, '/', 1) AS repository, language, count(*) AS n_files, count(*) FILTER (WHERE invalid) AS n_invalid, round(1 - count(*) FILTER (WHERE invalid) / count(*), 6) AS accepted FROM s GROUP BY 1, 2",
