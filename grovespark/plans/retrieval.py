@@ -52,10 +52,12 @@ def explore_files(s, d):
     return K.ranked_files(K.find_context(n, e, QUESTION, max_nodes=50)[0], n, e, QUESTION)
 
 
-@query()
+@query(f"""WITH RECURSIVE {N}, {E}, k AS (SELECT id FROM n WHERE starts_with(name, 'load') OR starts_with(name, 'build')), h AS (SELECT DISTINCT source AS a, target AS b, target IN (SELECT id FROM k) AS known FROM e WHERE kind = 'calls' AND source <> target),
+r AS (SELECT id, [id] AS way, 0 AS gap, 1 AS n_named FROM k UNION ALL SELECT h.b, list_append(r.way, h.b), CASE WHEN known THEN 0 ELSE gap + 1 END, n_named + known::INT FROM r JOIN h ON h.a = r.id WHERE len(r.way) <= 7 AND NOT list_contains(r.way, h.b) AND (known OR gap = 0))
+SELECT array_to_string(way, ' > ') AS path, n_named, CAST(len(way) - 1 AS INTEGER) AS length FROM r WHERE gap = 0 AND len(way) > 1 ORDER BY n_named DESC, length, path LIMIT 3""")
 def named_flows(s, d):
-    """Chains of calls among the symbols that a question names."""
-    n = nodes(s, d, "name").where(F.lower("name").isin("render", "emit", "push", "outcome", "buildsnapshot"))
+    """The longest chains of calls among symbols that load or build something."""
+    n = nodes(s, d, "name").where(F.col("name").startswith("load") | F.col("name").startswith("build"))
     return T.named_flow(n, edges(s, d))
 
 
@@ -76,7 +78,10 @@ def segment_matches_rare(s, d):
     return Q.segment_matches(Q.vocabulary(nodes(s, d, "kind", "name")), ["oldest"])
 
 
-@query()
+_FEW = N.replace("n AS (", "n0 AS (", 1) + ", n AS (SELECT * FROM n0 WHERE kind IN ('function', 'method'))"
+
+
+@query(f"WITH {N}, r AS ({GRAPH_SQL['search_ranked'].replace(N, _FEW).replace('LIMIT 50', 'LIMIT 200')}) SELECT r.* FROM r JOIN n USING (id) WHERE contains(lower(n.file_path), 'src')".replace("SELECT r.* FROM r JOIN n USING (id)", "SELECT r.id, r.name, r.score FROM r JOIN n USING (id)"))
 def search_filtered(s, d):
     return Q.filtered(nodes(s, d, *_TEXT), "kind:method kind:function path:src oldest cached route", 200)
 
