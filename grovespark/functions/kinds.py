@@ -56,3 +56,8 @@ def explore_budget(n_files: Column) -> Column:
 
 def edge_kind_priority(kind: Column) -> Column:
     return F.when(kind == "contains", 0).when(kind == "calls", 1).otherwise(2)
+
+
+def edge_label(kind: Column, passed: Column) -> Column:
+    """How an edge is named in a list of callers: nothing for a call; `passed` marks a function that is handed over by name."""
+    return F.when(kind == "calls", None).when(F.coalesce(passed, F.lit(False)), "callback registration").when(kind == "instantiates", "instantiation").when(kind == "imports", "import").when(kind == "references", "reference").otherwise(kind)

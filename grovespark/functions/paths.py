@@ -18,7 +18,6 @@ GENERATED_RE = (
     r"|\.pb\.swift$|\.(g|freezed|pb|pbgrpc|chopper)\.dart$|\.generated\.rs$"
 )
 LOW_VALUE_RE = r"(^|/)(tests?|__tests?__|spec)/|_test\.(go|py|rb|dart)$|(^|/)test_[^/]+\.py$|_spec\.rb$|\.(test|spec)\.[jt]sx?$|(test|spec|tests)\.(java|kt|scala)$|(tests?|spec)\.cs$|tests?\.swift$"
-BUILD_FILE_RE = r"(^|/)(hvigorfile\.[jt]s|build\.gradle(\.kts)?|settings\.gradle(\.kts)?|gulpfile\.[jt]s|webpack\.config\.[jt]s|rollup\.config\.[jt]s|vite\.config\.[jt]s|setup\.py|rakefile|makefile)$|(^|/)buildsrc/"
 
 
 def dirname(p: Column) -> Column:
@@ -43,7 +42,10 @@ def is_low_value(p: Column) -> Column:
 
 
 def is_build_file(p: Column) -> Column:
-    return F.lower(p).rlike(BUILD_FILE_RE)
+    """Build scripts: Gradle files, what lies in a folder of build logic, Python outside of any source folder."""
+    q = F.translate(p, "\\", "/")
+    folders = F.split(q, "/")
+    return q.rlike(r"\.gradle(\.kts)?$") | F.array_contains(folders, "buildSrc") | F.array_contains(folders, "build-logic") | (q.endswith(".py") & ~q.contains("/src/"))
 
 
 def directories(p: Column) -> Column:

@@ -173,3 +173,11 @@ def write_documents(df: DataFrame, key: str, folder: str) -> None:
 def stable_json(value: object) -> str:
     """A driver-side document as JSON with sorted keys, byte for byte the same for equal values."""
     return json.dumps(value, sort_keys=True, indent=2, ensure_ascii=False)
+
+
+def borrowed_index(own_root: str | None, index_root: str, index_is_root: bool = True, own_repository: str | None = None, index_repository: str | None = None) -> bool:
+    """True if a graph belongs to another working tree of the same repository: roots differ, the index lies at the root of a
+    tree itself, and both are not known to be different repositories."""
+    if not own_root or own_root == index_root or not index_is_root:
+        return False
+    return not (own_repository and index_repository and own_repository != index_repository)

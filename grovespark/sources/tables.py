@@ -12,7 +12,9 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
-    """The row of each key that is greatest by `order` (nulls are least), by a map-side combined max_by and no sort.
+    """The row of each key that is greatest by `order` (nulls are least), by a max_by that is combined before the shuffle. As
+    rows are structs, the aggregation sorts each task's rows by key before and after the shuffle; what travels is one row
+    a key and task.
 
     Rows that tie in `order` are told apart by all their other columns, so a repeated run gives the same row.
     """

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from grovespark.operators.incremental import CommitLog
+
 
 def sessions(events: DataFrame, key: str, ts: str, quiet: str) -> DataFrame:
     """(key, first_seen, last_seen, n): bursts of events, ended by a quiet time. The same on a batch and on a stream; on a
@@ -48,3 +51,57 @@ def follow(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int]
     """Runs `handle(batch, batch_id)` once for each new batch and stops when the source is exhausted. After a failure the
     same batch comes again under the same id, so a handler that overwrites by id neither skips nor repeats rows."""
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def tree_events(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """A stream of (path, ts): files of a tree as they appear or are written again, by modification time. Contents are not read."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    return files.select("path", F.col("modificationTime").alias("ts"))
+
+
+class Pending:
+    """Files that changed and wait for a run, kept as versioned tables in a shared folder.
+
+    `take` merges a batch of events (path, ts): first and last time and number per path; a batch that comes again after a
+    failure is known by its id and counts once. `flush` ends a run that began at `started`: after success all that was last
+    seen up to then is done, and what came later stays for the next run, however late it arrives; after a failure all
+    stays, and the wait doubles, up to `most` failures in a row.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, most: int = 5, base_ms: int = 2000):
+        self.spark, self.root, self.most, self.base_ms, self.log = spark, root.rstrip("/"), most, base_ms, CommitLog(spark, root)
+
+    def _head(self) -> dict:
+        c = self.log.chain()
+        return c[-1] if c else {"n": 0, "table": None, "batch": -1, "failures": 0}
+
+    def files(self) -> DataFrame:
+        """(path, first_seen, last_seen, n) of what waits."""
+        at, schema = self._head()["table"], "path string, first_seen timestamp, last_seen timestamp, n long"
+        return self.spark.read.schema(schema).parquet(at) if at else self.spark.createDataFrame([], schema)
+
+    def _commit(self, head: dict, df: DataFrame | None, **change) -> None:
+        at = head["table"]
+        if df is not None:
+            at = f"{self.root}/pending/{uuid.uuid4().hex}"
+            df.write.parquet(at)
+        self.log.commit(head["n"], {"table": at, "batch": head["batch"], "failures": head["failures"]} | change)
+
+    def take(self, batch: DataFrame, batch_id: int) -> None:
+        head = self._head()
+        if batch_id <= head["batch"]:
+            return
+        new = batch.where("path is not null and ts is not null").select("path", F.col("ts").alias("first_seen"), F.col("ts").alias("last_seen"), F.lit(1).cast("long").alias("n"))
+        both = self.files().unionByName(new).groupBy("path").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("n").alias("n"))
+        self._commit(head, both, batch=batch_id)
+
+    def flush(self, started, ok: bool) -> int | None:
+        """Milliseconds to wait before the next run: 0 after success, None when there were too many failures in a row."""
+        head = self._head()
+        if ok:
+            self._commit(head, self.files().where(F.col("last_seen") > F.lit(started)), failures=0)
+            return 0
+        failures = head["failures"] + 1
+        self._commit(head, None, failures=failures)
+        return None if failures >= self.most else self.base_ms * 2 ** (failures - 1)

@@ -61,6 +61,19 @@ def test_merges_of_the_store(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "docs")).where("unit = 'v'").first().n == 2
 
 
+def test_small_rules(spark):
+    from grovespark.functions import kinds, paths
+
+    p = spark.createDataFrame([("a/build.gradle.kts",), ("buildSrc/x.kt",), ("tools/ci.py",), ("m/src/x.py",), ("a/gradle.txt",)], "p string")
+    assert [r.b for r in p.select(paths.is_build_file(F.col("p")).alias("b")).collect()] == [True, True, True, False, False]
+    g = [("a.pb.go", True), ("x_mock.go", True), ("mock_a.go", True), ("d/mock_a.go", False), ("a_pb2.pyi", True), ("A_grpc_pb.js", True), ("FooGrpc.cs", True), ("a.min.mjs", True), ("a.pb.js", True), ("x.generated.rs", True), ("generated.ts", False), ("a.go", False)]
+    d = spark.createDataFrame(g, "p string, want boolean")
+    assert [r.b for r in d.select(paths.is_generated(F.col("p")).alias("b")).collect()] == [w for _, w in g]
+    e = spark.createDataFrame([("calls", True), ("references", True), ("imports", None), ("extends", False)], "k string, p boolean")
+    assert [r.e for r in e.select(kinds.edge_label(F.col("k"), F.col("p")).alias("e")).collect()] == [None, "callback registration", "import", "extends"]
+    assert S.borrowed_index("/b", "/a") and not S.borrowed_index("/a", "/a") and not S.borrowed_index("/b", "/a", True, "r1", "r2") and not S.borrowed_index(None, "/a")
+
+
 def test_words_of_a_query():
     assert X.symbols("How does UserStore.load call parse_query in HTTP mode?") == ["UserStore", "parse_query", "HTTP", "UserStore.load", "load", "mode"]
     assert X.symbols("") == [] and X.prose_words("Où est la Méthode checkout du panier 12345 when") == ["methode", "checkout", "panier"]
