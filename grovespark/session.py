@@ -43,12 +43,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Truncate lineage: write a table once to the shared folder and read it back. It survives the loss of executors, later
     passes read only the columns they use, and the planner knows its true size. (A checkpoint keeps the size estimated
     for the plan it replaces; in a loop of joins those estimates grow without end.) The folder's tables may be removed
     when no query runs."""
     at = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.option("compression", compression).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
