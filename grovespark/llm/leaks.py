@@ -219,13 +219,18 @@ def _shingles(text: str) -> np.ndarray:
 
 @dataclass
 class Shingles:
-    """Where each shingle of some items stands: postings `item` and `place` of hash `keys[x]` lie from `first[x]` to `first[x + 1]`."""
+    """Where each shingle of some items stands: postings `item` and `place` of hash `keys[x]` lie from `first[x]` to `first[x + 1]`.
+    The items' squashed texts lie end to end: item m begins at `begin[m]`; all their words are `words` (start, end) there,
+    those of item m from `word[m]` on."""
 
     keys: np.ndarray
     first: np.ndarray
     item: np.ndarray
     place: np.ndarray
     there: np.ndarray
+    begin: np.ndarray
+    words: np.ndarray
+    word: np.ndarray
 
 
 def shingle_index(items: list[Item]) -> Shingles:
@@ -236,12 +241,15 @@ def shingle_index(items: list[Item]) -> Shingles:
     keys, first = np.unique(h[order], return_index=True)
     there = np.zeros(1 << _TABLE_BITS, bool)
     there[keys >> np.uint64(64 - _TABLE_BITS)] = True
-    return Shingles(keys, np.r_[first, len(h)], np.repeat(np.arange(len(items)), n)[order], (np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n))[order], there)
+    begin = np.cumsum([0] + [len(it.text) for it in items])
+    words = np.concatenate([np.asarray(it.at, np.int64).reshape(-1, 2) + b for it, b in zip(items, begin)]) if items else np.zeros((0, 2), np.int64)
+    word = np.cumsum([0] + [len(it.at) for it in items])
+    return Shingles(keys, np.r_[first, len(h)], np.repeat(np.arange(len(items)), n)[order], (np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n))[order], there, begin, words, word)
 
 
-def shared_runs(index: Shingles, doc: str, wanted: set[int], least: dict[int, float] | None = None) -> dict[int, list[tuple[int, int, int]]]:
+def shared_runs(index: Shingles, doc: str, wanted: set[int], least: float = 0.0) -> dict[int, list[tuple[int, int, int]]]:
     """Per wanted item its runs (start, end, start in the document) of characters shared with the squashed document; with
-    `least`, only of items whose runs sum up to so many characters."""
+    `least`, only of items of whose words the runs together cover so large a share: fewer cannot be found in order either."""
     h = _shingles(doc)
     j = np.flatnonzero(index.there[h >> np.uint64(64 - _TABLE_BITS)])
     if not len(j):
@@ -252,20 +260,29 @@ def shared_runs(index: Shingles, doc: str, wanted: set[int], least: dict[int, fl
     count = index.first[x + 1] - index.first[x]
     at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(index.first[x], count)
     item, i, j = index.item[at], index.place[at], np.repeat(j, count)
-    want = np.isin(item, list(wanted))
+    some = np.zeros(len(index.begin), bool)
+    some[list(wanted)] = True
+    want = some[item]
     item, i, j = item[want], i[want], j[want]
     if not len(item):
         return {}
-    diagonal = j - i
-    order = np.lexsort((i, diagonal, item))
-    item, i, j, diagonal = item[order], i[order], j[order], diagonal[order]
-    new = np.r_[True, (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (i[1:] != i[:-1] + 1)]
-    a = np.flatnonzero(new)
+    # One number holds item, diagonal and place, so that sorting it puts runs together.
+    width = int(index.begin[-1]) + 1
+    key = np.sort((item * (len(doc) + width) + (j - i + width)) * width + i)
+    lane, i = np.divmod(key, width)
+    item, diagonal = np.divmod(lane, len(doc) + width)
+    a = np.flatnonzero(np.r_[True, (lane[1:] != lane[:-1]) | (i[1:] != i[:-1] + 1)])
     z = np.r_[a[1:], len(item)] - 1
-    of, start, end, there = item[a], i[a], i[z] + SHINGLE, j[a]
-    if least is not None:
-        total = np.bincount(of, end - start)
-        keep = np.array([total[m] >= least[m] for m in range(len(total))])[of] if len(total) else []
+    of, start, end, there = item[a], i[a], i[z] + SHINGLE, diagonal[a] - width + i[a]
+    if least:
+        edge = np.zeros(width, np.int64)
+        np.add.at(edge, index.begin[of] + start, 1)
+        np.add.at(edge, index.begin[of] + end, -1)
+        before = np.r_[0, np.cumsum(np.cumsum(edge)[:-1] > 0)]
+        whole = before[index.words[:, 1]] - before[index.words[:, 0]] == index.words[:, 1] - index.words[:, 0]
+        upto = np.r_[0, np.cumsum(whole)]
+        share = (upto[index.word[1:]] - upto[index.word[:-1]]) / np.maximum(1, np.diff(index.word))
+        keep = share[of] >= least
         of, start, end, there = of[keep], start[keep], end[keep], there[keep]
     runs: dict[int, list[tuple[int, int, int]]] = {}
     for m, *run in zip(of.tolist(), start.tolist(), end.tolist(), there.tolist()):
@@ -280,8 +297,6 @@ def found_share(item: Item, runs: list[tuple[int, int, int]]) -> float:
     the chain, a changed word apart, are one piece; pieces with fewer than PIECE characters are chance or a stock phrase
     and do not count.
     """
-    if sum(b - a for a, b, _ in runs) < SHARE / 2 * len(item.text):
-        return 0.0
     order = sorted(runs)
     ends = sorted({x[2] for x in order})
     best, arg = [0] * (len(ends) + 1), [-1] * (len(ends) + 1)  # prefix maxima, as a binary indexed tree
@@ -348,7 +363,7 @@ def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
     if not blocks:
         return docs.sparkSession.createDataFrame([], out_type)
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text is not null and text <> ''")
-    d = cut(spread(d).withColumn("slots", slots(F.col("text"))))
+    d = cut(spread(d).withColumn("slots", slots(F.col("text"))), "zstd")
     weighted = columns(latent(d))
 
     def search(block: list[Item], of: list[np.ndarray]) -> DataFrame:
@@ -356,7 +371,6 @@ def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
         q = _unit(q)
         starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
         index = shingle_index(block)
-        least = {m: SHARE / 2 * len(it.text) for m, it in enumerate(block)}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -373,7 +387,7 @@ def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
                         k = at + int(who[edge[row]])
                         hits = {int(owner[starts[h]]): float(near[row, h]) for h in np.flatnonzero(near[row] >= COSINE)}
                         s, _ = squash(plain(texts[k].as_py()))
-                        for m, runs in shared_runs(index, s, set(hits), least).items():
+                        for m, runs in shared_runs(index, s, set(hits), share).items():
                             got = found_share(block[m], runs)
                             if got >= share:
                                 res.append({"doc_id": ids[k].as_py(), "item_id": block[m].item_id, "cosine": hits[m], "share": round(got, 6), "answers": sum(a in s for a in block[m].answers)})

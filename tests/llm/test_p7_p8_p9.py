@@ -89,6 +89,16 @@ def test_leaks_recall_against_brute_force(spark):
     assert leaks.leaked(d.where("false"), i).count() == 0
 
 
+def _joined(runs):
+    out = []
+    for a, b, _ in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b, 0])
+    return out
+
+
 def _naive_runs(items, doc, wanted):
     out = {}
     for n in wanted:
@@ -113,9 +123,10 @@ def test_shared_runs_against_brute_force():
         index = leaks.shingle_index(items)
         got = leaks.shared_runs(index, doc, {0, 2, 3})
         assert {n: sorted(r) for n, r in got.items()} == _naive_runs(items, doc, {0, 2, 3})
-        least = {n: 60.0 for n in range(4)}
-        some = leaks.shared_runs(index, doc, {0, 1}, least)
-        assert some == {n: r for n, r in leaks.shared_runs(index, doc, {0, 1}).items() if sum(b - a for a, b, _ in r) >= 60}
+        every = leaks.shared_runs(index, doc, {0, 1})
+        covered = {n: sum(any(a <= x and y <= b for a, b, _ in _joined(r)) for x, y in items[n].at) / len(items[n].at) for n, r in every.items()}
+        for least in (0.3, 0.6, 0.9):
+            assert leaks.shared_runs(index, doc, {0, 1}, least) == {n: r for n, r in every.items() if covered[n] >= least}
     assert leaks.shared_runs(leaks.shingle_index([]), "anything at all", set()) == {} == leaks.shared_runs(index, "", {0})
 
 
