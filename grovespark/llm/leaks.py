@@ -14,6 +14,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -60,6 +61,11 @@ def squash(text: str) -> tuple[str, list[tuple[int, int]]]:
     return "".join(parts), at
 
 
+def bare(text: str) -> str:
+    """As `squash`, without the words' places."""
+    return "".join(_WORD.findall(text))
+
+
 #: A lighter clean-up for the JVM, where the words of all texts are hashed for retrieval; a pattern runs only over texts
 #: that hold its fixed part.
 _WRAP_RE, _ESCAPE_RE, _TAG_RE = r"-[ \t]*\r?\n[ \t>|*#/]*", r"\\[nrt]", r"</?[a-zA-Z][^<>\n]*>"
@@ -69,9 +75,8 @@ _BETWEEN_RE = r"[\x00-/:-@\[-`{-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2
 
 def slots(text: Column) -> Column:
     """Hash slots of a text's words, in order; where a text begins or ends with none, that of the empty word."""
-    odd = F.lit(False)
-    for part in ("</", "-\n", "-\r", "- \n", "\\n", "\\r", "\\t", *_INVISIBLE_CHARS):
-        odd = odd | text.contains(part)
+    any_of = lambda parts: reduce(Column.__or__, [text.contains(p) for p in parts])
+    odd = any_of(["</", "-\n", "-\r", "- \n", "\\n", "\\r", "\\t"]) | ((F.octet_length(text) > F.length(text)) & any_of(_INVISIBLE_CHARS))
     whole = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, _TAG_RE, ""), _WRAP_RE, ""), _ESCAPE_RE, " ")
     t = F.when(odd, F.translate(whole, _INVISIBLE_CHARS, "")).otherwise(text)
     return F.transform(F.split(F.lower(t), _BETWEEN_RE), lambda w: F.pmod(F.hash(w), F.lit(SLOTS)).cast("short"))
@@ -275,12 +280,11 @@ def shared_runs(index: Shingles, doc: str, wanted: set[int], least: float = 0.0)
     z = np.r_[a[1:], len(item)] - 1
     of, start, end, there = item[a], i[a], i[z] + SHINGLE, diagonal[a] - width + i[a]
     if least:
-        edge = np.zeros(width, np.int64)
-        np.add.at(edge, index.begin[of] + start, 1)
-        np.add.at(edge, index.begin[of] + end, -1)
-        before = np.r_[0, np.cumsum(np.cumsum(edge)[:-1] > 0)]
+        edge = np.bincount(index.begin[of] + start, minlength=width) - np.bincount(index.begin[of] + end, minlength=width)
+        before = np.zeros(width, np.int32)
+        np.cumsum(np.cumsum(edge[:-1], dtype=np.int32) > 0, dtype=np.int32, out=before[1:])
         whole = before[index.words[:, 1]] - before[index.words[:, 0]] == index.words[:, 1] - index.words[:, 0]
-        upto = np.r_[0, np.cumsum(whole)]
+        upto = np.r_[0, np.cumsum(whole, dtype=np.int32)]
         share = (upto[index.word[1:]] - upto[index.word[:-1]]) / np.maximum(1, np.diff(index.word))
         keep = share[of] >= least
         of, start, end, there = of[keep], start[keep], end[keep], there[keep]
@@ -386,7 +390,7 @@ def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
                     for row in np.flatnonzero(near.max(axis=1) >= COSINE):
                         k = at + int(who[edge[row]])
                         hits = {int(owner[starts[h]]): float(near[row, h]) for h in np.flatnonzero(near[row] >= COSINE)}
-                        s, _ = squash(plain(texts[k].as_py()))
+                        s = bare(plain(texts[k].as_py()))
                         for m, runs in shared_runs(index, s, set(hits), share).items():
                             got = found_share(block[m], runs)
                             if got >= share:
