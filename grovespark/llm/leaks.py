@@ -28,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from grovespark.session import cut
 from grovespark.sources.tables import spread
 
-#: Words in a passage and between passages' starts; hash slots; latent dimensions and extra ones for the sketch.
+#: Words in a passage and between passages' starts; hash slots, a power of two; latent dimensions and extra ones for the sketch.
 PASSAGE, STRIDE, SLOTS, DIMS, EXTRA = 40, 20, 8192, 48, 16
 #: Cosine from which a document is a candidate for an item; share of the item's words that must be found; characters of
 #: a shingle, the least characters of a piece, and the most between its runs.
@@ -76,10 +76,10 @@ _BETWEEN_RE = r"[\x00-/:-@\[-`{-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2
 def slots(text: Column) -> Column:
     """Hash slots of a text's words, in order; where a text begins or ends with none, that of the empty word."""
     any_of = lambda parts: reduce(Column.__or__, [text.contains(p) for p in parts])
-    odd = any_of(["</", "-\n", "-\r", "- \n", "\\n", "\\r", "\\t"]) | ((F.octet_length(text) > F.length(text)) & any_of(_INVISIBLE_CHARS))
+    odd = any_of(["</", "-\n", "-\r", "- \n", "\\"]) | ((F.octet_length(text) > F.length(text)) & any_of(_INVISIBLE_CHARS))
     whole = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, _TAG_RE, ""), _WRAP_RE, ""), _ESCAPE_RE, " ")
     t = F.when(odd, F.translate(whole, _INVISIBLE_CHARS, "")).otherwise(text)
-    return F.transform(F.split(F.lower(t), _BETWEEN_RE), lambda w: F.pmod(F.hash(w), F.lit(SLOTS)).cast("short"))
+    return F.transform(F.split(F.lower(t), _BETWEEN_RE), lambda w: F.hash(w).bitwiseAND(F.lit(SLOTS - 1)).cast("short"))
 
 
 def halves(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +166,7 @@ def latent(words: DataFrame) -> np.ndarray:
 
     df = _summed(words, frequencies, (SLOTS, 2))
     idf = np.log((1 + df[0, 1]) / (1 + df[:, 0])).astype(np.float32)
-    idf[words.sparkSession.range(1).select(F.pmod(F.hash(F.lit("")), F.lit(SLOTS))).first()[0]] = 0
+    idf[words.sparkSession.range(1).select(F.hash(F.lit("")).bitwiseAND(F.lit(SLOTS - 1))).first()[0]] = 0
     k = DIMS + EXTRA
     r = np.random.default_rng(7).standard_normal((SLOTS, k)).astype(np.float32)
     weighted, squares = columns(idf[:, None] * r), idf**2
