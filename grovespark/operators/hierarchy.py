@@ -13,7 +13,7 @@ from grovespark.session import cut
 def pack(c: Column) -> Column:
     """A shorter, reversible form of an id for joins: `kind:<32 hex>` becomes 16 bytes and the kind, any other text itself."""
     hexed = F.substring_index(c, ":", -1)
-    fits = c.rlike("^[a-z_]+:[0-9a-f]{32}$")
+    fits = c.rlike(r"^[a-z_]+:[0-9a-f]{32}\z")  # $ would let a line break at the end through
     return F.when(fits, F.concat(F.lit(b"\x01"), F.unhex(hexed), F.encode(F.substring_index(c, ":", 1), "UTF-8"))).otherwise(F.concat(F.lit(b"\x00"), F.encode(c, "UTF-8")))
 
 
@@ -91,11 +91,14 @@ def resolve(links: DataFrame, child: str = "target", parent: str = "source", pat
     return res.select("node", "root", "depth", F.transform("_way", unpack).alias("path")) if path else res
 
 
-def descendants(links: DataFrame, child: str = "target", parent: str = "source") -> DataFrame:
+def descendants(links: DataFrame, child: str = "target", parent: str = "source", cyclic: bool = False) -> DataFrame:
     """(ancestor, node, distance): every ancestor of every node outside cycles. The pairs come from the nodes' paths, so
-    no ancestor's descendants are ever gathered in one task. Nodes on or below a cycle have none."""
-    r = resolve(links, child, parent, path=True).where("path is not null")
-    return r.select("node", "depth", F.posexplode("path").alias("_at", "ancestor")).where("_at < depth").select("ancestor", "node", (F.col("depth") - F.col("_at")).alias("distance"))
+    no ancestor's descendants are ever gathered in one task. Nodes on or below a cycle have none; with `cyclic` each of
+    them has one row that says so: ancestor '', distance -1."""
+    r = resolve(links, child, parent, path=True)
+    r = r if cyclic else r.where("path is not null")
+    pairs = r.select("node", "depth", F.posexplode_outer("path").alias("_at", "ancestor")).where("depth = -1 or _at < depth")
+    return pairs.select(F.coalesce("ancestor", F.lit("")).alias("ancestor"), "node", F.coalesce(F.col("depth") - F.col("_at"), F.lit(-1)).alias("distance"))
 
 
 def subtree_sizes(links: DataFrame, child: str = "target", parent: str = "source") -> DataFrame:

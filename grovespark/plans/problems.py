@@ -58,6 +58,11 @@ def p4_paths(spark: SparkSession, d: str) -> DataFrame:
     return r.select("node", "root", "depth", F.array_join("path", " > ").alias("path"))
 
 
+def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Every descendant of every ancestor with its distance; a child on or below a cycle has ancestor '' and distance -1."""
+    return hierarchy.descendants(_contains(spark, d), cyclic=True)
+
+
 def p4_descendant_counts(spark: SparkSession, d: str) -> DataFrame:
     """Number of descendants and height of every ancestor outside cycles."""
     return hierarchy.subtree_sizes(_contains(spark, d))
@@ -88,7 +93,7 @@ def p6_repository_nodes(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("key").alias("repository"), F.col("n_rows").alias("n_files"), F.col("n_distinct").alias("n_counts"), F.col("mode").alias("top_count"), "p50", "p90")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_run_sizes, p1_ledger, p4_found, p4_paths, p4_descendant_counts, p6_found, p6_target_profile, p6_repository_nodes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_run_sizes, p1_ledger, p4_found, p4_paths, p4_descendants, p4_descendant_counts, p6_found, p6_target_profile, p6_repository_nodes)}
 
 _P1 = """
 WITH ok AS (SELECT run_id, started_at, row_number() OVER (ORDER BY started_at, run_id) AS k FROM sync_runs WHERE status = 'succeeded'),
@@ -110,6 +115,11 @@ SQL = {
     "p1_ledger": "WITH s AS (SELECT epoch_us(indexed_at) AS seq FROM files WHERE indexed_at IS NOT NULL), m AS (SELECT (min(seq) + max(seq)) // 2 AS half FROM s) SELECT CAST(CASE WHEN seq <= half THEN 1 ELSE 2 END AS INTEGER) AS commit_no, count(*) AS n_rows, min(seq) AS first_seq, max(seq) AS last_seq FROM s, m GROUP BY 1",
     "p4_found": _TREE + "SELECT l.c AS node, coalesce(d.root, '') AS root, CAST(coalesce(d.depth, -1) AS INTEGER) AS depth FROM link l LEFT JOIN down d ON d.node = l.c",
     "p4_paths": _TREE + "SELECT l.c AS node, coalesce(d.root, '') AS root, CAST(coalesce(d.depth, -1) AS INTEGER) AS depth, d.path FROM link l LEFT JOIN down d ON d.node = l.c",
+    "p4_descendants": """
+WITH RECURSIVE link AS (SELECT target AS c, min(source) AS p FROM edges WHERE kind = 'contains' GROUP BY target),
+good AS (SELECT l.c FROM link l WHERE l.p NOT IN (SELECT c FROM link) UNION ALL SELECT l.c FROM good g JOIN link l ON l.p = g.c),
+up AS (SELECT l.p AS ancestor, l.c AS node, 1 AS distance FROM link l JOIN good USING (c) UNION ALL SELECT l.p, u.node, u.distance + 1 FROM up u JOIN link l ON l.c = u.ancestor)
+SELECT ancestor, node, distance FROM up UNION ALL SELECT '', c, -1 FROM link WHERE c NOT IN (SELECT c FROM good)""",
     "p4_descendant_counts": """
 WITH RECURSIVE link AS (SELECT target AS c, min(source) AS p FROM edges WHERE kind = 'contains' GROUP BY target),
 good AS (SELECT l.c FROM link l WHERE l.p NOT IN (SELECT c FROM link) UNION ALL SELECT l.c FROM good g JOIN link l ON l.p = g.c),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from grovespark.operators import skew
 from grovespark.operators.hierarchy import descendants, pack, resolve, subtree_sizes, unpack
+from grovespark.plans import problems
 
 
 def _brute(links):
@@ -52,6 +53,22 @@ def test_the_least_of_several_parents_is_the_least_id(spark):
     assert {r.node: r.root for r in resolve(df).collect()} == {"x": ids[1], "y": "free text"}
 
 
+def test_a_line_break_at_the_end_belongs_to_an_id(spark):
+    ids = ["class:" + "0a" * 16 + end for end in ("\n", "\r\n", "\u2028", "")]
+    assert [r.id for r in spark.createDataFrame([(i,) for i in ids], "id string").select(unpack(pack(F.col("id"))).alias("id")).collect()] == ids
+    df = spark.createDataFrame([("r", i) for i in ids] + [(i, f"x{k}") for k, i in enumerate(ids)], "source string, target string")
+    assert {(r.node, r.root, r.depth) for r in resolve(df).collect()} == {(i, "r", 1) for i in ids} | {(f"x{k}", "r", 2) for k in range(4)}
+    assert {(r.ancestor, r.n_descendants, r.height) for r in subtree_sizes(df).collect()} == {("r", 8, 2)} | {(i, 1, 1) for i in ids}
+
+
+def test_descendants_come_out_and_cycles_are_named(spark, tmp_path):
+    links = [("r", "a"), ("a", "b"), ("b", "c"), ("a", "d"), ("x", "y"), ("y", "x"), ("y", "z"), ("z", "w"), ("s", "s")]
+    spark.createDataFrame([(*e, "contains") for e in links + links[:2]] + [("c", "q", "calls")], "source string, target string, kind string").write.parquet(f"{tmp_path}/edges.parquet")
+    want = {("r", "a", 1), ("r", "b", 2), ("r", "c", 3), ("r", "d", 2), ("a", "b", 1), ("a", "c", 2), ("a", "d", 1), ("b", "c", 1)} | {("", n, -1) for n in "xyzws"}
+    got = problems.QUERIES["p4_descendants"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_pack_is_reversible(spark):
     ids = ["function:" + "0f" * 16, "x", "", "function:" + "0F" * 16, "é漢:" + "ab" * 16, "a:b:c", "type_alias:" + "12" * 16]
     df = spark.createDataFrame([(i,) for i in ids], "id string")
