@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grovespark.functions import names
+from grovespark.session import cut
 
 #: Status of a unit, in order, and the moves that are allowed.
 STATUS = ["pending", "in_progress", "migrated", "verified"]
@@ -135,36 +138,61 @@ def interface_fidelity(members: DataFrame, exports: DataFrame, renames: DataFram
     ('module-path'); else everywhere ('global'). Names match in any case, as they are or renamed. missing: names in order,
     which a module's interface bounds. Pairs of module and file are made by equality of path parts, never all with all.
     """
-    e = exports.select(F.translate("file", "\\", "/").alias("file"), F.lower("name").alias("_n")).where("_n is not null").distinct()
-    mods = members.select("module").distinct()
-    paths = target_paths.select("module", F.regexp_replace("prefix", "/+$", "").alias("_p")).distinct()
-    parts = F.split("file", "/")
-    under = e.select("file").distinct().select("file", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.transform(F.sequence(i, F.size(parts)), lambda j: F.array_join(F.slice(parts, i, j - i + 1), "/"))))).alias("_p"))
-    by_path = under.join(paths, "_p").select("module", "file").distinct()
     squeezed = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
-    named = mods.join(paths.select("module").distinct(), "module", "left_anti").withColumn("_k", squeezed("module")).where("_k <> ''")
-    # A module's name may start and end anywhere in a squeezed path: files are cut into pieces of the lengths that occur.
-    lengths = [r.n for r in named.select(F.length("_k").alias("n")).distinct().collect()]
-    if lengths:
-        s = squeezed("file")
-        pieces = F.flatten(F.array(*[_pieces(s, n) for n in lengths]))
-        by_name = e.select("file").distinct().select("file", F.explode(F.array_distinct(pieces)).alias("_k")).join(named, "_k").select("module", "file").distinct()
-    else:
-        by_name = by_path.where("false")
-    scope = mods.join(paths.select("module", F.lit("ledger-paths").alias("_l")).distinct(), "module", "left").join(by_name.select("module", F.lit("module-path").alias("_m")).distinct(), "module", "left")
-    scope = scope.select("module", F.coalesce("_l", "_m", F.lit("global")).alias("scope"))
+    e = cut(exports.select(F.translate("file", "\\", "/").alias("file"), F.lower("name").alias("_n")).where("_n is not null").distinct().withColumn("_s", squeezed("file")))
+    members = cut(members.select("module", "name").distinct())
+    mods = cut(members.select("module", squeezed("module").alias("_k")).distinct())
+    paths = target_paths.select("module", F.regexp_replace("prefix", "/+$", "").alias("_p")).distinct()
+    # A prefix may start at any part of a path: files are cut into runs of as many parts as prefixes have.
+    counts = [r.n for r in paths.where("_p is not null").select(F.size(F.split("_p", "/")).alias("n")).distinct().collect()]
+    by_path = None
+    if counts:
+        under = e.select("file").distinct().select("file", F.explode(_runs(F.split("file", "/"), counts)).alias("_p"))
+        by_path = under.join(paths, "_p").select("module", "file").distinct()
+    named = mods.join(paths.select("module").distinct(), "module", "left_anti").where("_k <> ''").select("_k").distinct()
+    by_name = cut(_holding(e.select("_s").distinct(), cut(named)))
+    scope = mods.join(paths.select("module", F.lit("ledger-paths").alias("_l")).distinct(), "module", "left").join(by_name.select("_k", F.lit("module-path").alias("_m")).distinct(), "_k", "left")
+    scope = cut(scope.select("module", "_k", F.coalesce("_l", "_m", F.lit("global")).alias("scope")))
     rn = renames.select("module", F.lower("name").alias("_s"), F.lower("new_name").alias("_r")).distinct()
-    want = members.select("module", "name", F.lower("name").alias("_s")).distinct().join(rn, ["module", "_s"], "left")
-    want = want.select("module", "name", F.explode(F.array_distinct(F.array_compact(F.array("_s", "_r")))).alias("_n")).join(scope, "module")
-    local = want.where("scope <> 'global'").join(by_path.unionByName(by_name).join(e, "file").select("module", "_n").distinct(), ["module", "_n"], "left_semi")
-    anywhere = want.where("scope = 'global'").join(e.select("_n").distinct(), "_n", "left_semi")
-    hit = local.select("module", "name").unionByName(anywhere.select("module", "name")).distinct().withColumn("_hit", F.lit(True))
-    m = members.select("module", "name").distinct().join(hit, ["module", "name"], "left").join(scope, "module")
+    want = members.select("module", "name", F.lower("name").alias("_s")).join(rn, ["module", "_s"], "left")
+    want = cut(want.select("module", "name", F.explode(F.array_distinct(F.array_compact(F.array("_s", "_r")))).alias("_n")).join(scope, "module"))
+    e = cut(e.join(want.select("_n").distinct(), "_n", "left_semi"))
+    named_n = by_name.join(e.select("_s", "_n").distinct(), "_s").select("_k", "_n").distinct()
+    hits = [want.where("scope = 'module-path'").join(named_n, ["_k", "_n"], "left_semi"), want.where("scope = 'global'").join(e.select("_n").distinct(), "_n", "left_semi")]
+    if by_path is not None:
+        hits.append(want.where("scope = 'ledger-paths'").join(by_path.join(e, "file").select("module", "_n").distinct(), ["module", "_n"], "left_semi"))
+    hit = reduce(DataFrame.unionByName, [h.select("module", "name") for h in hits]).distinct().withColumn("_hit", F.lit(True))
+    m = members.join(hit, ["module", "name"], "left").join(scope.drop("_k"), "module")
     return m.groupBy("module", "scope").agg(F.count(F.lit(1)).alias("source_count"), F.count("_hit").alias("matched_count"), F.array_sort(F.collect_set(F.when(F.col("_hit").isNull(), F.col("name")))).alias("missing"))
 
 
-def _pieces(text, n: int):
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+def _runs(parts, counts: list[int]):
+    """All runs of neighbouring parts, joined again, that have one of the numbers of parts."""
+    def of(n: int):
+        runs = F.transform(F.sequence(F.lit(1), F.size(parts) - n + 1), lambda i: F.array_join(F.slice(parts, i, n), "/"))
+        return F.when(F.size(parts) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.flatten(F.array(*map(of, counts))))
+
+
+def _holding(texts: DataFrame, keys: DataFrame, lead: int = 8) -> DataFrame:
+    """(_k, _s): keys (_k), none of them empty, and the texts (_s) that hold them anywhere.
+
+    Keys are looked for by their first `lead` letters (shorter ones as a whole). These are few, as names begin alike. A place
+    of a text that starts so is cut to the lengths of the keys that do, and only those pieces meet the keys, by equality."""
+    n = F.least(F.length("_k"), F.lit(lead))
+    leads = keys.groupBy(F.substring(F.col("_k"), F.lit(1), n).alias("_g")).agg(F.collect_set(F.length("_k")).alias("_lengths"))
+    sizes = [r.n for r in keys.select(n.alias("n")).distinct().collect()]
+    if not sizes:
+        return texts.crossJoin(keys.where("false")).select("_k", "_s")
+
+    def starts(k: int):
+        at = F.transform(F.sequence(F.lit(1), F.length("_s") - k + 1), lambda i: F.struct(F.substring(F.col("_s"), i, F.lit(k)).alias("g"), i.alias("i")))
+        return F.when(F.length("_s") >= k, at).otherwise(F.array().cast("array<struct<g:string,i:int>>"))
+
+    places = texts.select("_s", F.explode(F.flatten(F.array(*map(starts, sizes)))).alias("p")).select("_s", F.col("p.g").alias("_g"), F.col("p.i").alias("_i"))
+    found = places.join(F.broadcast(leads), "_g").select("_s", "_i", F.explode("_lengths").alias("_l"))
+    return found.select("_s", F.substring(F.col("_s"), F.col("_i"), F.col("_l")).alias("_k")).distinct().join(keys, "_k").select("_k", "_s")
 
 
 def name_collisions(checks_: DataFrame) -> DataFrame:

@@ -19,6 +19,17 @@ def test_bindings_and_interfaces_against_a_target(spark):
     assert [r.file for r in P.scoped_exports(exports, ["lib"]).collect()] == ["lib/x.ets", "lib/y.ets"] and P.scoped_exports(exports, names_=["Cart!"]).count() == 2
 
 
+def test_interfaces_cut_paths_only_where_a_name_begins(spark):
+    texts, keys = ["srccartcartitem", "cartographer", "ab", "xcartographerlonga", ""], ["cart", "cartographer", "cartographerlong", "a", "ab", "itemsofacart"]
+    made = lambda c, x: spark.createDataFrame([(i,) for i in x], f"{c} string")
+    members = made("module", keys).select("module", "module").toDF("module", "name")
+    none = spark.createDataFrame([], "module string, name string, new_name string, prefix string")
+    out = P.interface_fidelity(members, made("file", texts).select("file", F.lit("Cart").alias("name")), none.select("module", "name", "new_name"), none.select("module", "prefix"))
+    assert {r.module: r.scope for r in out.collect()} == {k: "module-path" if any(k in t for t in texts) else "global" for k in keys}
+    assert out._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("Exchange") < 30  # tables used often are computed once
+    assert {(r["_k"], r["_s"]) for r in P._holding(made("_s", texts), made("_k", keys)).collect()} == {(k, t) for k in keys for t in texts if k in t}
+
+
 def test_literals_and_collisions(spark):
     f = spark.createDataFrame([("a", "SELECT *\n  FROM t"), ("b", "x = 'PAID'"), ("c", None)], "path string, content string")
     assert {r.literal: (r.n_files, r.first_file) for r in P.literal_hits(f, ["'PAID'", "'DUE'"]).collect()} == {"'PAID'": (1, "b"), "'DUE'": (0, None)}
