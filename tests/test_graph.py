@@ -249,3 +249,13 @@ def test_stream_and_batch_agree(spark, tmp_path):
     q = watch.sessions(stream, "path", "ts", "2 seconds").writeStream.outputMode("complete").foreachBatch(lambda b, i: got.append({(r.path, r.n) for r in b.collect()})).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert got[-1] == want
+
+
+def test_many_seeds_as_bits(spark):
+    rng = random.Random(5)
+    pairs = {(rng.randrange(150), rng.randrange(150)) for _ in range(260)}
+    num = lambda x, *c: spark.createDataFrame([i if isinstance(i, tuple) else (i,) for i in x], ", ".join(f"{n} long" for n in c))
+    steps, seeds, goals = num([p for p in pairs if p[0] != p[1]], "a", "b"), num(range(140), "seed"), num(range(0, 150, 3), "id")
+    want = T.reach(seeds, steps, 4, absorbing=goals).join(goals, "id", "left_semi")
+    rows = lambda df: sorted((r.seed, r.id, r.depth) for r in df.collect())
+    assert rows(T.reach_of_many(seeds, steps, 4, goals, absorbing=goals)) == rows(want)
