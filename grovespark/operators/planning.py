@@ -191,7 +191,9 @@ def _holding(texts: DataFrame, keys: DataFrame, lead: int = 8) -> DataFrame:
         return F.when(F.length("_s") >= k, at).otherwise(F.array().cast("array<struct<g:string,i:int>>"))
 
     places = texts.select("_s", F.explode(F.flatten(F.array(*map(starts, sizes)))).alias("p")).select("_s", F.col("p.g").alias("_g"), F.col("p.i").alias("_i"))
-    found = places.join(F.broadcast(leads), "_g").select("_s", "_i", F.explode("_lengths").alias("_l"))
+    # Only hashes of these beginnings go to all tasks, eight bytes each; names and lengths are joined to what is left.
+    h = leads.select(F.xxhash64("_g").alias("_h"))
+    found = places.withColumn("_h", F.xxhash64("_g")).join(F.broadcast(h), "_h", "left_semi").join(leads, "_g").select("_s", "_i", F.explode("_lengths").alias("_l"))
     return found.select("_s", F.substring(F.col("_s"), F.col("_i"), F.col("_l")).alias("_k")).distinct().join(keys, "_k").select("_k", "_s")
 
 

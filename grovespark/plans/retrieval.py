@@ -142,6 +142,7 @@ SELECT module, scope, count(*) AS source_count, count(*) FILTER (WHERE hit) AS m
 def package_fidelity(s, d):
     """Exported types of each package, looked for among functions, aliases and constants of files with its name in the path."""
     n = nodes(s, d, "kind", "name", "file_path", "is_exported")
+    n = cut(n.where(F.col("kind").isin("class", "interface", "function", "type_alias", "constant")))
     members = n.where(F.col("is_exported") & F.col("kind").isin("class", "interface")).select(F.substring_index(package(F.col("file_path")), "/", -1).alias("module"), "name")
     exports = n.where(F.col("kind").isin("function", "type_alias", "constant")).select(F.col("file_path").alias("file"), "name")
     none = s.createDataFrame([], "module string, name string, new_name string, prefix string")
