@@ -259,3 +259,13 @@ def test_many_seeds_as_bits(spark):
     want = T.reach(seeds, steps, 4, absorbing=goals).join(goals, "id", "left_semi")
     rows = lambda df: sorted((r.seed, r.id, r.depth) for r in df.collect())
     assert rows(T.reach_of_many(seeds, steps, 4, goals, absorbing=goals)) == rows(want)
+
+
+def test_impact_of_deep_containers_takes_few_rounds(spark, monkeypatch):
+    written, cut = [], T.cut
+    monkeypatch.setattr(T, "cut", lambda df: written.append(1) or cut(df))
+    nodes = spark.createDataFrame([(f"k{i}", "class") for i in range(40)] + [("m", "method"), ("u", "function")], "id string, kind string")
+    e = spark.createDataFrame([(f"k{i}", f"k{i + 1}", "contains", 1, 0) for i in range(39)] + [("k39", "k0", "contains", 1, 0), ("k39", "m", "contains", 1, 0), ("u", "m", "calls", 1, 0)], EDGE)
+    got = {(r.seed, r.id): r.depth for r in T.impact(spark.createDataFrame([("k0",), (None,)], "seed string"), nodes, e).collect()}
+    assert got == {("k0", i): 0 for i in [f"k{j}" for j in range(40)] + ["m"]} | {("k0", "u"): 1}
+    assert len(written) < 25
